@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweft.llm import minhash, mixing, simhash, tokens
+from tallyweft.llm import minhash, mixing, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
