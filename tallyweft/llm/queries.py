@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweft.llm import minhash, mixing, simhash, tokens, toxicity
+from tallyweft.llm import minhash, mixing, pii, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
 }
