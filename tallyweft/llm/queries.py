@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweft.llm import minhash, mixing, pii, simhash, tokens, toxicity
+from tallyweft.llm import minhash, mixing, pii, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
+    "op6_warc_index": op6_warc_index,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
