@@ -24,6 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.llm.components import components
@@ -153,32 +154,41 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((x | high) & low) | (((x & high) & low) << np.uint64(1))
 
 
-def _search(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest over rows sorted by cell: rows of equal cells within the bounds."""
+def _search(cell: np.ndarray, fp: np.ndarray, bits: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links over rows sorted by cell, between rows of equal cells within the bounds: a
+    forest that joins all of them, or each row's nearest among the rows before it."""
     forest, counts, x = _Forest(fp), _unary(fp), fp.view(np.uint64)
+    least, best = np.full(len(fp), bits + 1, np.uint8), np.zeros(len(fp), np.int64)
     at, step = np.arange(len(fp) - 1), 1
     while len(at):
         at = at[cell[at] == cell[at + step]]
         near = at[np.bitwise_count(counts[at] ^ counts[at + step]) <= bits]
-        near = near[np.bitwise_count(x[near] ^ x[near + step]) <= bits]
-        if len(near):
+        apart = np.bitwise_count(x[near] ^ x[near + step])
+        near, apart = near[apart <= bits], apart[apart <= bits]
+        if len(near) and nearest:
+            closer = apart < least[near + step]
+            least[near[closer] + step], best[near[closer] + step] = apart[closer], near[closer]
+        elif len(near):
             forest.add(near, near + step)
         step += 1
         at = at[at + step < len(fp)]
+    if nearest:
+        own = np.flatnonzero(least <= bits)
+        return fp[best[own]], fp[own]
     return forest.links()
 
 
-def _searcher(bits: int, most: int | None):
-    """Streams rows sorted by (g, key): links as (0, root, member), and rows of cells above ``most`` as (1 + g, key, fp)."""
+def _searcher(bits: int, most: int | None, nearest: bool):
+    """Streams rows sorted by (g, key): links as (0, u, v), and rows of cells above ``most`` as (1 + g, key, fp)."""
 
     def out(kind, a, b):
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
     def done(rows: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
-            root, member = _search(cell, np.ascontiguousarray(rows[:, 2]), bits)
-            if len(root):
-                yield out(np.zeros(len(root), np.int64), root, member)
+            u, v = _search(cell, np.ascontiguousarray(rows[:, 2]), bits, nearest)
+            if len(u):
+                yield out(np.zeros(len(u), np.int64), u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, large = np.zeros((0, 3), np.int64), None
@@ -193,36 +203,40 @@ def _searcher(bits: int, most: int | None):
                     continue
                 large = None
             rows = np.concatenate([rest, rows])
-            cell = np.concatenate(([0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1)))) if len(rows) else np.zeros(0, int)
-            size = np.bincount(cell) if len(rows) else np.zeros(0, int)
+            if not len(rows):
+                continue
+            cell = np.concatenate(([0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+            size = np.bincount(cell)
             over = size > most if most else np.zeros(len(size), bool)
             last = cell == len(size) - 1
-            if len(size) and over[-1]:
+            if over[-1]:
                 large, rest = rows[-1, :2].copy(), rows[:0]
             else:
                 rest = rows[last]
             if over.any():
                 own = over[cell]
                 yield out(rows[own, 0] + 1, rows[own, 1], rows[own, 2])
-            keep = ~last & ~over[cell] if len(rows) else last
+            keep = ~last & ~over[cell]
             yield from done(rows[keep], cell[keep])
         yield from done(rest, np.zeros(len(rest), int))
 
     return run
 
 
-def links(prints: DataFrame, *, bits: int = 4, most: int = CELL) -> DataFrame:
+def links(prints: DataFrame, *, bits: int = 4, most: int = CELL, nearest: bool = False) -> DataFrame:
     """(u, v) links that join the same fingerprints as all pairs within ``bits`` bits would.
 
     ``prints`` has distinct, non-null ``fp``.  Links between pairs that other
-    links already join may be left out.
+    links already join may be left out.  With ``nearest``, each link is a pair
+    within ``bits`` bits: of each fingerprint in each cell, the one to its
+    nearest among the smaller fingerprints there.
     """
     masks = grids(prints.count(), bits)
     counts = unary_counts(F.col("fp"))
     cells = F.explode(F.array(*[F.struct(F.lit(g).cast("long").alias("g"), counts.bitwiseAND(F.lit(m)).alias("key")) for g, m in enumerate(masks)]))
     rows = prints.select("fp", cells.alias("c")).select("c.g", "c.key", "fp")
     dealt = rows.repartition("g", "key").sortWithinPartitions("g", "key", "fp")
-    found = cut(dealt.mapInArrow(_searcher(bits, most), "kind long, a long, b long"), "links")
+    found = cut(dealt.mapInArrow(_searcher(bits, most, nearest), "kind long, a long, b long"), "links")
     direct = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = found.where("kind > 0").select((F.col("kind") - 1).alias("g"), F.col("a").alias("key"), F.col("b").alias("fp"))
     if large.isEmpty():
@@ -231,7 +245,7 @@ def links(prints: DataFrame, *, bits: int = 4, most: int = CELL) -> DataFrame:
     own = large.join(blocks, ["g", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")))
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     dealt = own.select("g", "key", "fp", "i", pair.alias("j")).select(F.xxhash64("g", "key", F.least("i", "j"), F.greatest("i", "j")).alias("g"), F.col("key"), "fp")
-    second = dealt.repartition("g", "key").sortWithinPartitions("g", "key", "fp").mapInArrow(_searcher(bits, None), "kind long, a long, b long")
+    second = dealt.repartition("g", "key").sortWithinPartitions("g", "key", "fp").mapInArrow(_searcher(bits, None, nearest), "kind long, a long, b long")
     return direct.unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -254,14 +268,73 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(of_print, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, columns unchanged.
+# --- one document of each group ---------------------------------------------------------------
 
-    Rows that repeat an id are one document.  Rows without an id cannot stand
-    for a group and all stay.
+
+def _grams(words: int):
+    """Sorted distinct 32-bit hashes of each text's word shingles."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                w = (text.as_py() or "").encode().lower().split()
+                n = max(1, len(w) - words + 1)
+                found.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(w[i : i + words])) for i in range(n)), np.uint32, n)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "grams"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["u", "v"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", print_words: int = 3, bits: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` less all but the smallest id of each group of near copies, columns unchanged.
+
+    Candidates are fingerprints of ``print_words`` words within ``bits`` bits
+    (short shingles, since an edit breaks fewer of them).  Each candidate link
+    is verified: it stays if the sets of shingles of ``words`` words have a
+    Jaccard similarity of ``similarity`` at least.  Groups are the components
+    of verified links; equal texts are of one group.  Rows that repeat an id
+    are one document; rows without an id cannot stand for a group and stay.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, words=words, bits=bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = cut(kept, "kept")
+    named = docs.where(F.col(id_col).isNotNull())
+    narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py(), print_words) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "same", "fp"])
+
+    prints = narrow.select("*", F.xxhash64("text").alias("same")).mapInArrow(printed, "doc_id long, same long, fp long")
+    texts = cut(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("rep")), "texts")
+    firsts = cut(texts.groupBy("fp").agg(F.min("rep").alias("first")), "firsts")
+    near = links(firsts.select("fp"), bits=bits, nearest=True)
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    turn = F.row_number().over(W.partitionBy("v").orderBy(apart, "u"))
+    near = near.distinct().withColumn("turn", turn).where("turn <= 2")
+    u, v = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc")) for c in "uv")
+    between = near.join(u, "u").join(v, "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+    within = texts.join(firsts, "fp").where("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v"))
+    pairs = cut(between.unionByName(within).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    grams = cut(narrow.join(ends, "doc_id", "left_semi").mapInArrow(_grams(words), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+    u, v = (grams.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
+    good = pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long")
+    groups = components(good).select(F.col("node").alias("rep"), "label")
+    kept = texts.select("rep").distinct().join(groups, "rep", "left").where("label is null or label = rep")
+    kept = cut(kept.select(F.col("rep").alias("_kept")), "kept")
     own = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
     return own.unionByName(docs.where(F.col(id_col).isNull()))
