@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweft.llm import ann, minhash, mixing, pii, sentencepiece_sa, simhash, tokens, toxicity, warc
+from tallyweft.llm import ann, extract, minhash, mixing, pii, sentencepiece_sa, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
     "op6_warc_index": op6_warc_index,
+    "op7_html_extraction": op7_html_extraction,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
