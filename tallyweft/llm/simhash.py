@@ -97,13 +97,13 @@ def unary_counts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def grids(n: int, bits: int) -> list[int]:
+def grids(n: int, bits: int, fixed: int | None = None) -> list[int]:
     """Masks of the coordinates that each grid keeps, for n fingerprints.
 
     The fewest groups for which a cell is expected to hold 32 random
-    fingerprints at most.
+    fingerprints at most, or a fixed number of groups.
     """
-    for groups in range(bits + 2, 13):
+    for groups in [fixed] if fixed else range(bits + 2, 13):
         sizes = [32 // groups + (i < 32 % groups) for i in range(groups)]
         if n * SAME ** (sum(sorted(sizes)[: groups - bits])) <= 32:
             break
@@ -223,15 +223,17 @@ def _searcher(bits: int, most: int | None, nearest: bool):
     return run
 
 
-def links(prints: DataFrame, *, bits: int = 4, most: int = CELL, nearest: bool = False) -> DataFrame:
+def links(prints: DataFrame, *, bits: int = 4, most: int = CELL, nearest: bool = False, groups: int | None = None) -> DataFrame:
     """(u, v) links that join the same fingerprints as all pairs within ``bits`` bits would.
 
     ``prints`` has distinct, non-null ``fp``.  Links between pairs that other
     links already join may be left out.  With ``nearest``, each link is a pair
     within ``bits`` bits: of each fingerprint in each cell, the one to its
-    nearest among the smaller fingerprints there.
+    nearest among the smaller fingerprints there.  ``groups`` fixes the number
+    of coordinate groups, so that the number of grids does not depend on the
+    number of fingerprints.
     """
-    masks = grids(prints.count(), bits)
+    masks = grids(prints.count() if groups is None else 0, bits, groups)
     counts = unary_counts(F.col("fp"))
     cells = F.explode(F.array(*[F.struct(F.lit(g).cast("long").alias("g"), counts.bitwiseAND(F.lit(m)).alias("key")) for g, m in enumerate(masks)]))
     rows = prints.select("fp", cells.alias("c")).select("c.g", "c.key", "fp")
@@ -321,7 +323,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prints = narrow.select("*", F.xxhash64("text").alias("same")).mapInArrow(printed, "doc_id long, same long, fp long")
     texts = cut(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("rep")), "texts")
     firsts = cut(texts.groupBy("fp").agg(F.min("rep").alias("first")), "firsts")
-    near = links(firsts.select("fp"), bits=bits, nearest=True)
+    near = links(firsts.select("fp"), bits=bits, nearest=True, groups=bits + 3)
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     turn = F.row_number().over(W.partitionBy("v").orderBy(apart, "u"))
     near = near.distinct().withColumn("turn", turn).where("turn <= 2")
