@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks whose ids a worker keeps, characters of text encoded at once, and of a chunk that takes rounds.
-KEPT, BLOCK, LONG = 600_000, 8_000_000, 256
+KEPT, BLOCK, LONG = 400_000, 4_000_000, 256
 #: Symbols in a packed word, and words that hold the longest piece.
 PACK, WORDS = 4, 4
 

@@ -39,7 +39,7 @@ STEMS = (4, 5, 6)
 #: Windows that gain by chance, put into the ordinary dictionary.
 CHANCE = 600
 #: Windows whose gains a worker keeps; gains are counted from LOW to HIGH.
-KEPT, LOW, HIGH = 500_000, 2, 6
+KEPT, LOW, HIGH = 300_000, 2, 6
 FOLDS = 5
 
 
