@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Chunks whose ids a worker keeps, characters of text encoded at once, and of a chunk that takes rounds.
 KEPT, BLOCK, LONG = 400_000, 4_000_000, 256
-#: Symbols in a packed word, and words that hold the longest piece.
-PACK, WORDS = 4, 4
+#: Characters of the longest piece.
+LONGEST = 16
 
 
 def default_model() -> str:
@@ -68,11 +68,12 @@ class Pieces:
                 self.ids[name] = i
                 self.raw[i] = name.encode()
         self.score = np.array([model.get_score(i) for i in range(n)])
-        if any(MARK in name.lstrip(MARK) for name in self.ids) or max(map(len, self.ids)) > PACK * WORDS:
+        if any(MARK in name.lstrip(MARK) for name in self.ids) or max(map(len, self.ids)) > LONGEST:
             raise ValueError("pieces across white space, or longer than 16 characters, are not supported")
         letters = sorted({c for name in self.ids for c in name})
         top = max(map(ord, letters)) + 2
-        self.symbol = np.zeros(top, np.uint64)  # the last stands for all characters beyond
+        self.letters = len(letters)
+        self.symbol = np.zeros(top, np.int64)  # the last stands for all characters beyond
         self.single = np.full(top, -1, np.int32)
         for k, c in enumerate(letters):
             self.symbol[ord(c)] = k + 1
@@ -85,50 +86,55 @@ class Pieces:
         place = np.cumsum(np.concatenate(([0], np.diff(self.score[self.many][order]) != 0)))
         self.place = np.empty(len(many), np.int64)
         self.place[order] = place
-        width = PACK * WORDS
-        low, high = np.zeros((len(many), width), np.uint64), np.full((len(many), width), 0xFFFF, np.uint64)
+        self.rows = np.zeros((len(many), LONGEST), np.int64)
         for k, (name, _) in enumerate(many):
-            low[k, : len(name)] = high[k, : len(name)] = self.symbol[[ord(c) for c in name]]
-        self.low, self.high = self._packed(low), self._packed(high)
+            self.rows[k, : len(name)] = self.symbol[[ord(c) for c in name]]
         self.whole_lines = any("\n" in name for name in self.ids)
         self.known: dict[str, tuple[int, ...]] = {}
         self.place_of = dict(zip((name for name, _ in many), self.place.tolist(), strict=True))
 
-    @staticmethod
-    def _packed(rows: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for w in range(WORDS):
-            part = rows[:, w * PACK : (w + 1) * PACK]
-            out.append((part[:, 0] << np.uint64(48)) | (part[:, 1] << np.uint64(32)) | (part[:, 2] << np.uint64(16)) | part[:, 3])
-        return out
-
     # --- suffix array -------------------------------------------------------------------------
 
     def occurrences(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start of each occurrence of each piece of several characters, and which piece: by binary search in a suffix array."""
-        n = len(symbols)
-        s = np.concatenate((symbols, np.zeros(PACK * (WORDS + 1), np.uint64)))
-        at = n + PACK * WORDS
-        packed = (s[:at] << np.uint64(48)) | (s[1 : at + 1] << np.uint64(32)) | (s[2 : at + 2] << np.uint64(16)) | s[3 : at + 3]
-        suffix = np.lexsort([packed[w * PACK : w * PACK + n] for w in reversed(range(WORDS))])
-
-        def bound(keys: list[np.ndarray]) -> np.ndarray:
-            """How many suffixes sort before each key."""
-            lo, hi = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), n, np.int64)
-            while (open_ := np.flatnonzero(lo < hi)).size:
-                mid = (lo[open_] + hi[open_]) >> 1
-                less, same = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-                for w in range(WORDS):
-                    own, key = packed[suffix[mid] + w * PACK], keys[w][open_]
-                    less |= same & (own < key)
-                    same &= own == key
-                lo[open_[less]] = mid[less] + 1
-                hi[open_[~less]] = mid[~less]
-            return lo
-
-        first = bound(self.low)
-        flat, piece = _ranges(first, np.maximum(first, bound(self.high)))
-        return suffix[flat], piece
+        """Start of each occurrence of each piece of several characters, and which piece.
+
+        The batch's own symbols are renumbered, so that a word of 64 bits
+        holds eight (four, if there are over 255).  The suffix array sorts by
+        one word; a binary search in it gives the range of each piece's first
+        word, and the rest of longer pieces is compared within the range.
+        """
+        own = np.flatnonzero(np.bincount(symbols, minlength=self.letters + 1))
+        bits = 8 if len(own) <= 256 else 16
+        depth, small = 64 // bits, np.full(self.letters + 1, -1, np.int64)
+        small[own] = np.arange(len(own)) + (own[0] != 0)
+        n, shifts = len(symbols), np.uint64(bits) * np.arange(depth - 1, -1, -1, dtype=np.uint64)
+        s = np.zeros(n + 2 * LONGEST, np.uint64)
+        s[:n] = small[symbols]
+        packed = np.zeros(n + LONGEST, np.uint64)
+        for k in range(depth):
+            packed |= s[k : k + len(packed)] << shifts[k]
+        suffix = np.argsort(packed[:n])
+        sorted_ = packed[suffix]
+
+        rows = small[self.rows]
+        rows[self.rows == 0] = 0
+        there = np.flatnonzero((rows >= 0).all(axis=1))
+        rows, length = rows[there].astype(np.uint64), self.length[there]
+        words = [(rows[:, w : w + depth] << shifts).sum(axis=1, dtype=np.uint64) for w in range(0, LONGEST, depth)]
+        full = ~np.uint64(0)
+        # the bits of a word behind the piece's end
+        free = [np.where(length - w >= depth, np.uint64(0), full >> (np.uint64(bits) * np.clip(length - w, 0, depth - 1).astype(np.uint64))) for w in range(0, LONGEST, depth)]
+        first, last = np.searchsorted(sorted_, words[0], "left"), np.searchsorted(sorted_, words[0] | free[0], "right")
+        flat, piece = _ranges(first, np.maximum(first, last))
+        start = suffix[flat]
+        long = np.flatnonzero(length[piece] > depth)
+        if len(long):
+            keep = np.ones(len(start), bool)
+            for w in range(1, len(words)):
+                own_words = packed[start[long] + w * depth] | free[w][piece[long]]
+                keep[long] &= own_words == (words[w] | free[w])[piece[long]]
+            start, piece = start[keep], piece[keep]
+        return start, there[piece]
 
     def segment(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """The ids of each chunk."""
@@ -138,11 +144,11 @@ class Pieces:
         word = np.repeat(np.arange(len(chunks)), sizes)
         at = np.arange(len(code)) + word  # one empty symbol after each chunk
         n = len(code) + len(chunks)
-        symbols, piece_at = np.zeros(n, np.uint64), np.full(n, -2, np.int32)
+        symbols, piece_at = np.zeros(n, np.int64), np.full(n, -2, np.int32)
         symbols[at], piece_at[at] = self.symbol[code], self.single[code]
         word_at = np.repeat(np.arange(len(chunks)), sizes + 1)
         start, piece = self.occurrences(symbols)
-        by_position = np.argsort(start, kind="stable")
+        by_position = np.argsort(start)
         start, piece = start[by_position], piece[by_position]
         stop, own = start + self.length[piece], word_at[start]
         key = (self.place[piece] << 32) | start
