@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks whose ids a worker keeps, characters of text encoded at once, and of a chunk that takes rounds.
-KEPT, BLOCK, LONG = 400_000, 4_000_000, 256
+#: Chunks whose ids a worker keeps, characters of text encoded at once, of new chunks in a suffix array, and of a chunk that takes rounds.
+KEPT, BLOCK, MATCHED, LONG = 300_000, 3_000_000, 500_000, 256
 #: Characters of the longest piece.
 LONGEST = 16
 
@@ -80,7 +80,7 @@ class Pieces:
             self.single[ord(c)] = self.ids.get(c, -1)
         many = [(name, i) for name, i in self.ids.items() if len(name) > 1]
         self.many = np.array([i for _, i in many], np.int32)
-        self.length = np.array([len(name) for name, _ in many])
+        self.length = np.array([len(name) for name, _ in many], np.int32)
         order = np.lexsort((self.many, -self.score[self.many]))
         # equal scores have equal places
         place = np.cumsum(np.concatenate(([0], np.diff(self.score[self.many][order]) != 0)))
@@ -149,8 +149,8 @@ class Pieces:
         word_at = np.repeat(np.arange(len(chunks)), sizes + 1)
         start, piece = self.occurrences(symbols)
         by_position = np.argsort(start)
-        start, piece = start[by_position], piece[by_position]
-        stop, own = start + self.length[piece], word_at[start]
+        start, piece = start[by_position].astype(np.int32), piece[by_position].astype(np.int32)
+        stop, own = start + self.length[piece], word_at[start].astype(np.int32)
         key = (self.place[piece] << 32) | start
         edge = np.ones(n + 1, bool)
         while len(start):
@@ -252,9 +252,16 @@ class Pieces:
         if len(self.known) + len(wanted) > KEPT:
             self.known = {}
         new = [c for c in wanted if c not in self.known]
-        short = [c for c in new if len(c) <= LONG]
-        if short:
-            self.known.update(zip(short, self.segment(short), strict=True))
+        part, held = [], 0
+        for c in new:
+            if len(c) <= LONG:
+                part.append(c)
+                held += len(c)
+                if held >= MATCHED:
+                    self.known.update(zip(part, self.segment(part), strict=True))
+                    part, held = [], 0
+        if part:
+            self.known.update(zip(part, self.segment(part), strict=True))
         self.known.update((c, self.queued(c)) for c in new if len(c) > LONG)
         known, out = self.known, []
         for parts in cut:
@@ -271,11 +278,11 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
     block, held = [], 0
     for t in texts:
-        block.append(t)
-        held += len(t)
+        block.append(t or "")
+        held += len(t or "")
         if held >= BLOCK:
             yield block
             block, held = [], 0
@@ -287,9 +294,8 @@ def _encoder(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             done = 0
-            for block in _blocks(texts):
+            for block in _blocks(t.as_py() for t in batch.column(1)):
                 ids = pieces.encode(block)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.concatenate([np.array(x, np.int32) for x in ids])
