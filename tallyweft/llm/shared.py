@@ -1,58 +1,16 @@
-"""Storage and column helpers shared by the operators."""
+"""Column helpers shared by the operators; the shared folder is the library's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that separates words: space and the five ASCII controls 09-0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, a notebook in local mode) a temporary
-    folder of this process is chosen, and it is put into the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        root = context._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyweft-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from tallyweft.storage import cut, scratch_path, shared_dir
 
+__all__ = ["WORD", "cut", "scratch_path", "shared_dir", "word_count"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tallyweft/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(at)
-    return fs.makeQualified(at).toString()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage in a way that survives the loss of executors, and
-    the reread table has true size statistics, so that Spark broadcasts it
-    only when it is small.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space that separates words: space and the five ASCII controls 09-0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyweft.llm.components import components
 from tallyweft.llm.shared import cut
+from tallyweft.operators.iterate import component_labels as components
 
 SEED = 42
 #: Shingles hashed at once, rows of a cell that one task compares, links held before they are merged.
