@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks whose ids a worker keeps, characters of text encoded at once, of new chunks in a suffix array, and of a chunk that takes rounds.
-KEPT, BLOCK, MATCHED, LONG = 300_000, 3_000_000, 500_000, 256
+KEPT, BLOCK, MATCHED, LONG = 250_000, 1_500_000, 200_000, 256
 #: Characters of the longest piece.
 LONGEST = 16
 
