@@ -126,14 +126,16 @@ def likeness(a: str, b: str, bits: int = BITS) -> float:
     return float(min(1.0, max(0.0, ((~x.any(axis=1)).mean() - chance) / (1 - chance))))
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Fingerprints and digests are bytes until the result, at half the size.
+FIELDS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def _row(doc_id, text: str, own: str, after: str, after_print: str) -> tuple:
     cut_ = len(text) // 4
     edited = text[: len(text) - cut_] + after[:cut_]
     print_ = fingerprint(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, print_, likeness(own, print_), likeness(own, after_print)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).digest(), bytes.fromhex(own), bytes.fromhex(print_), likeness(own, print_), likeness(own, after_print)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     names = [f.split()[0] for f in FIELDS.split(", ")] + ["part", "text", "head"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+    kinds = [*KINDS, pa.int32(), pa.string(), pa.string()]
     head = last = None
 
     def table(rows):
@@ -160,16 +162,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield table(rows)
     if last is not None:
-        yield table([(last[0], None, None, last[2], None, None, None, TaskContext.get().partitionId(), last[1], head)])
+        yield table([(last[0], None, None, bytes.fromhex(last[2]), None, None, None, TaskContext.get().partitionId(), last[1], head)])
 
 
 def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     for batch in batches:
-        rows = [_row(r["doc_id"], r["text"], r["fingerprint"], r["after"], fingerprint(r["after"])) for r in batch.to_pylist()]
+        rows = [_row(r["doc_id"], r["text"], r["fingerprint"].hex(), r["after"], fingerprint(r["after"])) for r in batch.to_pylist()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=names)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,4 +202,5 @@ def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     follows = parts.select("part", F.coalesce(F.try_element_at("p", F.col("at") + 2), F.element_at("p", 1)).alias("next"))
     heads = edges.select(F.col("part").alias("next"), F.col("head").alias("after"))
     open_ = edges.join(follows, "part").join(heads, "next").select("doc_id", "fingerprint", "text", "after")
-    return done.unionByName(open_.mapInArrow(_closing, FIELDS))
+    both = done.unionByName(open_.mapInArrow(_closing, FIELDS))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
