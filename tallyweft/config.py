@@ -9,6 +9,9 @@ import os
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
+# The defaults below are fixed values of the domain.
+
+
 @dataclass(frozen=True)
 class Split:
     strategy: str = "temporal"

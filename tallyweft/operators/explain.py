@@ -70,23 +70,60 @@ def motif(vertices: DataFrame, edges: DataFrame) -> str | None:
     return "cycle" if has_cycle(vertices, edges) else None
 
 
+#: The sentences of the deterministic narrative.
+ALERT = "Alert %s generated for account %s with confidence score %.4f."
+WINDOW = "The suspicious activity occurred within the window %s to %s."
+ACCOUNTS = "Contributing accounts involved: %s."
+TRANSACTIONS = "Contributing transactions involved: %s."
+MOTIF = "Graph analysis detected a money laundering %s motif connecting these entities."
+ATTRIBUTIONS = "The primary model feature attributions driving this alert are: %s."
+
+
 def narrative() -> Column:
     """The template text of an evidence row: alert_id, account_id, confidence, first, last (text), accounts, transactions
     (arrays), motif, attributions (array of (feature, share)). Halves round to even."""
     ordered = F.array_sort("attributions", lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).when(a["feature"] < b["feature"], -1).otherwise(1))
     shown = F.array_join(F.transform(ordered, lambda a: F.format_string("%s (%.2f%%)", a["feature"], F.bround(a["share"] * 100, 2))), ", ")
-    listed = lambda c: F.array_join(F.array_sort(c), ", ")
+
+    def listed(c: str, sentence: str) -> Column:
+        return F.when(F.size(c) > 0, F.format_string(sentence, F.array_join(F.array_sort(c), ", ")))
+
     return F.concat_ws(
         " ",
-        F.format_string("Alert %s generated for account %s with confidence score %.4f.", "alert_id", "account_id", F.bround("confidence", 4)),
-        F.when(F.col("first").isNotNull(), F.format_string("The suspicious activity occurred within the window %s to %s.", "first", "last")),
-        F.when(F.size("accounts") > 0, F.format_string("Contributing accounts involved: %s.", listed("accounts"))),
-        F.when(F.size("transactions") > 0, F.format_string("Contributing transactions involved: %s.", listed("transactions"))),
-        F.when(F.col("motif").isNotNull(), F.format_string("Graph analysis detected a money laundering %s motif connecting these entities.", "motif")),
-        F.when(F.size("attributions") > 0, F.format_string("The primary model feature attributions driving this alert are: %s.", shown)),
+        F.format_string(ALERT, "alert_id", "account_id", F.bround("confidence", 4)),
+        F.when(F.col("first").isNotNull(), F.format_string(WINDOW, "first", "last")),
+        listed("accounts", ACCOUNTS),
+        listed("transactions", TRANSACTIONS),
+        F.when(F.col("motif").isNotNull(), F.format_string(MOTIF, "motif")),
+        F.when(F.size("attributions") > 0, F.format_string(ATTRIBUTIONS, shown)),
     )
 
 
+def evidence_records(alerts: DataFrame, edges: DataFrame, contributing: DataFrame, attributions: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One evidence row per alert: (alert_id, account_id, confidence, accounts, transactions, motif, first, last, attributions).
+
+    ``alerts`` are (alert_id, account_id, score), ``contributing`` (id, tx_id),
+    ``attributions`` (id, feature, share), ``cycles`` (id) of accounts on a
+    cycle.  Lists are in order; an alert without contributions has empty ones,
+    and the window of all its account's edges.
+    """
+    own = contributing.join(edges.select("tx_id", "src", "dst"), "tx_id")
+    lists = own.groupBy("id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array(F.col("src").cast("string"), F.col("dst").cast("string")))))).alias("accounts"),
+        F.sort_array(F.collect_set(F.col("tx_id").cast("string"))).alias("transactions"),
+    )
+    shares = attributions.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "share"))).alias("attributions"))
+    base = alerts.select("alert_id", F.col("account_id").alias("id"), F.col("score").alias("confidence"))
+    window = evidence_window(edges, base.select("id"), contributing).select("id", *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) for c in ("first", "last")])
+    marked = cycles.select("id").distinct().withColumn("motif", F.lit("cycle"))
+    out = base.join(lists, "id", "left").join(shares, "id", "left").join(window, "id", "left").join(marked, "id", "left")
+    empty = F.array().cast("array<string>")
+    return out.select(
+        "alert_id", F.col("id").cast("string").alias("account_id"), "confidence", F.coalesce("accounts", empty).alias("accounts"), F.coalesce("transactions", empty).alias("transactions"),
+        "motif", "first", "last", F.coalesce("attributions", F.array().cast("array<struct<feature:string,share:double>>")).alias("attributions"),
+    )
+
+
 #: What counts as an identifier and as a date in a narrative.
 IDENTIFIER = r"\b[a-zA-Z0-9_]+_[a-zA-Z0-9_]+\b|\b[A-Z][0-9]+\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b"

@@ -818,6 +818,20 @@ def narrative_validation(spark, d):
     return e.select("alert_id", explain.narrative_valid(text, allowed, F.array("first", "last")).alias("valid"))
 
 
+@query(H + """, c AS (SELECT src AS id, tx_id FROM h WHERE amount >= 150), m AS (SELECT tx_id, src, dst, id, ts FROM h JOIN c USING (tx_id)),
+l AS (SELECT id, array_to_string(list_sort(list_distinct(list(src::VARCHAR) || list(dst::VARCHAR))), ',') AS accounts, array_to_string(list_sort(list(DISTINCT tx_id::VARCHAR)), ',') AS transactions FROM m GROUP BY 1),
+en AS (SELECT src AS id, tx_id, ts FROM h UNION SELECT dst, tx_id, ts FROM h), w AS (SELECT en.id, coalesce(min(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), min(ts)) AS f, coalesce(max(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), max(ts)) AS t FROM en GROUP BY 1)
+SELECT 'AL_' || hv.id AS alert_id, coalesce(accounts, '') AS accounts, coalesce(transactions, '') AS transactions, strftime(f, '%Y-%m-%dT%H:%M:%S') AS first, strftime(t, '%Y-%m-%dT%H:%M:%S') AS last
+FROM hv LEFT JOIN l USING (id) LEFT JOIN w USING (id) WHERE hv.id % 3 = 0""")
+def evidence_records(spark, d):
+    h = B.hot_edges(spark, d)
+    alerts = B.hot_vertices(spark).where("id % 3 = 0").select(F.concat(F.lit("AL_"), F.col("id").cast("string")).alias("alert_id"), F.col("id").alias("account_id"), F.lit(0.9).alias("score"))
+    own = h.where("amount >= 150").select(F.col("src").alias("id"), "tx_id")
+    shares = explain.normalised(explain.feature_ablation(_degrees(spark, d), ["out", "into"], _logit))
+    e = explain.evidence_records(alerts, h, own, shares, h.where("src = dst").select(F.col("src").alias("id")))
+    return e.select("alert_id", F.array_join("accounts", ",").alias("accounts"), F.array_join("transactions", ",").alias("transactions"), "first", "last")
+
+
 ALERTS = T + ", al AS (SELECT 'a' || tx_id AS alert_id, src_account AS account_id, score, 'open' AS status FROM tx WHERE score >= 0.8)"
 
 

@@ -188,3 +188,14 @@ def test_settings(tmp_path, capsys):
     assert cli.main(["--set", "seed=7", "config-show"]) == 0 and '"seed": 7' in capsys.readouterr().out
     m = RunManifest.create("h", "x")
     assert RunManifest.read(m.write(str(tmp_path))) == m
+
+
+def test_log_lines_are_json():
+    import io
+
+    from tallyweft.logs import logger
+
+    out = io.StringIO()
+    logger("test_lines", stream=out).info("done", extra={"rows": 3})
+    line = json.loads(out.getvalue())
+    assert (line["message"], line["rows"], line["level"]) == ("done", 3, "INFO")
