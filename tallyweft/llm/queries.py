@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {"op9_source_mixing": mixing.PLAN_SQL}
+SQL: dict[str, str] = {"op6_warc_index": warc.CAPTURES_SQL, "op9_source_mixing": mixing.PLAN_SQL}

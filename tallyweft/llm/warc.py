@@ -314,3 +314,14 @@ def archive_and_read(pages: DataFrame, *, folder: str | None = None, least: int
     folder = folder or scratch_path(spark, "warc")
     captures = write_archives(pages, folder, least=least)
     return look_up(build_index(captures, folder), captures.select("page_id", "surt"))
+
+
+#: The same captures in SQL: digests, and the smallest page of each payload.
+CAPTURES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+b AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, s, min(page_id) OVER (PARTITION BY s) AS first,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((((('0x' || substr(s, (i // 4 * 5 + 1)::INT, 5))::BIGINT) >> ((3 - i % 4) * 5)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
