@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import ratio
 from tallyweft.operators.metrics import roc_auc
+from tallyweft.operators.ranks import percentiles
 
 # --- drift ------------------------------------------------------------------------------------
 
@@ -24,7 +25,7 @@ def performance_drift(scored: DataFrame, bins: int = 4) -> DataFrame:
     has one class.
     """
     timed = scored.where(F.col("ts").isNotNull()).withColumn("m", _micros(F.col("ts")).cast("double"))
-    edges = timed.agg(F.array_distinct(F.percentile("m", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("e"))
+    edges = percentiles(timed.select(F.lit("m").alias("feature"), F.col("m").alias("value")), [i / bins for i in range(bins + 1)]).select(F.array_distinct("p").alias("e"))
     at = F.greatest(F.size(F.filter("e", lambda x: x < F.col("m"))) - 1, F.lit(0))
     binned = timed.join(F.broadcast(edges)).withColumn("bin", at)
     sizes = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -40,11 +41,9 @@ def psi(samples: DataFrame, buckets: int = 10) -> DataFrame:
     edges, or an empty side, give 0.
     """
     known = samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    expected = F.when(F.col("side") == "expected", F.col("value"))
-    edges = known.groupBy("feature").agg(
-        F.array_distinct(F.percentile(expected, F.array(*[F.lit(i / buckets) for i in range(buckets + 1)]))).alias("e"),
-        F.count(expected).alias("n_expected"), F.count(F.when(F.col("side") == "actual", 1)).alias("n_actual"),
-    )
+    sizes = known.groupBy("feature").agg(F.count(F.when(F.col("side") == "expected", 1)).alias("n_expected"), F.count(F.when(F.col("side") == "actual", 1)).alias("n_actual"))
+    cuts = percentiles(known.where("side = 'expected'"), [i / buckets for i in range(buckets + 1)])
+    edges = sizes.join(cuts, "feature").withColumn("e", F.array_distinct("p")).drop("p")
     last = F.element_at("e", -1)
     n_buckets = F.size("e") - 1
     at = F.when(F.col("value") == last, n_buckets - 1).when((F.col("value") >= F.col("e")[0]) & (F.col("value") < last), F.size(F.filter("e", lambda x: x <= F.col("value"))) - 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyweft.functions.scalar import ratio, seconds_between
 from tallyweft.operators import iterate
 from tallyweft.operators.graph import clustering, node_statistics, weighted
+from tallyweft.operators.ranks import percentiles
 from tallyweft.operators.validate import assert_disjoint
 
 # --- temporal ---------------------------------------------------------------------------------
@@ -146,12 +147,14 @@ def scaler_statistics(train: DataFrame, columns: list[str], scaler: str) -> dict
     if scaler == "none" or not columns:
         return {c: (0.0, 1.0) for c in columns}
 
+    if scaler == "robust":
+        long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.*")
+        q = {r["feature"]: r["p"] for r in percentiles(long, [0.25, 0.5, 0.75]).collect()}
+        return {c: (float(q[c][1]), float(q[c][2] - q[c][0]) or 1.0) if c in q else (0.0, 1.0) for c in columns}
+
     def pair(c: str) -> list[Column]:
         if scaler == "standard":
             return [F.avg(c), F.stddev_pop(c)]
-        if scaler == "robust":
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            return [q[1], q[2] - q[0]]
         return [F.min(c), F.max(c) - F.min(c)]
 
     found = train.agg(*[x.alias(f"{c}__{i}") for c in columns for i, x in enumerate(pair(c))]).first()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import ratio
+from tallyweft.operators.ranks import running_totals
 
 
 def _count(when: Column) -> Column:
@@ -68,12 +69,15 @@ def recall_at_budget(scored: DataFrame, budget: int) -> DataFrame:
 
 
 def by_score(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Positives and negatives at each distinct score, best first, with running sums before and up to it."""
+    """Positives and negatives at each distinct score, best first, with sums up to it and the totals."""
     by = by or []
     g = scored.groupBy(*by, "score").agg(_count(F.col("label") == 1).alias("p"), _count(F.col("label") == 0).alias("n"))
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    down = part.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "positives": F.sum("p").over(part), "negatives": F.sum("n").over(part)})
+    curve = running_totals(g, F.desc("score"), {"tp": "p", "fp": "n"}, by)
+    total = scored.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(_count(F.col("label") == 1).alias("positives"), _count(F.col("label") == 0).alias("negatives"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return curve.join(total if by else F.broadcast(total), same).drop(*[f"_{c}" for c in by])
 
 
 def roc_auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
