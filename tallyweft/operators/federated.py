@@ -89,6 +89,14 @@ def recall_by_span(scored: DataFrame, members: DataFrame, threshold: float = 0.5
     return named.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("recall"))
 
 
+def recall_pooled(scored: DataFrame, members: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(spread, n, recall): the same for rings within one institution (``single``) and across several (``several``)."""
+    best = members.groupBy("id").agg(F.max("span").alias("span"))
+    spread = F.when(F.coalesce("span", F.lit(1).cast("long")) >= 2, "several").otherwise("single")
+    named = scored.where("label = 1").join(best, "id", "left").withColumn("spread", spread)
+    return named.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("recall"))
+
+
 # --- averaging and privacy --------------------------------------------------------------------
 
 

@@ -106,11 +106,16 @@ def require_two_classes(scored: DataFrame) -> None:
         raise ValueError("both classes are needed")
 
 
-def log_loss(scored: DataFrame) -> DataFrame:
+def client_validation(scored: DataFrame, by: str = "client") -> DataFrame:
+    """(client, loss, n, auc) of each client's held-out rows; an AUC is 0.5 where a client has one class."""
+    return log_loss(scored, [by]).join(roc_auc(scored, [by]), by).withColumn("auc", F.coalesce("auc", F.lit(0.5)))
+
+
+def log_loss(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(loss, n): mean negative log likelihood, scores held within 1e-15 of 0 and 1; 0 for no rows."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
     each = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
-    return scored.agg(F.coalesce(F.avg(each), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return scored.groupBy(*(by or [])).agg(F.coalesce(F.avg(each), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 def segment_comparison(scored: DataFrame, segments: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -299,6 +299,16 @@ def ring_recall_by_span(spark, d):
     return rounded(federated.recall_by_span(scored, members), "recall")
 
 
+@query(SPANS + """, pos AS (SELECT id, (id % 10) / 10.0 AS score FROM hv WHERE id IN (SELECT member FROM ring) OR id % 20 = 0), ms AS (SELECT member AS id, max(span) AS span FROM ring JOIN sp USING (ring_id) GROUP BY 1)
+SELECT CASE WHEN coalesce(span, 1) >= 2 THEN 'several' ELSE 'single' END AS spread, count(*) AS n, round(avg((score >= 0.5)::INT), 6) AS recall FROM pos LEFT JOIN ms USING (id) GROUP BY 1""")
+def ring_recall_pooled(spark, d):
+    rings = iterate.laundering_rings(B.hot_edges(spark, d))
+    members = rings.join(federated.ring_spans(rings, _hot_owners(spark)), "ring_id").select(F.col("member").alias("id"), "span")
+    inside = rings.select(F.col("member").alias("id")).distinct().withColumn("in_ring", F.lit(True))
+    scored = B.hot_vertices(spark).join(inside, "id", "left").where("in_ring or id % 20 = 0").select("id", F.lit(1).alias("label"), ((F.col("id") % 10) / 10).alias("score"))
+    return rounded(federated.recall_pooled(scored, members), "recall")
+
+
 def _pagerank_sql(rounds: int) -> str:
     out = [E, ",\nn AS (SELECT count(*)::DOUBLE AS n FROM v), w AS (SELECT src, dst, count(*)::DOUBLE AS k FROM e GROUP BY ALL), sh AS (SELECT src, dst, k / sum(k) OVER (PARTITION BY src) AS share FROM w)"]
     out.append(",\nr0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM v, n)")
@@ -541,6 +551,12 @@ def log_loss(spark, d):
     return rounded(metrics.log_loss(_scored(spark, d)), "loss")
 
 
+@query(SCORED + f""", r AS ({RANKED.format(p='PARTITION BY nation', q='nation,', s='s')})
+SELECT nation AS client, round(avg(-CASE WHEN label = 1 THEN ln(least(greatest(score, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)) END), 6) AS loss, count(*) AS n, round(coalesce({AUC.replace('(count(*) FILTER (label = 1) * count(*) FILTER (label = 0))', 'nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0)')}, 0.5), 6) AS auc FROM r GROUP BY 1""")
+def client_validation(spark, d):
+    return rounded(metrics.client_validation(_scored(spark, d).withColumnRenamed("nation", "client")), "loss", "auc")
+
+
 @query(SCORED + f""", m AS (SELECT 'a' AS model, id, label, score, segment FROM s UNION ALL SELECT 'b', id, label, 1 - score, segment FROM s),
 x AS (SELECT model, label, score, segment FROM m UNION ALL SELECT model, label, score, 'overall' FROM m), r AS ({RANKED.format(p='PARTITION BY model, segment', q='model, segment,', s='x')}),
 g AS (SELECT model, segment, count(*) FILTER (score >= 0.5) AS a, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (label = 1) AS p, count(*) AS n, {AUC.replace('(count(*) FILTER (label = 1) * count(*) FILTER (label = 0))', 'nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0)')} AS auc FROM r GROUP BY ALL)

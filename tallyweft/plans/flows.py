@@ -49,9 +49,14 @@ def prepare(data: CanonicalDataset, s: Settings, folder: str | None = None) -> d
     stats = graph.node_statistics(vertices_of(data), graph.edges_of(data.transactions))
     folds = cut(split.split(account_entities(data), s.split.strategy, fractions=_fractions(s), seed=s.seed, held_out=s.split.held_out_institution), "folds")
     if folder:
+        at = f"{folder}/{data.name}"
         data.write(folder)
-        stats.write.mode("overwrite").parquet(f"{folder}/{data.name}/node_statistics.parquet")
-        folds.select("entity_id", "fold").write.mode("overwrite").parquet(f"{folder}/{data.name}/split_ids.parquet")
+        stats.write.mode("overwrite").parquet(f"{at}/node_statistics.parquet")
+        vertices_of(data).write.mode("overwrite").parquet(f"{at}/graph_vertices.parquet")
+        graph.edges_of(data.transactions).write.mode("overwrite").parquet(f"{at}/graph_edges.parquet")
+        folds.select("entity_id", "fold").write.mode("overwrite").parquet(f"{at}/split_ids.parquet")
+        manifest = split.SplitManifest.of(folds, data.name, s.split.strategy, s.seed).to_json()
+        folds.sparkSession.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode("overwrite").option("lineSep", "\n\n").text(f"{at}/split_manifest")
     return {"node_statistics": stats, "folds": folds}
 
 
@@ -205,6 +210,34 @@ def ablations(data: CanonicalDataset, s: Settings) -> list[dict]:
     return out
 
 
+def federated_ablations(data: CanonicalDataset, s: Settings) -> list[dict]:
+    """AUC on the test fold after federated rounds, without and with noise; the rounds that the budget allowed."""
+    folds, matrix = prepare(data, s)["folds"], unscaled_matrix(data, s)
+    pipe = fx.FeaturePipeline(s.features.scaler).fit(matrix, _ids(folds, "train"), _ids(folds, "test"))
+    owned = federated.owners(data.accounts, s.federated.num_clients)
+    rows = cut(pipe.transform(matrix).join(folds.select(F.col("entity_id").alias("account_id"), "target", "fold"), "account_id").join(owned, "account_id").withColumnRenamed("owner", "client"), "rows")
+    held, out = rows.where("fold = 'test'"), []
+    for name, private in (("federated", False), ("federated_with_noise", True)):
+        weights, log = federate(rows.where("fold = 'train'"), pipe.columns, s, private=private)
+        scored = detectors.linear_scores(held, pipe.columns, weights).join(held.select("account_id", F.col("target").alias("label")), "account_id")
+        out.append({"ablation": name, "auc": metrics.roc_auc(scored).first()["auc"], "rounds": len(log)})
+    return out
+
+
+def evasion(data: CanonicalDataset, s: Settings, trained: Trained) -> DataFrame:
+    """(level, recall) of the positive test accounts when ring transactions are split, delayed or sent through mules."""
+    positive = split.POSITIVE[split.dataset_of(data.name)]
+    ring_tx = data.labels.where((F.col("entity_type") == "tx") & (F.col("label") == positive)).select(F.col("entity_id").alias("tx_id"))
+    targets = trained.scored.where("label = 1").select(F.col("id").alias("account_id"))
+
+    def scores(transactions: DataFrame) -> DataFrame:
+        changed = data.with_tables(transactions=transactions, accounts=audit.mule_accounts(data.accounts, ring_tx))
+        x = _inputs(trained.detector, trained.pipeline.transform(unscaled_matrix(changed, s)), changed)
+        return trained.detector.predict(x)
+
+    return audit.evasion_recall(data.transactions, ring_tx, targets, scores, s.training.alert_threshold)
+
+
 def evaluation_report(data: CanonicalDataset, s: Settings, trained: Trained) -> str:
     """A markdown report of metrics, drift, fairness by institution and evasion counts."""
     scored = trained.scored
@@ -217,6 +250,8 @@ def evaluation_report(data: CanonicalDataset, s: Settings, trained: Trained) ->
     lines += [f"| {k} | {m[k]} |" for k in ("precision", "recall", "f1", "auc", "average_precision", "total_alerts", "n_samples", "n_positive")]
     lines += ["", "## Drift over time", "", "| bin | n | AUC |", "|---|---|---|", *[f"| {r['bin']} | {r['n']} | {r['auc']:.4f} |" for r in drift]]
     lines += ["", "## Fairness by institution", "", *[f"- {k}: {v}" for k, v in bias.asDict().items()]]
+    lines += ["", "## Evasion", "", "| level | recall |", "|---|---|", *[f"| {r['level']} | {r['recall']:.4f} |" for r in evasion(data, s, trained).orderBy("level").collect()]]
+    lines += ["", "## Ablations", "", "| without | AUC |", "|---|---|", *[f"| {r['ablation']} | {r['auc']} |" for r in ablations(data, s) + federated_ablations(data, s)]]
     lines += ["", "## Importance", "", *[f"- {k}: {v:.4f}" for k, v in trained.detector.importance()[:20]]]
     return "\n".join(lines) + "\n"
 

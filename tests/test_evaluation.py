@@ -189,7 +189,8 @@ def test_flows(spark, tmp_path):
     assert again.columns == t.detector.columns
     with pytest.raises(TypeError):
         detectors.NeighbourMean.load(str(tmp_path / "model"))
-    assert "## Drift" in flows.evaluation_report(data, s, t)
+    report = flows.evaluation_report(data, s, t)
+    assert all(f"## {h}" in report for h in ("Drift", "Fairness", "Evasion", "Ablations"))
     conditions = {r["condition"]: r["n_samples"] for r in flows.three_conditions(data, s).collect()}
     assert set(conditions) == {"isolated", "federated", "pooled"} and len(set(conditions.values())) == 1
 
