@@ -11,15 +11,18 @@ its open merge of the best score, the leftmost of equals.  That is the order
 in which the library's queue merges, so the pieces are the library's.
 Characters outside the vocabulary become bytes.
 
-A chunk's ids are kept in a bounded table, since chunks recur; chunks longer
+A chunk's ids are kept in a bounded table of two generations, since chunks
+recur; chunks longer
 than LONG characters take a queue instead of rounds.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks whose ids a worker keeps, characters of text encoded at once, of new chunks in a suffix array, and of a chunk that takes rounds.
-KEPT, BLOCK, MATCHED, LONG = 250_000, 1_500_000, 200_000, 256
+KEPT, BLOCK, MATCHED, LONG = 320_000, 1_500_000, 200_000, 256
 #: Characters of the longest piece.
 LONGEST = 16
 
@@ -91,6 +94,7 @@ class Pieces:
             self.rows[k, : len(name)] = self.symbol[[ord(c) for c in name]]
         self.whole_lines = any("\n" in name for name in self.ids)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.former: dict[str, tuple[int, ...]] = {}
         self.place_of = dict(zip((name for name, _ in many), self.place.tolist(), strict=True))
 
     # --- suffix array -------------------------------------------------------------------------
@@ -146,30 +150,29 @@ class Pieces:
         n = len(code) + len(chunks)
         symbols, piece_at = np.zeros(n, np.int64), np.full(n, -2, np.int32)
         symbols[at], piece_at[at] = self.symbol[code], self.single[code]
-        word_at = np.repeat(np.arange(len(chunks)), sizes + 1)
+        word_at = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes + 1)
         start, piece = self.occurrences(symbols)
         by_position = np.argsort(start)
         start, piece = start[by_position].astype(np.int32), piece[by_position].astype(np.int32)
-        stop, own = start + self.length[piece], word_at[start].astype(np.int32)
-        key = (self.place[piece] << 32) | start
-        edge = np.ones(n + 1, bool)
-        while len(start):
-            before = np.cumsum(edge)
-            inner = before[stop - 1] - before[start]
-            alive = edge[start] & edge[stop] & (inner > 0)
-            start, stop, piece, own, key, inner = (x[alive] for x in (start, stop, piece, own, key, inner))
-            open_ = np.flatnonzero(inner == 1)
+        stop, key = start + self.length[piece], (self.place[piece] << 32) | start
+        edge, left = np.ones(n + 1, bool), np.arange(len(start), dtype=np.int32)
+        while len(left):
+            before = np.cumsum(edge, dtype=np.int32)
+            a, b = start[left], stop[left]
+            inner = before[b - 1] - before[a]
+            alive = edge[a] & edge[b] & (inner > 0)
+            left, open_ = left[alive], left[alive & (inner == 1)]
             if not len(open_):
                 break
-            turn = np.flatnonzero(np.concatenate(([True], np.diff(own[open_]) != 0)))
-            best = open_[key[open_] == np.repeat(np.minimum.reduceat(key[open_], turn), np.diff(np.concatenate((turn, [len(open_)]))))]
+            own, keys = word_at[start[open_]], key[open_]
+            turn = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            best = open_[keys == np.repeat(np.minimum.reduceat(keys, turn), np.diff(np.concatenate((turn, [len(open_)]))))]
             edge[np.flatnonzero(edge)[before[start[best]]]] = False
             piece_at[start[best]] = self.many[piece[best]]
             # chunks without an open merge are done
-            done = np.ones(len(chunks), bool)
-            done[own[best]] = False
-            rest = ~done[own]
-            start, stop, piece, own, key = (x[rest] for x in (start, stop, piece, own, key))
+            going = np.zeros(len(chunks), bool)
+            going[own] = True
+            left = left[going[word_at[start[left]]]]
         heads = at[edge[at]]
         ids = piece_at[heads]
         ends = np.cumsum(np.bincount(word_at[heads], minlength=len(chunks))).tolist()
@@ -248,10 +251,17 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
         cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > KEPT:
-            self.known = {}
-        new = [c for c in wanted if c not in self.known]
+        if len(self.known) > KEPT // 2:
+            # the younger half becomes the older; chunks that recur are taken over from it
+            self.former, self.known = self.known, {}
+        new = []
+        for c in set().union(*cut):
+            if c not in self.known:
+                ids = self.former.get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    self.known[c] = ids
         part, held = [], 0
         for c in new:
             if len(c) <= LONG:
@@ -263,13 +273,8 @@ class Pieces:
         if part:
             self.known.update(zip(part, self.segment(part), strict=True))
         self.known.update((c, self.queued(c)) for c in new if len(c) > LONG)
-        known, out = self.known, []
-        for parts in cut:
-            ids: list[int] = []
-            for c in parts:
-                ids += known[c]
-            out.append(ids)
-        return out
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, parts))) for parts in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: bytes joined, marks as spaces, the mark in front dropped."""
@@ -292,6 +297,14 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
 
 def _encoder(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many tuples are kept and none lies on a cycle: searching them for cycles is idle work
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
             done = 0
