@@ -9,28 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.operators.graph import half_edges, undirected, weighted
-from tallyweft.storage import cut
+from tallyweft.storage import cut, cut_with
 
 
-def until_still(start: DataFrame, step: Callable[[DataFrame], DataFrame], state: Callable[[DataFrame], tuple], rounds: int, what: str) -> DataFrame:
-    """Apply ``step`` until ``state`` (a few numbers that tell whether rows changed) stays the same."""
-    now = cut(start, what)
-    was = state(now)
+def until_still(start: DataFrame, step: Callable[[DataFrame], DataFrame], state: list[Column], rounds: int, what: str) -> DataFrame:
+    """Apply ``step`` until ``state`` (aggregates that tell whether rows changed, taken as a round is written) stays the same."""
+    now, was = cut_with(start, what, *state)
     for _ in range(rounds):
-        after = cut(step(now), what)
-        now, before, was = after, was, state(after)
-        if was == before:
+        now, seen = cut_with(step(now), what, *state)
+        if seen == was:
             return now
+        was = seen
     raise RuntimeError(f"{what} did not settle in {rounds} rounds")
 
 
-def _hash_state(*columns: str) -> Callable[[DataFrame], tuple]:
-    return lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
+def _rows(*columns: str) -> list[Column]:
+    """Number of the rows, and a hash of them if columns are named."""
+    return [F.count(F.lit(1)), *([F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))] if columns else [])]
 
 
 # --- components -------------------------------------------------------------------------------
@@ -58,7 +58,7 @@ def component_labels(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     ignored; no pairs give an empty result.
     """
     clean = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    settled = until_still(clean, _star, _hash_state("u", "v"), rounds, "components")
+    settled = until_still(clean, _star, _rows("u", "v"), rounds, "components")
     roots = settled.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return settled.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
@@ -81,7 +81,7 @@ def _trimmed(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
         sources, sinks = e.select(F.col("src").alias("x")).distinct(), e.select(F.col("dst").alias("x")).distinct()
         return e.join(sinks, e["src"] == sinks["x"], "left_semi").join(sources, e["dst"] == sources["x"], "left_semi")
 
-    return until_still(pairs, step, lambda e: (e.count(),), rounds, "trim")
+    return until_still(pairs, step, _rows(), rounds, "trim")
 
 
 def _reached(start: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _reached(start: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:
         sent = pairs.join(c.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "colour")
         return c.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour"))
 
-    return until_still(start, step, _hash_state("id", "colour"), rounds, "colour")
+    return until_still(start, step, _rows("id", "colour"), rounds, "colour")
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -117,7 +117,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000)
             sent = inner.join(c.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour")
             return c.unionByName(sent).distinct()
 
-        own = until_still(colours.where("id = colour"), back, lambda c: (c.count(),), rounds, "back")
+        own = until_still(colours.where("id = colour"), back, _rows(), rounds, "back")
         found = cut(found.unionByName(own.select("id", F.col("colour").alias("component"))), "strong")
         gone = own.select(F.col("id").alias("x"))
         pairs = _trimmed(pairs.join(gone, pairs["src"] == gone["x"], "left_anti").join(gone, pairs["dst"] == gone["x"], "left_anti"))
@@ -173,7 +173,7 @@ def core_numbers(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> D
         return c.join(h, "id").select("id", F.least("core", "h").alias("core"))
 
     degrees = near.groupBy("id").agg(F.count(F.lit(1)).alias("core"))
-    settled = until_still(degrees, step, lambda c: (c.agg(F.sum("core")).first()[0],), rounds, "cores")
+    settled = until_still(degrees, step, [F.sum("core")], rounds, "cores")
     return vertices.select("id").distinct().join(settled, "id", "left").na.fill(0, ["core"])
 
 

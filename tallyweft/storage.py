@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +46,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """``cut``, and the values of aggregates over the rows, gathered while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), name)
+    return out, tuple(seen.get[f"m{i}"] for i in range(len(metrics)))
