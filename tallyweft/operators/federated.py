@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyweft.functions.scalar import hmac_sha256, md5_mod, ratio
+from tallyweft.functions.scalar import hmac_sha256, md5_mod
 
 KEY_VARIABLE, TEST_KEY = "TALLYWEFT_PSEUDONYM_KEY", "test-only-key"
 
@@ -198,7 +198,3 @@ def mean_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     mean = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
     zero = F.transform("vec", lambda v: F.lit(0.0))
     return nodes.join(mean, "id", "left").select("id", F.coalesce("mean", zero).alias("vec"))
-
-
-def share_of(part: Column, whole: Column) -> Column:
-    return ratio(part, whole)

@@ -43,8 +43,8 @@ def iso(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-T, E, H = (f"WITH {b}" for b in (B.TRADE_SQL, B.EVENTS_SQL, B.HOT_SQL))
-R = f"WITH RECURSIVE {B.HOT_SQL}"
+T, E, H = (f"WITH {b}" for b in (B.TRADE_SQL, B.EVENTS_SQL, B.LABELLED_SQL))
+R = f"WITH RECURSIVE {B.LABELLED_SQL}"
 ISO = "'%Y-%m-%d %H:%M:%S'"
 
 
@@ -224,7 +224,7 @@ def motif_fan(spark, d):
 
 @query(H + FAN_SQL.format(v="hv", e="h"))
 def motif_chain(spark, d):
-    return features.fan_features(B.hot_vertices(spark), B.hot_edges(spark, d))
+    return features.fan_features(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
 REACH = R + """,
@@ -234,13 +234,13 @@ reach AS (SELECT src, dst FROM he UNION SELECT r.src, x.dst FROM reach r JOIN he
 
 @query(REACH + " SELECT id, (EXISTS (SELECT 1 FROM reach WHERE src = id AND dst = id))::INT AS motif_is_cycle FROM hv")
 def motif_cycle(spark, d):
-    return features.cycle_flags(B.hot_vertices(spark), B.hot_edges(spark, d))
+    return features.cycle_flags(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
 @query(REACH + """, both_ AS (SELECT a.src AS id, a.dst AS o FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src UNION SELECT id, id FROM hv)
 SELECT id, max(o) AS component, count(*) AS size FROM both_ GROUP BY 1""")
 def strong_components(spark, d):
-    return iterate.strong_components(B.hot_vertices(spark), B.hot_edges(spark, d))
+    return iterate.strong_components(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
 UND = ",\nu AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {e} WHERE src <> dst), hu AS (SELECT a AS id, b AS o FROM u UNION ALL SELECT b, a FROM u)"
@@ -251,7 +251,7 @@ deg AS (SELECT id, count(*) AS d FROM hu GROUP BY 1), tri AS (SELECT x.id, count
 SELECT hv.id, coalesce(d, 0) AS degree, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN coalesce(d, 0) < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (d * (d - 1)) END, 6) AS clustering
 FROM hv LEFT JOIN deg USING (id) LEFT JOIN tri USING (id)""")
 def clustering_coefficient(spark, d):
-    return rounded(graph.clustering(B.hot_vertices(spark), B.hot_edges(spark, d)), "clustering")
+    return rounded(graph.clustering(B.event_vertices(spark, d), B.labelled_edges(spark, d)), "clustering")
 
 
 COMP = R + UND.format(e="h") + ",\nw AS (SELECT id, id AS o FROM hv UNION SELECT w.id, hu.o FROM w JOIN hu ON w.o = hu.id), c AS (SELECT id, min(o) AS component, count(*) AS size FROM w GROUP BY 1)"
@@ -259,12 +259,12 @@ COMP = R + UND.format(e="h") + ",\nw AS (SELECT id, id AS o FROM hv UNION SELECT
 
 @query(COMP + " SELECT id, component, size FROM c")
 def connected_components(spark, d):
-    return iterate.connected_components(B.hot_vertices(spark), B.hot_edges(spark, d))
+    return iterate.connected_components(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
 @query(COMP + " SELECT size, count(*) AS n_vertices FROM c GROUP BY 1")
 def component_size(spark, d):
-    return iterate.connected_components(B.hot_vertices(spark), B.hot_edges(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("n_vertices"))
+    return iterate.connected_components(B.event_vertices(spark, d), B.labelled_edges(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("n_vertices"))
 
 
 RING = R + """,
@@ -274,38 +274,36 @@ OWN = ", own AS (SELECT id, (id % 5) % 4 AS owner FROM hv)"
 SPANS = RING + OWN + ", sp AS (SELECT ring_id, count(DISTINCT owner) AS span FROM ring JOIN own ON own.id = member GROUP BY 1)"
 
 
-def _hot_owners(spark) -> DataFrame:
-    return B.hot_vertices(spark).select(F.col("id").cast("string").alias("account_id"), ((F.col("id") % 5) % 4).cast("int").alias("owner"))
+def _event_owners(spark, d) -> DataFrame:
+    return B.event_vertices(spark, d).select(F.col("id").cast("string").alias("account_id"), ((F.col("id") % 5) % 4).cast("int").alias("owner"))
 
 
 @query(RING + " SELECT ring_id, member FROM ring")
 def laundering_rings(spark, d):
-    return iterate.laundering_rings(B.hot_edges(spark, d))
+    return iterate.laundering_rings(B.labelled_edges(spark, d))
 
 
 @query(SPANS + " SELECT k.range AS k, count(ring_id) AS n_rings FROM range(1, 5) k LEFT JOIN sp ON span = k.range GROUP BY 1")
 def ring_span_histogram(spark, d):
-    return federated.span_histogram(federated.ring_spans(iterate.laundering_rings(B.hot_edges(spark, d)), _hot_owners(spark)), 4)
+    return federated.span_histogram(federated.ring_spans(iterate.laundering_rings(B.labelled_edges(spark, d)), _event_owners(spark, d)), 4)
 
 
-@query(SPANS + """, pos AS (SELECT id, least(1.0::DOUBLE, (id % 10) / 10.0) AS score FROM hv WHERE id IN (SELECT member FROM ring) OR id % 20 = 0),
+@query(SPANS + """, pos AS (SELECT id, least(1.0::DOUBLE, (id % 10) / 10.0) AS score FROM hv),
 ms AS (SELECT member AS id, max(span) AS span FROM ring JOIN sp USING (ring_id) GROUP BY 1)
 SELECT coalesce(span, 1) AS span, count(*) AS n, round(avg((score >= 0.5)::INT), 6) AS recall FROM pos LEFT JOIN ms USING (id) GROUP BY 1""")
 def ring_recall_by_span(spark, d):
-    rings = iterate.laundering_rings(B.hot_edges(spark, d))
-    members = rings.join(federated.ring_spans(rings, _hot_owners(spark)), "ring_id").select(F.col("member").alias("id"), "span")
-    inside = rings.select(F.col("member").alias("id")).distinct().withColumn("in_ring", F.lit(True))
-    scored = B.hot_vertices(spark).join(inside, "id", "left").where("in_ring or id % 20 = 0").select("id", F.lit(1).alias("label"), ((F.col("id") % 10) / 10).alias("score"))
+    rings = iterate.laundering_rings(B.labelled_edges(spark, d))
+    members = rings.join(federated.ring_spans(rings, _event_owners(spark, d)), "ring_id").select(F.col("member").alias("id"), "span")
+    scored = B.event_vertices(spark, d).select("id", F.lit(1).alias("label"), ((F.col("id") % 10) / 10).alias("score"))
     return rounded(federated.recall_by_span(scored, members), "recall")
 
 
-@query(SPANS + """, pos AS (SELECT id, (id % 10) / 10.0 AS score FROM hv WHERE id IN (SELECT member FROM ring) OR id % 20 = 0), ms AS (SELECT member AS id, max(span) AS span FROM ring JOIN sp USING (ring_id) GROUP BY 1)
+@query(SPANS + """, pos AS (SELECT id, (id % 10) / 10.0 AS score FROM hv), ms AS (SELECT member AS id, max(span) AS span FROM ring JOIN sp USING (ring_id) GROUP BY 1)
 SELECT CASE WHEN coalesce(span, 1) >= 2 THEN 'several' ELSE 'single' END AS spread, count(*) AS n, round(avg((score >= 0.5)::INT), 6) AS recall FROM pos LEFT JOIN ms USING (id) GROUP BY 1""")
 def ring_recall_pooled(spark, d):
-    rings = iterate.laundering_rings(B.hot_edges(spark, d))
-    members = rings.join(federated.ring_spans(rings, _hot_owners(spark)), "ring_id").select(F.col("member").alias("id"), "span")
-    inside = rings.select(F.col("member").alias("id")).distinct().withColumn("in_ring", F.lit(True))
-    scored = B.hot_vertices(spark).join(inside, "id", "left").where("in_ring or id % 20 = 0").select("id", F.lit(1).alias("label"), ((F.col("id") % 10) / 10).alias("score"))
+    rings = iterate.laundering_rings(B.labelled_edges(spark, d))
+    members = rings.join(federated.ring_spans(rings, _event_owners(spark, d)), "ring_id").select(F.col("member").alias("id"), "span")
+    scored = B.event_vertices(spark, d).select("id", F.lit(1).alias("label"), ((F.col("id") % 10) / 10).alias("score"))
     return rounded(federated.recall_pooled(scored, members), "recall")
 
 
@@ -332,7 +330,7 @@ def _core_chain(rounds: int) -> str:
 
 @query(_core_chain(25))
 def core_number(spark, d):
-    return iterate.core_numbers(B.hot_vertices(spark), B.hot_edges(spark, d))
+    return iterate.core_numbers(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
 def _seeds(spark) -> DataFrame:
@@ -344,23 +342,23 @@ KHOP = R + UND.format(e="h") + ",\nk AS (SELECT range AS id, 0 AS depth FROM ran
 
 @query(KHOP + " SELECT id, depth FROM near")
 def khop_2(spark, d):
-    return iterate.k_hop(B.hot_edges(spark, d), _seeds(spark), 2)
+    return iterate.k_hop(B.labelled_edges(spark, d), _seeds(spark), 2)
 
 
 @query(KHOP + " SELECT tx_id, src, dst FROM h WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
 def induced_subgraph(spark, d):
-    h = B.hot_edges(spark, d)
+    h = B.labelled_edges(spark, d)
     return graph.induced(h, iterate.k_hop(h, _seeds(spark), 2)).select("tx_id", "src", "dst")
 
 
-@query(H + " SELECT tx_id, src, dst FROM h WHERE src % 20 = 0 OR dst % 20 = 0")
+@query(H + " SELECT tx_id, src, dst FROM h WHERE src IN (SELECT range FROM range(0, 100, 20)) OR dst IN (SELECT range FROM range(0, 100, 20))")
 def endpoint_filter(spark, d):
-    return graph.touching(B.hot_edges(spark, d), _seeds(spark)).select("tx_id", "src", "dst")
+    return graph.touching(B.labelled_edges(spark, d), _seeds(spark)).select("tx_id", "src", "dst")
 
 
 @query(H + " SELECT dst, array_to_string(list_sort(list(tx_id)), ',') AS tx_ids FROM h GROUP BY 1")
 def in_edge_index(spark, d):
-    return graph.in_edge_index(B.hot_edges(spark, d)).select("dst", F.array_join(F.col("tx_ids").cast("array<string>"), ",").alias("tx_ids"))
+    return graph.in_edge_index(B.labelled_edges(spark, d)).select("dst", F.array_join(F.col("tx_ids").cast("array<string>"), ",").alias("tx_ids"))
 
 
 def _sample_sql() -> str:
@@ -370,7 +368,7 @@ def _sample_sql() -> str:
 
 @query(_sample_sql())
 def khop_sample_hash(spark, d):
-    return iterate.sample_neighbourhood(B.hot_edges(spark, d), _seeds(spark), [2, 1], seed=7)
+    return iterate.sample_neighbourhood(B.labelled_edges(spark, d), _seeds(spark), [2, 1], seed=7)
 
 
 # --- splits and labels ------------------------------------------------------------------------
@@ -453,12 +451,12 @@ def _matrix(spark, d):
 
 def _scaled(spark, d, kind):
     m = _matrix(spark, d)
-    pipe = features.FeaturePipeline(kind).fit(m, m.where("account_id % 2 = 0").select("account_id"), m.where("account_id % 2 = 1").select("account_id"))
+    pipe = features.FeaturePipeline(kind).fit(m, m.where("md5(string(account_id)) < '8'").select("account_id"), m.where("md5(string(account_id)) >= '8'").select("account_id"))
     return rounded(pipe.transform(m), "graph_degree", "out_strength", digits=4)
 
 
 def _scaler_sql(centre: str, scale: str) -> str:
-    one = lambda c: f"round(({c} - (SELECT {centre.format(c=c)} FROM m WHERE account_id % 2 = 0)) / coalesce(nullif((SELECT {scale.format(c=c)} FROM m WHERE account_id % 2 = 0), 0), 1), 4) AS {c}"
+    one = lambda c: f"round(({c} - (SELECT {centre.format(c=c)} FROM m WHERE md5(account_id::VARCHAR) < '8')) / coalesce(nullif((SELECT {scale.format(c=c)} FROM m WHERE md5(account_id::VARCHAR) < '8'), 0), 1), 4) AS {c}"
     return f"{MATRIX} SELECT account_id, {one('graph_degree')}, {one('out_strength')} FROM m"
 
 
@@ -751,21 +749,22 @@ def mask_cancellation(spark, d):
     return m.select(F.posexplode("mask").alias("pos", "r")).groupBy(F.col("pos").cast("long").alias("pos")).agg(F.sum("r").alias("total"))
 
 
-NODES = E + ", nd AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), ed AS (SELECT src, dst FROM e WHERE src < 500 AND dst < 500)"
+NODES = E + ", nd AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), ed AS (SELECT src, dst FROM e)"
 
 
-@query(NODES + """, mn AS (SELECT dst AS id, i, avg(vec[i]) AS x FROM ed JOIN nd ON nd.id = ed.src, range(1, 5) t(i) GROUP BY ALL)
-SELECT nd.id, i - 1 AS pos, round(coalesce(x, 0), 6) AS value FROM nd CROSS JOIN range(1, 5) t(i) LEFT JOIN mn USING (id, i)""")
+@query(NODES + """, mn AS (SELECT dst AS id, i, avg(vec[i]) AS x FROM ed JOIN nd ON nd.id = ed.src, range(1, 65) t(i) GROUP BY ALL)
+SELECT nd.id, i - 1 AS pos, round(coalesce(x, 0), 6) AS value FROM nd CROSS JOIN range(1, 65) t(i) LEFT JOIN mn USING (id, i)""")
 def sage_mean_layer(spark, d):
     n = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    m = federated.mean_neighbours(n, B.event_edges(spark, d).where("src < 500 and dst < 500"))
-    return rounded(m.select("id", F.posexplode(F.slice("vec", 1, 4)).alias("pos", "value")), "value").withColumn("pos", F.col("pos").cast("long"))
+    m = federated.mean_neighbours(n, B.event_edges(spark, d).select("src", "dst"))
+    return rounded(m.select("id", F.posexplode("vec").alias("pos", "value")), "value").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(NODES + " SELECT id, round(CASE WHEN id % 3 = 0 THEN -1.0 * (SELECT max(r.range) FROM range(3) r) ELSE vec[1] END, 6) AS value FROM nd")
+@query(NODES + " SELECT id, round(CASE WHEN label < 4 THEN -1.0 * (SELECT max(r.range) FROM range(3) r) ELSE vec[1] END, 6) AS value FROM nd")
 def boundary_override(spark, d):
-    n = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    sent = n.where("id % 3 = 0").select(F.col("id").alias("pseudonym"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("round"))
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    n = e.drop("label")
+    sent = e.where("label < 4").select(F.col("id").alias("pseudonym"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("round"))
     sent = sent.withColumn("vec", F.array((-1.0 * F.col("round")).cast("double")))
     return federated.overridden(n, federated.latest(sent)).select("id", F.round(F.col("vec")[0], 6).alias("value"))
 
@@ -773,9 +772,9 @@ def boundary_override(spark, d):
 # --- evidence and serving ---------------------------------------------------------------------
 
 
-@query(H + f" SELECT id, strftime(min(ts), {ISO}) AS first, strftime(max(ts), {ISO}) AS last FROM (SELECT src AS id, ts FROM h UNION ALL SELECT dst, ts FROM h) WHERE id % 2 = 0 GROUP BY 1")
+@query(H + f" SELECT id, strftime(min(ts), {ISO}) AS first, strftime(max(ts), {ISO}) AS last FROM (SELECT src AS id, ts FROM h UNION ALL SELECT dst, ts FROM h) GROUP BY 1")
 def evidence_window(spark, d):
-    w = explain.evidence_window(B.hot_edges(spark, d), B.hot_vertices(spark).where("id % 2 = 0"))
+    w = explain.evidence_window(B.labelled_edges(spark, d), B.event_vertices(spark, d))
     return w.withColumns({"first": iso("first"), "last": iso("last")})
 
 
@@ -784,7 +783,7 @@ a AS (SELECT id, 'out' AS feature, s - 1 / (1 + exp(-(0.2 * i - 1))) AS effect F
 
 
 def _degrees(spark, d):
-    s = graph.node_statistics(B.hot_vertices(spark), B.hot_edges(spark, d))
+    s = graph.node_statistics(B.event_vertices(spark, d), B.labelled_edges(spark, d))
     return s.select("id", F.col("out_degree").cast("double").alias("out"), F.col("in_degree").cast("double").alias("into"))
 
 
@@ -804,7 +803,7 @@ def counterfactual_grid(spark, d):
 
 
 def _evidence(spark, d):
-    h = B.hot_edges(spark, d)
+    h = B.labelled_edges(spark, d)
     ends = h.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "tx_id", "ts")
     g = ends.groupBy("id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last"), F.sort_array(F.collect_set("tx_id")).cast("array<string>").alias("tx"))
     return g.select(
@@ -834,15 +833,15 @@ def narrative_validation(spark, d):
     return e.select("alert_id", explain.narrative_valid(text, allowed, F.array("first", "last")).alias("valid"))
 
 
-@query(H + """, c AS (SELECT src AS id, tx_id FROM h WHERE amount >= 150), m AS (SELECT tx_id, src, dst, id, ts FROM h JOIN c USING (tx_id)),
+@query(H + """, c AS (SELECT src AS id, tx_id FROM h WHERE label = 'laundering'), m AS (SELECT tx_id, src, dst, id, ts FROM h JOIN c USING (tx_id)),
 l AS (SELECT id, array_to_string(list_sort(list_distinct(list(src::VARCHAR) || list(dst::VARCHAR))), ',') AS accounts, array_to_string(list_sort(list(DISTINCT tx_id::VARCHAR)), ',') AS transactions FROM m GROUP BY 1),
 en AS (SELECT src AS id, tx_id, ts FROM h UNION SELECT dst, tx_id, ts FROM h), w AS (SELECT en.id, coalesce(min(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), min(ts)) AS f, coalesce(max(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), max(ts)) AS t FROM en GROUP BY 1)
 SELECT 'AL_' || hv.id AS alert_id, coalesce(accounts, '') AS accounts, coalesce(transactions, '') AS transactions, strftime(f, '%Y-%m-%dT%H:%M:%S') AS first, strftime(t, '%Y-%m-%dT%H:%M:%S') AS last
-FROM hv LEFT JOIN l USING (id) LEFT JOIN w USING (id) WHERE hv.id % 3 = 0""")
+FROM hv LEFT JOIN l USING (id) LEFT JOIN w USING (id)""")
 def evidence_records(spark, d):
-    h = B.hot_edges(spark, d)
-    alerts = B.hot_vertices(spark).where("id % 3 = 0").select(F.concat(F.lit("AL_"), F.col("id").cast("string")).alias("alert_id"), F.col("id").alias("account_id"), F.lit(0.9).alias("score"))
-    own = h.where("amount >= 150").select(F.col("src").alias("id"), "tx_id")
+    h = B.labelled_edges(spark, d)
+    alerts = B.event_vertices(spark, d).select(F.concat(F.lit("AL_"), F.col("id").cast("string")).alias("alert_id"), F.col("id").alias("account_id"), F.lit(0.9).alias("score"))
+    own = h.where("label = 'laundering'").select(F.col("src").alias("id"), "tx_id")
     shares = explain.normalised(explain.feature_ablation(_degrees(spark, d), ["out", "into"], _logit))
     e = explain.evidence_records(alerts, h, own, shares, h.where("src = dst").select(F.col("src").alias("id")))
     return e.select("alert_id", F.array_join("accounts", ",").alias("accounts"), F.array_join("transactions", ",").alias("transactions"), "first", "last")
@@ -895,12 +894,12 @@ def score_bands(spark, d):
 
 @query(H + " SELECT channel, tx_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, tx_id) AS k, count(*) OVER (PARTITION BY src) AS n FROM h) WHERE k <= greatest(1, ceil(0.4 * n))")
 def timeline_scrub(spark, d):
-    return serving.scrubbed(B.hot_edges(spark, d), 0.4, "src").select("channel", "tx_id")
+    return serving.scrubbed(B.labelled_edges(spark, d), 0.4, "src").select("channel", "tx_id")
 
 
 @query(H + " SELECT tx_id, round(least(greatest(amount / 15000, 1), 8), 6) AS width, '$' || printf('%.1f', amount / 1000) || 'k' AS label FROM h")
 def edge_display(spark, d):
-    h = B.hot_edges(spark, d)
+    h = B.labelled_edges(spark, d)
     return h.select("tx_id", F.round(serving.edge_width(F.col("amount")), 6).alias("width"), serving.edge_label(F.col("amount")).alias("label"))
 
 

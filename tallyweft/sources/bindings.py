@@ -2,7 +2,6 @@
 
 ``trade``: customers buy from suppliers, a line item is a transfer.
 ``events``: users act on keys of one id space, an event is a transfer.
-``hot``: large purchases among the first hundred ids.
 Each has Spark frames and the same definition as SQL, for comparison.
 """
 
@@ -102,18 +101,16 @@ def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def hot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases of 100 and more by ids below 100; each has a label."""
-    e = event_edges(spark, sf_dir).where("channel = 'purchase' and amount >= 100 and src < 100 and dst < 100")
-    return e.withColumn("label", F.when(F.col("amount") >= 150, "laundering").otherwise("not_laundering"))
+def labelled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All event edges with a label: errors of 100 and more are laundering."""
+    e = event_edges(spark, sf_dir)
+    return e.withColumn("label", F.when((F.col("channel") == "error") & (F.col("amount") >= 100), "laundering").otherwise("not_laundering"))
 
 
-def hot_vertices(spark: SparkSession) -> DataFrame:
-    return spark.range(100)
+def event_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertices_of(event_edges(spark, sf_dir))
 
 
-HOT_SQL = EVENTS_SQL + """,
-h AS (
-  SELECT *, CASE WHEN amount >= 150 THEN 'laundering' ELSE 'not_laundering' END AS label
-  FROM e WHERE channel = 'purchase' AND amount >= 100 AND src < 100 AND dst < 100),
-hv AS (SELECT range AS id FROM range(100))"""
+LABELLED_SQL = EVENTS_SQL + """,
+h AS (SELECT *, CASE WHEN channel = 'error' AND amount >= 100 THEN 'laundering' ELSE 'not_laundering' END AS label FROM e),
+hv AS (SELECT id FROM v)"""
