@@ -1,11 +1,13 @@
-"""The shared folder, and tables that cut a plan's lineage."""
+"""The shared folder, tables that cut a plan's lineage, and the package's way to the executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -53,3 +55,21 @@ def cut_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tup
     seen = Observation()
     out = cut(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), name)
     return out, tuple(seen.get[f"m{i}"] for i in range(len(metrics)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver found it: once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyweft_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallyweft-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tallyweft.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.join("tallyweft", os.path.relpath(os.path.join(at, n), root)))
+    context.addPyFile(path)
+    context._tallyweft_shipped = True
