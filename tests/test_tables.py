@@ -199,3 +199,12 @@ def test_log_lines_are_json():
     logger("test_lines", stream=out).info("done", extra={"rows": 3})
     line = json.loads(out.getvalue())
     assert (line["message"], line["rows"], line["level"]) == ("done", 3, "INFO")
+
+
+def test_shipped_once(spark):
+    from tallyweft.storage import ship
+
+    ship(spark)
+    n = spark.sparkContext._jsc.sc().listFiles().size()
+    ship(spark)
+    assert spark.sparkContext._jsc.sc().listFiles().size() == n
