@@ -18,13 +18,13 @@ of blocks and searched exactly in a second pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.llm.shared import cut
@@ -273,18 +273,113 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 # --- one document of each group ---------------------------------------------------------------
 
 
-def _grams(words: int):
-    """Sorted distinct 32-bit hashes of each text's word shingles."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles; a shorter text is one shingle."""
     import xxhash
 
+    parts = (text or "").encode().lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    n = max(1, len(h) - words + 1)
+    out = np.full(n, min(len(h), words), np.uint64)
+    for i in range(min(len(h), words)):  # order counts: each step multiplies, then mixes high bits down
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _each_shingle(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                found = np.concatenate([shingles(text.as_py(), words) for text in batch.column(0)[at : at + 64]])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    return run
+
+
+def _grams(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text.as_py(), words).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["t", "grams"])
+
+    return run
+
+
+def _prefixes(words: int, similarity: float, names: np.ndarray, often: np.ndarray, hot: int):
+    """Rows (kind, h, t, n, at) of each text's prefix: of its n shingles, by the sample's count and
+    hash, the first that two texts of the similarity cannot both lack; kind is 1 if the count is above ``hot``."""
+
+    def prefix(t: int, text: str) -> np.ndarray:
+        grams = shingles(text, words)
+        n, count = len(grams), np.zeros(len(grams), np.int64)
+        if len(names):
+            i = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+            count = np.where(names[i] == grams, often[i], 0)
+        first = np.argsort(count, kind="stable")[: n - math.ceil(similarity * n) + 1]
+        m = len(first)
+        return np.stack([count[first] > hot, grams[first].view(np.int64), np.full(m, t), np.full(m, n), np.arange(m)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.concatenate([prefix(t.as_py(), text.as_py()) for t, text in zip(part.column(0), part.column(1), strict=True)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["kind", "h", "t", "n", "at"])
+
+    return run
+
+
+def _pairer(similarity: float, most: int):
+    """Streams rows sorted by (kind, h): pairs of cells of at most ``most`` texts as (0, u, v), rows of other cells as (1, h, t).
+
+    A pair is left out where the rest of either text is too short for the
+    similarity if this is the first shingle the two share; it then has an
+    earlier one, or is not of that similarity.
+    """
+
+    def out(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(a), kind), a, b)], names=["kind", "a", "b"])
+
+    def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        cell = np.concatenate(([0], np.cumsum(rows[1:, 1] != rows[:-1, 1])))
+        over = (np.bincount(cell) > most)[cell]
+        if over.any():
+            yield out(1, rows[over, 1], rows[over, 2])
+            rows, cell = rows[~over], cell[~over]
+        t, n, rest = rows[:, 2], rows[:, 3], rows[:, 3] - rows[:, 4]
+        at, step = np.arange(len(rows) - 1), 1
+        while len(at):
+            at = at[cell[at] == cell[at + step]]
+            other = at + step
+            good = np.minimum(rest[at], rest[other]) * (1 + similarity) >= similarity * (n[at] + n[other]) - 1e-6
+            a, b = t[at[good]], t[other[good]]
+            if len(a):
+                yield out(0, np.minimum(a, b), np.maximum(a, b))
+            step += 1
+            at = at[at + step < len(rows)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                w = (text.as_py() or "").encode().lower().split()
-                n = max(1, len(w) - words + 1)
-                found.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(w[i : i + words])) for i in range(n)), np.uint32, n)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "grams"])
+            rows = np.column_stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.zeros((0, 5), np.int64)
+            hot = rows[:, 0] == 1
+            if hot.any():
+                yield out(1, rows[hot, 1], rows[hot, 2])
+                rows = rows[~hot]
+            if not len(rows):
+                continue
+            if held and rows[0, 1] == rows[-1, 1] == held[0][-1, 1]:
+                held.append(rows)
+                continue
+            rows = np.concatenate([*held, rows])
+            last = rows[:, 1] == rows[-1, 1]
+            held = [rows[last]]
+            yield from done(rows[~last])
+        if held:
+            yield from done(np.concatenate(held))
 
     return run
 
@@ -294,7 +389,7 @@ def _alike(similarity: float):
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["u", "v"])
@@ -302,41 +397,124 @@ def _alike(similarity: float):
     return run
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", print_words: int = 3, bits: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _spread(t: np.ndarray, label: np.ndarray, grams: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join the labels of a block as all its pairs of the similarity would: each text
+    reached is compared with all texts not reached yet."""
+    n = np.array([len(g) for g in grams])
+    names, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    ids = np.split(ids, np.cumsum(n)[:-1])
+    mark, left, u, v = np.zeros(len(names), bool), np.arange(len(t)), [], []
+    while len(left):
+        own = label[left] == label[left[0]]
+        queue, left = left[own].tolist(), left[~own]
+        flat = None
+        while queue and len(left):
+            x = queue.pop()
+            if flat is None:
+                flat, starts = np.concatenate([ids[i] for i in left]), np.concatenate(([0], np.cumsum(n[left])[:-1]))
+            mark[ids[x]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[ids[x]] = False
+            found = both >= similarity * (n[x] + n[left] - both)
+            if found.any():
+                u.extend([int(t[x])] * int(found.sum()))
+                v.extend(t[left[found]].tolist())
+                own = np.isin(label[left], label[left[found]])
+                queue.extend(left[own].tolist())
+                left, flat = left[~own], None
+    return u, v
+
+
+def _spreader(similarity: float):
+    """Streams rows (block, t, label, grams) sorted by block and t: links (u, v)."""
+
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[1]: r for r in rows}.values())
+        if len({r[2] for r in rows}) > 1:
+            t, label = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+            u, v = _spread(t, label, [np.frombuffer(r[3], np.uint64) for r in rows], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    yield from done(rows)
+                    rows = []
+                rows.append(row)
+        yield from done(rows)
+
+    return run
+
+
+def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample: int = 1 << 14, most: int = 64, block: int = 1024) -> DataFrame:
+    """(u, v) links that join the rows (t, text), t distinct, as all pairs of texts of the similarity would.
+
+    Two sets of that Jaccard similarity share a shingle among the first of
+    each in any common order (prefix filter), so cells of one shingle hold
+    every pair.  Order is by the count in a sample, so that frequent shingles
+    come last; it bears on the cost only.  Small cells give pairs; a cell of
+    over ``most`` texts is dealt out as pairs of blocks.  First each text is
+    compared with the one it shares most cells with, then all other pairs
+    that verified links do not join yet.
+    """
+    every = max(1, -(-texts.count() // sample))
+    counted = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select("text").mapInArrow(_each_shingle(words), "h long").groupBy("h").count()
+    common = counted.where("count > 1").orderBy(F.desc("count"), "h").limit(1 << 16).toArrow()
+    names, often = common.column("h").to_numpy().view(np.uint64), common.column("count").to_numpy()
+    order = np.argsort(names)
+    first = texts.select("t", "text").mapInArrow(_prefixes(words, similarity, names[order], often[order], most // every), "kind long, h long, t long, n long, at long")
+    dealt = first.repartition("h", F.when(F.col("kind") == 1, F.col("t"))).sortWithinPartitions("kind", "h")
+    found = cut(dealt.mapInArrow(_pairer(similarity, most), "kind long, a long, b long"), "cells")
+    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("t"))
+    stars = large.join(large.groupBy("h").agg(F.min("t").alias("u")), "h").where("u < t").select("u", F.col("t").alias("v"))
+    small = cut(found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).count(), "pairs")
+    tried = small.unionByName(stars.groupBy("u", "v").count())
+    tried = cut(tried.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v"), "tried")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
+        grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
+        u, v = (grams.select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
+        return cut(pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long"), "verified")
+
+    good = verified(tried)
+    labels = cut(components(good).select(F.col("node").alias("t"), "label"), "labels")
+    u, v = (labels.select(F.col("t").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv")
+    open_ = small.select("u", "v").join(tried, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left")
+    open_ = cut(open_.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v"), "open")
+    if not open_.isEmpty():
+        good = good.unionByName(verified(open_))
+    large = cut(large.join(labels, "t", "left").select("h", "t", F.coalesce("label", "t").alias("label")), "large")
+    mixed = large.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    if mixed.isEmpty():
+        return good
+    own = cut(large.join(mixed.select("h", "rows"), "h"), "mixed")
+    ends = own.select("t").distinct()
+    grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
+    size = own.select("h", "t").join(grams.select("t", F.length("grams").alias("bytes")), "t").groupBy("h").agg(F.sum("bytes").alias("bytes"))
+    own = own.join(size, "h").withColumn("k", F.ceil(F.greatest(F.col("rows") / block, F.col("bytes") / (1 << 24))))
+    own = own.withColumn("i", F.pmod(F.xxhash64("t"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    own = own.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "t", "label")
+    parts = own.join(grams, "t").select("block", "t", "label", "grams").repartition("block").sortWithinPartitions("block", "t")
+    return good.unionByName(cut(parts.mapInArrow(_spreader(similarity), "u long, v long"), "spread"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` less all but the smallest id of each group of near copies, columns unchanged.
 
-    Candidates are fingerprints of ``print_words`` words within ``bits`` bits
-    (short shingles, since an edit breaks fewer of them).  Each candidate link
-    is verified: it stays if the sets of shingles of ``words`` words have a
-    Jaccard similarity of ``similarity`` at least.  Groups are the components
-    of verified links; equal texts are of one group.  Rows that repeat an id
-    are one document; rows without an id cannot stand for a group and stay.
+    Two texts are near copies if their sets of shingles of ``words`` words
+    have a Jaccard similarity of ``similarity`` at least; every such pair is
+    found.  Groups are the components of these pairs; equal texts are of one
+    group.  Rows that repeat an id are one document; rows without an id
+    cannot stand for a group and stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t.as_py(), print_words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "same", "fp"])
-
-    prints = narrow.select("*", F.xxhash64("text").alias("same")).mapInArrow(printed, "doc_id long, same long, fp long")
-    texts = cut(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("rep")), "texts")
-    firsts = cut(texts.groupBy("fp").agg(F.min("rep").alias("first")), "firsts")
-    near = links(firsts.select("fp"), bits=bits, nearest=True, groups=bits + 3)
-    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    turn = F.row_number().over(W.partitionBy("v").orderBy(apart, "u"))
-    near = near.distinct().withColumn("turn", turn).where("turn <= 2")
-    u, v = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_doc")) for c in "uv")
-    between = near.join(u, "u").join(v, "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
-    within = texts.join(firsts, "fp").where("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v"))
-    pairs = cut(between.unionByName(within).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    grams = cut(narrow.join(ends, "doc_id", "left_semi").mapInArrow(_grams(words), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
-    u, v = (grams.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
-    good = pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long")
-    groups = components(good).select(F.col("node").alias("rep"), "label")
-    kept = texts.select("rep").distinct().join(groups, "rep", "left").where("label is null or label = rep")
-    kept = cut(kept.select(F.col("rep").alias("_kept")), "kept")
+    narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = cut(narrow.groupBy("t").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "texts")
+    groups = components(alike(texts, words=words, similarity=similarity)).select(F.col("node").alias("t"), "label")
+    members = texts.select("t", "rep").join(groups, "t", "left")
+    kept = cut(members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min("rep").alias("_kept")).select("_kept").distinct(), "kept")
     own = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
     return own.unionByName(docs.where(F.col(id_col).isNull()))

@@ -153,6 +153,38 @@ def test_keep_one(spark, corpus):
     assert sum(i in kept and j in kept for i, j in like) <= 0.1 * len(like)
 
 
+def like_pairs(texts):
+    """Pairs (i, j), j < i, of Jaccard similarity 0.8 or more on five words, by comparing all."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def edited(text, rng, vocabulary, edits):
+    w = text.split(" ")
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = rng.choice(vocabulary)
+    return " ".join(w)
+
+
+def assert_one_of_each_group_stays(spark, texts):
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, enumerate(texts))).collect()}
+    assert kept == set(groups(len(texts), like_pairs(texts)))
+
+
+def test_keep_one_finds_every_pair_of_the_similarity(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 140))) for _ in range(150)]
+    texts += [edited(t, rng, words, rng.randint(1, 4)) for t in texts for _ in range(2)]
+    # fingerprints of near copies may differ in more than six bits
+    apart = [bin(plain_print(texts[i], 3) ^ plain_print(texts[j], 3)).count("1") for i, j in like_pairs(texts)]
+    assert sum(d > 6 for d in apart) >= 5
+    assert_one_of_each_group_stays(spark, texts)
+
+
 def test_simhash_odd(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
