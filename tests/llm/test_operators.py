@@ -185,6 +185,25 @@ def test_keep_one_finds_every_pair_of_the_similarity(spark):
     assert_one_of_each_group_stays(spark, texts)
 
 
+def crowded(rng, times, n=250):
+    """Texts that share a passage, and a near copy of each."""
+    words = [f"w{i}" for i in range(900)]
+    passage = [rng.choice(words) for _ in range(100)]
+    texts = [" ".join(passage * times + [rng.choice(words) for _ in range(80)]) for _ in range(n)]
+    return texts + [edited(t, rng, words, 1) for t in texts]
+
+
+def test_keep_one_compares_all_of_a_crowd(spark):
+    texts = crowded(random.Random(22), 2)
+    assert_one_of_each_group_stays(spark, texts)
+    # cells above the bound, dealt as pairs of blocks, in any order of the shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    like = like_pairs(texts)
+    for limits in ({"sample": 50, "most": 8, "block": 16}, {"sample": 10, "most": 2, "block": 40}):
+        links = [(r["u"], r["v"]) for r in simhash.alike(df, **limits).collect()]
+        assert {(max(x), min(x)) for x in links} <= set(like) and groups(len(texts), links) == groups(len(texts), like)
+
+
 def test_simhash_odd(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
