@@ -204,6 +204,13 @@ def test_keep_one_compares_all_of_a_crowd(spark):
         assert {(max(x), min(x)) for x in links} <= set(like) and groups(len(texts), links) == groups(len(texts), like)
 
 
+def test_keep_one_compares_texts_of_one_fingerprint(spark):
+    texts = crowded(random.Random(23), 5, 100)
+    prints = [plain_print(t, 3) for t in texts]
+    assert len(set(prints)) < len(prints) - 20
+    assert_one_of_each_group_stays(spark, texts)
+
+
 def test_simhash_odd(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
