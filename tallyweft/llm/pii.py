@@ -226,17 +226,21 @@ def pseudonym(x: Column, key: str = DEFAULT_KEY, undo: bool = False) -> Column:
     )
 
 
+#: Each match holds one of these, or follows it: secrets and cloud keys need no digit.
+NEEDED = r"[0-9@]|AKIA|password=|token(?:=| = \")"
+
+
 def pseudonyms(text: Column, key: str = DEFAULT_KEY, undo: bool = False) -> Column:
     """The text with each valid private value replaced.
 
     The pieces between the matches and the pseudonyms are joined in turn;
-    texts without a digit or @ are passed through.
+    texts with nothing that a match must hold are passed through.
     """
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     between = F.split(text, PATTERN, -1)
     new = F.transform(found, lambda x: pseudonym(x, key, undo))
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
-    return F.when(text.rlike("[0-9@]"), joined).otherwise(text)
+    return F.when(text.rlike(NEEDED), joined).otherwise(text)
 
 
 def protect(docs: DataFrame, *, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
