@@ -507,14 +507,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Two texts are near copies if their sets of shingles of ``words`` words
     have a Jaccard similarity of ``similarity`` at least; every such pair is
     found.  Groups are the components of these pairs; equal texts are of one
-    group.  Rows that repeat an id are one document; rows without an id
-    cannot stand for a group and stay.
+    group.  Rows of one id with different texts are different documents, rows
+    equal in both (null counts as empty) are one; rows without an id cannot
+    stand for a group and stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
     narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     texts = cut(narrow.groupBy("t").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "texts")
     groups = components(alike(texts, words=words, similarity=similarity)).select(F.col("node").alias("t"), "label")
     members = texts.select("t", "rep").join(groups, "t", "left")
-    kept = cut(members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min("rep").alias("_kept")).select("_kept").distinct(), "kept")
-    own = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+    least = members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("rep", "t")).alias("least"))
+    kept = cut(least.select(F.col("least.rep").alias("_rep"), F.col("least.t").alias("_t")), "kept")
+    keyed = docs.withColumn("_same", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    own = keyed.join(kept, (keyed[id_col].cast("long") == kept["_rep"]) & (keyed["_same"] == kept["_t"]), "left_semi")
+    return own.dropDuplicates([id_col, "_same"]).drop("_same").unionByName(docs.where(F.col(id_col).isNull()))

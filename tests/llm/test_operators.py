@@ -211,6 +211,15 @@ def test_keep_one_compares_texts_of_one_fingerprint(spark):
     assert_one_of_each_group_stays(spark, texts)
 
 
+def test_keep_one_with_different_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, c + " more")]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert kept[:2] == [(1, a), (2, b)] and len(kept) == 3 and kept[2][0] == 3
+    clean = simhash.keep_one(docs(spark, [(5, a), (5, b), (5, c)]))
+    assert sorted(r["text"] for r in clean.collect()) == [a, b, c]
+
+
 def test_simhash_odd(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
