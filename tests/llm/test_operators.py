@@ -90,10 +90,20 @@ def test_ann_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (None, [1.0, 1.0]), (40, [1.0]), (60, None)]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 6, 2.0), (0, 2, 20, 0.5), (20, 1, 6, 1.0), (20, 2, 0, 0.5)]
+    assert got == [(0, 1, 6, 2.0), (0, 2, 6, 2.0), (0, 3, 20, 0.5), (20, 1, 6, 1.0), (20, 2, 6, 1.0), (20, 3, 0, 0.5)]
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_repeated_rows_and_lengths(spark):
+    """Every row but the query's own is a candidate; each length is searched by itself."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [1.0, 1.0]), (40, [2.0]), (3, [1.0]), (5, [-1.0])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[20]) == sorted(2 * [(1, 7, 1.0), (2, 20, 1.0), (3, 20, 0.0)] + [(1, 7, 1.0), (2, 20, 0.0), (3, 20, 0.0)])
+    assert sorted(got[40]) == [(1, 3, 2.0), (2, 5, -2.0)]
+
+
 # --- 2 SimHash --------------------------------------------------------------------------------
 
 
