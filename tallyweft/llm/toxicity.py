@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-text.  Both start from the same ordinary part, so they compress ordinary words
-alike; one continues with more ordinary text, the other with toxic windows.
-Each window of a text (a run of letters between spaces) is compressed under both; the
-bytes that the toxic dictionary saves are its gain.  A document's counts of
-windows by gain go through thresholds calibrated on the labelled rows by a
-logistic regression.
-
-The toxic training windows are the witnesses: words or word starts that cover the toxic
-documents of the sample several times over (greedy set cover) while being rare
-in its ordinary documents.  Compression then matches their parts as well, so
-unseen words built on the same stems gain as well.
+text; both start from the same ordinary part, so they compress ordinary words
+alike.  A text goes through in windows of a few words.  Each is compressed
+under both, and the bytes that the toxic dictionary saves are its gain.  How
+many windows reach each gain, and lose as much, goes through thresholds
+calibrated on the labelled rows by a logistic regression; for that, each row
+is compressed under dictionaries trained without it.
+
+Labels are of documents, and most of a toxic document is ordinary.  So the
+toxic dictionary is trained on what is left of the toxic texts without the
+words that ordinary texts use about as often: runs of the words, or words of
+the starts, that cover the toxic documents of the sample several times over
+and are rare in its ordinary documents.  Compression matches their parts as
+well, so unseen words built on the same stems gain as well.
 """
 
 from __future__ import annotations
@@ -28,18 +30,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: rows of each kind, and code points of a row's text.
-TOXIC_ROWS, ORDINARY_ROWS, TEXT_MOST = 1500, 4000, 20_000
-#: Bytes of the shared ordinary dictionary and of each dictionary's own part.
-SHARED, OWN = 16_384, 4_096
-#: A witness: in so many toxic documents, and so much rarer in ordinary ones; each document is covered so often.
+from tallyweft.llm.shared import cut
+
+#: Bounds of the labelled sample: rows of each kind, and windows of a row (of longer texts, windows at even distances).
+TOXIC_ROWS, ORDINARY_ROWS, WINDOWS = 2000, 4000, 2000
+#: Words of a window; bytes of the shared ordinary dictionary and of each dictionary's own part; lines that train each, and times as many tried for the ordinary part.
+SPAN, SHARED, OWN, LINES, HARD = 2, 16_384, 1_024, 40_000, 5
+#: A distinctive word: in so many toxic documents (of few, a thirtieth, 3 at least), and so much rarer in ordinary ones; each document is covered so often.
 SUPPORT, RARER, COVER = 5, 0.05, 4
-#: Bytes of a word's start that can be a witness in its stead.
+#: Bytes of a word's start that can be distinctive in its stead.
 STEMS = (4, 5, 6)
-#: Windows that gain by chance, put into the ordinary dictionary.
-CHANCE = 600
-#: Windows whose gains a worker keeps; gains are counted from LOW to HIGH.
-KEPT, LOW, HIGH = 300_000, 2, 6
+#: Gains are counted from 1 to HIGH, losses up to LOW.
+LOW, HIGH = 6, 10
 FOLDS = 5
 
 
@@ -51,50 +53,54 @@ def fold(doc_id: Column) -> Column:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str | None) -> list[bytes]:
+def words(text: str | None) -> list[str]:
     """The text's runs of letters in lower case, in order."""
-    return [w.encode() for w in _LETTERS.findall((text or "").lower())]
+    return _LETTERS.findall((text or "").lower())
+
+
+def windows(text: str | None) -> list[bytes]:
+    """The words SPAN at a time, between spaces."""
+    w = words(text)
+    return [f" {' '.join(w[i : i + SPAN])} ".encode() for i in range(0, len(w), SPAN)]
 
 
 @dataclass
-class Model:
-    """The two dictionaries and the calibration; a few ten kilobytes."""
+class Pair:
+    """The ordinary and the toxic dictionary; a few ten kilobytes.  ``pad`` ends each window, so that both lengths hold a match."""
 
     ordinary: bytes
     toxic: bytes
     pad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weight: np.ndarray
-    prior: float = 0.0
     _tools: tuple = field(default=(), repr=False, compare=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_tools": ()}
 
-    def _open(self) -> tuple:
+    def gain(self, window: bytes) -> int:
         if not self._tools:
-            self._tools = (_compressor(self.ordinary), _compressor(self.toxic), {})
-        return self._tools
+            self._tools = (_compressor(self.ordinary), _compressor(self.toxic))
+        padded = window + self.pad
+        return len(self._tools[0].compress(padded)) - len(self._tools[1].compress(padded))
 
     def gains(self, text: str | None) -> np.ndarray:
         """Bytes saved by the toxic dictionary, for each window of the text."""
-        ordinary, toxic, known = self._open()
-        if len(known) > KEPT:
-            known.clear()
-        found = []
-        for w in windows(text):
-            gain = known.get(w)
-            if gain is None:
-                x = b" " + w + b" " + self.pad
-                gain = known[w] = len(ordinary.compress(x)) - len(toxic.compress(x))
-            found.append(gain)
-        return np.array(found, np.int64)
+        return np.array([self.gain(w) for w in windows(text)], np.int64)
+
+
+@dataclass
+class Model:
+    """Dictionaries and calibration."""
+
+    pair: Pair | None
+    mean: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    prior: float = 0.0
 
     def score(self, text: str | None) -> float:
-        if not len(self.weight):
+        if self.pair is None:
             return self.prior
-        x = (features(self.gains(text)) - self.mean) / self.scale
+        x = (features(self.pair.gains(text)) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(x @ self.weight[:-1] + self.weight[-1], -50, 50))))
 
 
@@ -103,7 +109,7 @@ def _compressor(content: bytes):
 
     made = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
     how = z.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=7, min_match=5, target_length=32, strategy=z.STRATEGY_LAZY2,
+        window_log=15, hash_log=15, chain_log=15, search_log=5, min_match=5, target_length=32, strategy=z.STRATEGY_GREEDY,
         write_checksum=False, write_content_size=False, write_dict_id=False,
     )
     made.precompute_compress(compression_params=how)
@@ -111,19 +117,20 @@ def _compressor(content: bytes):
 
 
 def features(gains: np.ndarray) -> np.ndarray:
-    """Windows at each gain (logarithm and share), length, and the largest gain."""
+    """Windows that reach each gain (logarithm and share), those that lose at all and much, length, and the largest gain."""
     n = len(gains)
-    counts = np.bincount(np.clip(gains, 0, HIGH), minlength=HIGH + 1)[LOW:].astype(float)
-    return np.concatenate([np.log1p(counts), counts / max(1, n) * 20, [np.log1p(n) / 5, gains.max() if n else 0]])
+    counts = np.bincount(np.clip(gains, -LOW, HIGH) + LOW, minlength=LOW + HIGH + 1).astype(float)
+    reach, lose = np.cumsum(counts[::-1])[::-1][LOW + 1 :], np.cumsum(counts)[LOW - 3 : LOW]
+    return np.concatenate([np.log1p(reach), reach / max(1, n), np.log1p(lose), lose / max(1, n), [np.log1p(n), gains.max() if n else 0]])
 
 
 def _stems(text: str) -> set[bytes]:
-    """The text's distinct windows, each with a space after it, and their first bytes."""
-    words = set(windows(text))
-    return {w + b" " for w in words} | {w[:n] for w in words for n in STEMS if len(w) > n}
+    """The text's distinct words, each with a space after it, and their first bytes."""
+    found = {w.encode() for w in words(text)}
+    return {w + b" " for w in found} | {w[:n] for w in found for n in STEMS if len(w) > n}
 
 
-def _witnesses(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+def _distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     usual: Counter = Counter()
     for t in ordinary:
         usual.update(_stems(t))
@@ -131,19 +138,20 @@ def _witnesses(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     for i, t in enumerate(toxic):
         for w in _stems(t):
             at[w].append(i)
-    at = {w: v for w, v in at.items() if len(v) >= SUPPORT and (usual[w] + 0.5) / (len(ordinary) + 1) < RARER * len(v) / len(toxic)}
-    return _cover({w: v for w, v in at.items() if w.endswith(b" ")}, len(toxic)) + _cover({w: v for w, v in at.items() if not w.endswith(b" ")}, len(toxic))
+    least = int(np.clip(len(toxic) // 30, 3, SUPPORT))
+    at = {w: v for w, v in at.items() if len(v) >= least and (usual[w] + 0.5) / (len(ordinary) + 1) < RARER * len(v) / len(toxic)}
+    return _cover({w: v for w, v in at.items() if w.endswith(b" ")}, len(toxic), least) + _cover({w: v for w, v in at.items() if not w.endswith(b" ")}, len(toxic), least)
 
 
-def _cover(at: dict[bytes, list[int]], n: int) -> list[bytes]:
-    """Greedy choice of keys until each of n documents is covered COVER times, or none adds SUPPORT - 1."""
+def _cover(at: dict[bytes, list[int]], n: int, least: int) -> list[bytes]:
+    """Greedy choice of keys until each of n documents is covered COVER times, or none adds ``least`` - 1."""
     wanted, found = np.full(n, COVER), []
     queue = [(-len(v), w) for w, v in at.items()]
     heapq.heapify(queue)
     while queue:
         _, w = heapq.heappop(queue)
         gain = int((wanted[at[w]] > 0).sum())
-        if gain < SUPPORT - 1:
+        if gain < least - 1:
             continue
         if queue and gain < -queue[0][0]:
             heapq.heappush(queue, (-gain, w))
@@ -153,14 +161,42 @@ def _cover(at: dict[bytes, list[int]], n: int) -> list[bytes]:
     return found
 
 
+def _left(toxic: list[str], distinctive: list[bytes]) -> list[bytes]:
+    """The toxic texts without their ordinary words, a few words a line, in the texts' order."""
+    whole = {w[:-1] for w in distinctive if w.endswith(b" ")}
+    starts = tuple(w for w in distinctive if not w.endswith(b" "))
+    lines = []
+    for t in toxic:
+        kept = [w for w in (w.encode() for w in words(t)) if w in whole or w.startswith(starts)]
+        lines += [b" " + b" ".join(kept[i : i + 4]) + b" " for i in range(0, len(kept), 4)]
+    return lines
+
+
 def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A zstandard dictionary; where the samples are too few to train one, their text itself."""
+    """A zstandard dictionary of ``size`` bytes; where the samples are too few to train one, their text itself."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, samples).as_bytes()
+        made = z.train_dictionary(size, samples, k=24, d=6).as_bytes()
     except z.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        made = b"".join(dict.fromkeys(samples))
+    return made[-size:].rjust(size, b" ")
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], seed: int = 5) -> Pair:
+    """The two dictionaries from texts of each kind."""
+    rng = random.Random(seed)
+    lines = [w for t in ordinary for w in windows(t)]
+    rng.shuffle(lines)
+    shared, own = _trained(SHARED, lines[:LINES]), _trained(OWN, lines[LINES : 2 * LINES] or lines)
+    left = _left(toxic, _distinctive(toxic, ordinary)) or [w for t in toxic for w in windows(t)] or [b"  "]
+    rng.shuffle(left)
+    half = SHARED // 2
+    hot, pad = _trained(OWN, left[:LINES]), shared[half : half + 32]
+    # the ordinary part takes the ordinary lines that the toxic part would compress better, so that chance matches cancel
+    trial = Pair(own + shared, hot + shared, pad)
+    hard = [w for w in lines[: HARD * LINES] if trial.gain(w) >= 2]
+    return Pair(_trained(OWN, hard or lines) + shared, hot + shared, pad)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,49 +210,52 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
     return mean, scale, w
 
 
-def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
-    """A model from (text, label) rows; with one kind of label only, a constant score of that label."""
-    none = np.zeros(0)
-    if len({y for _, y in rows}) < 2:
-        return Model(b"", b"", b"", none, none, none, float(rows[0][1]) if rows else 0.0)
-    rng = random.Random(seed)
-    toxic = list(dict.fromkeys(t for t, y in rows if y))
-    ordinary = list(dict.fromkeys(t for t, y in rows if not y))
-    words = [b" " + w for w in _witnesses(toxic, ordinary)] or [b" " + w + b" " for t in toxic for w in windows(t)] or [b"  "]
-    lines = []
-    for t in ordinary:
-        w = windows(t)
-        lines += [b" " + b" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
-    rng.shuffle(lines)
-    shared = _trained(SHARED, lines[:20_000]) or b" " * 64
-    own = _trained(OWN, lines[20_000:40_000])
-    hot = _trained(OWN, [b"".join(rng.sample(words, min(4, len(words)))) for _ in range(4000)])
-    half = len(shared) // 2
-    pad = shared[half : half + 32]
-    # windows of ordinary text that gain by chance go into the ordinary dictionary
-    trial, chance = Model(shared + own, shared + hot, pad, none, none, none), Counter()
-    for t in ordinary:
-        chance.update({w for w, g in zip(windows(t), trial.gains(t), strict=True) if g >= LOW})
-    own = (b" ".join(w for w, _ in chance.most_common(CHANCE)) + b" ")[-2 * OWN :] + own
-    model = Model(shared + own, shared + hot, pad, none, none, none)
-    x = np.array([features(model.gains(t)) for t, _ in rows])
-    model.mean, model.scale, model.weight = _logistic(x, np.array([float(y) for _, y in rows]))
-    return model
+def thinned(text: str | None) -> str:
+    """The text's words; of a text of more windows than WINDOWS, so many windows at even distances over its whole length."""
+    w = words(text)
+    n = -(-len(w) // SPAN)
+    if n <= WINDOWS:
+        return " ".join(w)
+    starts = [i * n // WINDOWS * SPAN for i in range(WINDOWS)]
+    return " ".join(x for at in starts for x in w[at : at + SPAN])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
     The sample is chosen by a hash of the id, TOXIC_ROWS and ORDINARY_ROWS at
-    most, among texts of TEXT_MOST code points at most: its ids are few, so
-    they are broadcast and no text is shuffled.  Null labels are no labels.
+    most: its ids are few, so they are broadcast and no text is shuffled.
+    Null labels are no labels.  Its two halves calibrate each other's
+    dictionaries, on the executors; with labels of one kind only, the score is
+    that label.
     """
     known = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     order = F.xxhash64("_id")
     chosen = known.where("_y = 1").orderBy(order).limit(TOXIC_ROWS).unionByName(known.where("_y = 0").orderBy(order).limit(ORDINARY_ROWS))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= TEXT_MOST)
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
-    return train([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))])
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    thin = F.pandas_udf(lambda s: s.map(thinned), "string")
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int")
+    sample = cut(texts.join(F.broadcast(chosen), "_id").select("_id", thin("_text").alias("_text"), F.col("_y").cast("int").alias("_y"), half.alias("_half")), "labelled")
+    rows = sorted((r["_id"], r["_text"], r["_y"], r["_half"]) for r in sample.collect())
+    none = np.zeros(0)
+    if len({y for _, _, y, _ in rows}) < 2:
+        return Model(None, none, none, none, float(rows[0][2]) if rows else 0.0)
+
+    def of(halves: tuple[int, ...]) -> Pair | None:
+        kinds = [list(dict.fromkeys(t for _, t, y, h in rows if y == kind and h in halves)) for kind in (1, 0)]
+        return dictionaries(*kinds) if all(kinds) else None
+
+    whole = of((0, 1))
+    other = [of((1,)) or whole, of((0,)) or whole]
+
+    def calibrated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"y": f["_y"], "x": [features(other[h].gains(t)).tolist() for t, h in zip(f["_text"], f["_half"], strict=True)]})
+
+    # copies of a text count once
+    measured = sample.dropDuplicates(["_text", "_y", "_half"]).repartition(64, "_id").mapInPandas(calibrated, "y int, x array<double>").collect()
+    measured = sorted((tuple(r["x"]), r["y"]) for r in measured)
+    return Model(whole, *_logistic(np.array([x for x, _ in measured]), np.array([float(y) for _, y in measured])))
 
 
 def score(model: Model, text: Column) -> Column:
@@ -233,9 +272,10 @@ def score(model: Model, text: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of each row, from its whole text alone.
 
-    Null and empty texts get the score of a text without windows; a null id
-    is never held out; repeated rows repeat; an empty table gives an empty
-    result; without labels of both kinds the score is constant.
+    Null and empty texts get the score of a text without windows; a text of
+    any length is scored in windows, one at a time; a null id is never held
+    out; repeated rows repeat; an empty table gives an empty result; without
+    labels of both kinds the score is constant.  Other columns are not read.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score(model, F.col(text_col)).alias("score"))

@@ -301,6 +301,42 @@ def test_toxicity_held_out(spark, toxic):
     assert kept.columns == d.columns and 400 < kept.count() < 520
 
 
+def test_toxicity_against_plain_lengths(spark, toxic):
+    """Scores recomputed from the two dictionaries with the compressor alone."""
+    import math
+    import re
+
+    import zstandard as z
+
+    d, labels = toxic
+    model = toxicity.fit(d, labels)
+    how = z.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=5, min_match=5, target_length=32, strategy=z.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False)
+    assert len(model.pair.ordinary) == len(model.pair.toxic) and model.pair.ordinary != model.pair.toxic
+
+    def length(content, window):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window + model.pair.pad))
+
+    for r in d.limit(6).select("text", toxicity.score(model, F.col("text")).alias("s")).collect():
+        words = re.findall(r"[^\W\d_]+", r["text"].lower())
+        assert toxicity.SPAN > 1
+        parts = [words[i : i + toxicity.SPAN] for i in range(0, len(words), toxicity.SPAN)]
+        gains = [length(model.pair.ordinary, w) - length(model.pair.toxic, w) for w in ((" " + " ".join(p) + " ").encode() for p in parts)]
+        n = len(gains)
+        reach = [sum(g >= k for g in gains) for k in range(1, 11)]
+        lose = [sum(g <= -k for g in gains) for k in (3, 2, 1)]
+        x = [math.log1p(v) for v in reach] + [v / n for v in reach] + [math.log1p(v) for v in lose] + [v / n for v in lose] + [math.log1p(n), max(gains)]
+        t = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weight[:-1], strict=True)) + model.weight[-1]
+        assert r["s"] == pytest.approx(1 / (1 + math.exp(-t)), abs=1e-9)
+
+
+def test_toxicity_samples_whole_texts():
+    """A long text is thinned over its whole length, not cut."""
+    long = " ".join(f"w{'abcdefghij'[i % 10]}{'k' * (i // 5000)}" for i in range(50_000))
+    thin = toxicity.thinned(long).split()
+    assert len(thin) == toxicity.WINDOWS * toxicity.SPAN and thin[-1].endswith("k" * 9)
+    assert toxicity.thinned("One, two!") == "one two" and toxicity.thinned(None) == ""
+
+
 def test_toxicity_odd(spark, odd, toxic):
     d, labels = toxic
     model = toxicity.fit(d, labels)
