@@ -17,8 +17,10 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 #: Widths of the hashed path, the hashed words and the hidden state; pages made for training, and rounds over them.
 PATH, WORDS, HIDDEN, MADE, ROUNDS = 64, 32, 20, 900, 7
-BATCH = 64
+#: Pages labelled together, and steps times pages that are held at once: longer sequences pass in pieces, with the state carried on.
+BATCH, HELD = 64, 1 << 15
+#: Characters of pages that are parsed before they are labelled.
+CHARS = 4_000_000
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -44,12 +49,21 @@ _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _NAME = re.compile(r"[a-z]+")
 
 
+class Open:
+    """An open element: its key and the element around it, which blocks inside it share; ``vector`` describes the path down to it."""
+
+    __slots__ = ("key", "outer", "vector")
+
+    def __init__(self, key: str, outer: Open | None):
+        self.key, self.outer, self.vector = key, outer, None
+
+
 @dataclass
 class Block:
-    """A block's text, the keys of its open elements (outermost first), and its characters inside links."""
+    """A block's text, its innermost open element, and its characters inside links."""
 
     text: str
-    path: tuple[str, ...]
+    inner: Open | None
     linked: int
 
 
@@ -57,7 +71,8 @@ def blocks(page: str | None) -> list[Block]:
     """The page's blocks with text, in order; references decoded, white space folded."""
     out: list[Block] = []
     names: list[str] = []
-    keys: list[str] = []
+    opened: list[Open] = []
+    count: Counter = Counter()
     held: list[str] = []
     links = silent = linked = 0
 
@@ -66,7 +81,7 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(keys), linked))
+                out.append(Block(text, opened[-1] if opened else None, linked))
             held.clear()
         linked = 0
 
@@ -75,7 +90,8 @@ def blocks(page: str | None) -> list[Block]:
         for name in names[to:]:
             links -= name == "a"
             silent -= name in SILENT_TAGS
-        del names[to:], keys[to:]
+            count[name] -= 1
+        del names[to:], opened[to:]
 
     def said(part: str) -> None:
         nonlocal linked
@@ -102,12 +118,14 @@ def blocks(page: str | None) -> list[Block]:
         if block:
             end()
         if m[1]:
+            if not count[name]:
+                continue
             for i in range(len(names) - 1, -1, -1):
                 if names[i] == name:
                     pop(i)
                     break
             continue
-        if block:
+        if block and any(count[n] for n in ("p", *CLOSES.get(name, ()))):
             for i in range(len(names) - 1, -1, -1):
                 if names[i] == "p" or names[i] in CLOSES.get(name, ()):
                     pop(i)
@@ -117,7 +135,9 @@ def blocks(page: str | None) -> list[Block]:
         if name in VOID_TAGS or m[3].endswith("/") and not block:
             continue
         names.append(name)
-        keys.append(name + "".join(f" {k.lower()}={(a or b or c).lower()}" for k, a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] else name)
+        count[name] += 1
+        key = name + "".join(f" {k.lower()}={(a or b or c).lower()}" for k, a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] else name
+        opened.append(Open(key, opened[-1] if opened else None))
         links += name == "a"
         silent += name in SILENT_TAGS
         if name in RAW_TAGS:
@@ -133,7 +153,7 @@ def blocks(page: str | None) -> list[Block]:
 
 # --- features ---------------------------------------------------------------------------------
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_keys: dict[str, np.ndarray] = {}
 _buckets: dict[str, int] = {}
 N_FEATURES = PATH + WORDS + 12
 
@@ -143,33 +163,46 @@ def _spot(word: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h & 0x80000000 else -1.0
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Tags and name parts of the open elements, the inner ones stronger, hashed twice."""
-    found = _paths.get(path)
+def _key_vector(key: str) -> np.ndarray:
+    """Tag and name parts of one element, hashed twice; then its tag as the innermost one."""
+    found = _keys.get(key)
     if found is None:
-        found = np.zeros(PATH)
-        for depth, key in enumerate(reversed(path)):
-            tag, *attributes = key.split(" ", 1)
-            if tag in ("html", "body"):
-                continue
-            parts = [tag, *(f".{w}" for a in attributes for w in _NAME.findall(a) if w not in ("class", "id", "role"))]
-            for p in parts:
-                for salt in "01":
-                    i, sign = _spot(salt + p, PATH)
-                    found[i] += sign * 0.85**depth
-            if depth == 0:
-                i, sign = _spot(f"leaf {tag}", PATH)
-                found[i] += sign
-        if len(_paths) > 50_000:
-            _paths.clear()
-        _paths[path] = found
+        found = np.zeros((2, PATH))
+        tag, *attributes = key.split(" ", 1)
+        for p in [tag, *(f".{w}" for a in attributes for w in _NAME.findall(a) if w not in ("class", "id", "role"))]:
+            for salt in "01":
+                i, sign = _spot(salt + p, PATH)
+                found[0, i] += sign
+        i, sign = _spot(f"leaf {tag}", PATH)
+        found[1, i] = sign
+        if tag in ("html", "body"):
+            found[:] = 0
+        if len(_keys) > 50_000:
+            _keys.clear()
+        _keys[key] = found
     return found
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
-    out = np.zeros((len(page), N_FEATURES), np.float32)
-    for n, b in enumerate(page):
+def _path_vector(inner: Open | None) -> np.ndarray:
+    """The open elements' vectors, each weaker than the one inside it; elements keep their sum, so shared paths are summed once."""
+    if inner is None:
+        return np.zeros(PATH)
+    chain, at = [], inner
+    while at is not None and at.vector is None:
+        chain.append(at)
+        at = at.outer
+    total = at.vector if at is not None else np.zeros(PATH)
+    for e in reversed(chain):
+        total = e.vector = _key_vector(e.key)[0] + 0.85 * total
+    return total + _key_vector(inner.key)[1]
+
+
+def features(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for each block, or for the blocks from ``start`` to ``stop``."""
+    stop = len(page) if stop is None else min(stop, len(page))
+    out = np.zeros((max(0, stop - start), N_FEATURES), np.float32)
+    for row, n in enumerate(range(start, stop)):
+        b = page[n]
         words = b.text.lower().split()
         if len(_buckets) > 200_000:
             _buckets.clear()
@@ -182,11 +215,11 @@ def features(page: list[Block]) -> np.ndarray:
             spots.append(s)
         counts = np.bincount(spots, minlength=2 * WORDS)
         chars = len(b.text)
-        out[n, :PATH] = _path_vector(b.path)
+        out[row, :PATH] = _path_vector(b.inner)
         # bounded, for texts that repeat a word
-        out[n, PATH : PATH + WORDS] = np.tanh((counts[:WORDS] - counts[WORDS:]) / max(1, len(words)) ** 0.5)
-        inner = b.path[-1].split(" ", 1)[0] if b.path else ""
-        out[n, PATH + WORDS :] = (
+        out[row, PATH : PATH + WORDS] = np.tanh((counts[:WORDS] - counts[WORDS:]) / max(1, len(words)) ** 0.5)
+        inner = b.inner.key.split(" ", 1)[0] if b.inner else ""
+        out[row, PATH + WORDS :] = (
             np.log1p(chars) / 4, np.log1p(len(words)) / 3, b.linked / max(1, chars), float(b.linked == 0), chars / max(1, len(words)) / 8,
             sum(b.text.count(c) for c in ".,;:") / max(1, len(words)), float(b.text[-1] in ".!?\"»”"), float(inner in ("h1", "h2", "h3", "h4")),
             float(inner in ("p", "blockquote", "pre")), float(n == 0), n / max(1, len(page) - 1), np.log1p(len(page)) / 5,
@@ -201,12 +234,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(x: np.ndarray, mask: np.ndarray, p: dict, d: str, keep: bool):
-    """One direction over (time, pages, features); masked steps leave the state at rest."""
+def _forward(x: np.ndarray, mask: np.ndarray, p: dict, d: str, keep: bool, state: list | None = None):
+    """One direction over (time, pages, features); masked steps leave the state at rest.  ``state``, if given, is carried on from and to."""
     h_size = HIDDEN
     steps, n = mask.shape
     xw = x @ p[f"x{d}"] + p[f"b{d}"]
-    h, c = np.zeros((n, h_size), np.float32), np.zeros((n, h_size), np.float32)
+    h, c = state or (np.zeros((n, h_size), np.float32), np.zeros((n, h_size), np.float32))
     hs, saved = np.zeros((steps, n, h_size), np.float32), []
     for t in range(steps):
         z = xw[t] + h @ p[f"h{d}"]
@@ -220,6 +253,8 @@ def _forward(x: np.ndarray, mask: np.ndarray, p: dict, d: str, keep: bool):
             saved.append((h, c, i, f, o, g, tc, m))
         h, c = m * h_new + (1 - m) * h, m * c_new + (1 - m) * c
         hs[t] = h
+    if state is not None:
+        state[:] = h, c
     return hs, saved
 
 
@@ -293,14 +328,44 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, seed
     return p
 
 
+def _piece(pages: list[list[Block]], start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    x, mask = np.zeros((stop - start, len(pages), N_FEATURES), np.float32), np.zeros((stop - start, len(pages)), np.float32)
+    for k, page in enumerate(pages):
+        if start < len(page):
+            f = features(page, start, stop)
+            x[: len(f), k], mask[: len(f), k] = f, 1
+    return x, mask
+
+
+def _label_together(pages: list[list[Block]], p: dict) -> np.ndarray:
+    """Logits (steps, pages).  Both directions go through the sequences in pieces; what stays of a piece is its hidden state."""
+    steps = max(map(len, pages))
+    size = max(1, HELD // len(pages))
+    spans = [(i, min(steps, i + size)) for i in range(0, steps, size)]
+    w, logit, state = p["w"], np.zeros((steps, len(pages)), np.float32), []
+    held = [_piece(pages, *spans[0])] if len(spans) == 1 else None
+    for start, stop in spans:
+        x, mask = held[0] if held else _piece(pages, start, stop)
+        right, _ = _forward(x, mask, p, "r", False, state)
+        logit[start:stop] = right @ w[:HIDDEN] + x @ w[2 * HIDDEN :] + p["c"]
+    state = []
+    for start, stop in reversed(spans):
+        x, mask = held[0] if held else _piece(pages, start, stop)
+        left, _ = _forward(x[::-1], mask[::-1], p, "l", False, state)
+        logit[start:stop] += left[::-1] @ w[HIDDEN : 2 * HIDDEN]
+    return logit
+
+
 def label(pages: list[list[Block]], p: dict) -> list[np.ndarray]:
-    """Probability of main text, for each block of each page."""
+    """Probability of main text, for each block of each page.  Pages of like length go together, fewer the longer they are."""
     out: list = [np.zeros(0)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
-        x, mask = _stacked([features(pages[i]) for i in own])
-        z = _sigmoid(_both(x, mask, p)[1])
+    while order:
+        n = 1
+        while n < min(BATCH, len(order)) and (n + 1) * len(pages[order[n]]) <= HELD:
+            n += 1
+        own, order = order[:n], order[n:]
+        z = _sigmoid(_label_together([pages[i] for i in own], p))
         for k, i in enumerate(own):
             out[i] = z[: len(pages[i]), k]
     return out
@@ -490,7 +555,9 @@ def made_pages(n: int, seed: int = 0) -> Iterator[tuple[list[Block], np.ndarray]
         yield [b for b, _ in pairs], np.array([t for _, t in pairs], np.float32)
 
 
+@lru_cache(maxsize=4)
 def trained(n: int = MADE, seed: int = 0) -> dict:
+    """The network's parameters, trained once in a process."""
     return train([(features(page), y) for page, y in made_pages(n, seed)])
 
 
@@ -498,13 +565,20 @@ def trained(n: int = MADE, seed: int = 0) -> dict:
 
 
 def _extractor(p: dict):
+    def texts(held: list[list[Block]]) -> list[str]:
+        return [" ".join(b.text for b, y in zip(page, ys, strict=True) if y >= 0.5) for page, ys in zip(held, label(held, p), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                pages = [blocks(h.as_py()) for h in part.column(2)]
-                texts = [" ".join(b.text for b, y in zip(page, ys, strict=True) if y >= 0.5) for page, ys in zip(pages, label(pages, p), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            start, chars, held = 0, 0, []
+            for i, html in enumerate(batch.column(2)):
+                page = html.as_py()
+                held.append(blocks(page))
+                chars += len(page or "")
+                if chars >= CHARS or len(held) == 512 or i + 1 == batch.num_rows:
+                    found, part = texts(held), batch.slice(start, len(held))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    start, chars, held = i + 1, 0, []
 
     return run
 
@@ -512,7 +586,8 @@ def _extractor(p: dict):
 def extract(pages: DataFrame, *, model: dict | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages``: one narrow pass.
 
-    A null or empty html, and one without main text, give an empty text; null
+    A page of any length or depth is read whole: its blocks pass through the
+    network in pieces, and blocks share the elements around them.  A null or empty html, and one without main text, give an empty text; null
     ids and URLs stay null, repeated rows repeat, other columns are not read,
     an empty table gives an empty result.
     """

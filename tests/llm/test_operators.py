@@ -481,6 +481,51 @@ def test_extraction_odd(spark, network):
     assert extract.extract(spark.createDataFrame([], PAGES), model=network).count() == 0
 
 
+def plain_labels(page, p):
+    """The labeller step by step over one page, straight from the gate equations."""
+    x, h_size = extract.features(page).astype(np.float64), extract.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    out = {}
+    for d, order in (("r", range(len(x))), ("l", range(len(x) - 1, -1, -1))):
+        h, c = np.zeros(h_size), np.zeros(h_size)
+        for t in order:
+            z = x[t] @ p[f"x{d}"] + h @ p[f"h{d}"] + p[f"b{d}"]
+            i, f, o, g = sig(z[:h_size]), sig(z[h_size : 2 * h_size]), sig(z[2 * h_size : 3 * h_size]), np.tanh(z[3 * h_size :])
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            out[d, t] = h
+    return np.array([sig(np.concatenate([out["r", t], out["l", t], x[t]]) @ p["w"] + p["c"][0]) for t in range(len(x))])
+
+
+def test_labels_equal_plain_network(network, monkeypatch):
+    pages = [b for b, _ in extract.made_pages(12, seed=5)]
+    pages.append([b for page in pages for b in page])
+    want = [plain_labels(page, network) for page in pages]
+    for held in (extract.HELD, 64):  # whole, and in pieces with the state carried on
+        monkeypatch.setattr(extract, "HELD", held)
+        for a, b in zip(extract.label(pages, network), want, strict=True):
+            assert np.allclose(a, b, atol=1e-4)
+
+
+def test_long_and_deep_pages_in_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from tallyweft.llm import extract
+p = extract.trained(60)
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for page, n in (("<table>" + "".join(f"<tr><td>cell {i}" for i in range(100_000)), 100_000), ("".join(f"<div class=c{i % 7}>t{i} " for i in range(10_000)), 10_000), ("<span>" * 10_000 + "</b>" * 10_000 + "<div>x</div>" * 10_000, 10_000)):
+    found = extract.blocks(page)
+    assert len(found) == n, len(found)
+    assert len(extract.label([found, found[:5]], p)[0]) == n
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_000_000
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 # --- 8 private values -------------------------------------------------------------------------
 
 
