@@ -1,33 +1,42 @@
 """Token counts by distinct pre-token.
 
 The pieces of a byte-level BPE never cross a pre-token, so the count of a text
-is the sum over its distinct pre-tokens of frequency times pieces.  Each
-distinct pre-token is given to the tokenizer once per worker (a bounded table
-keeps the counts), and the per-document frequencies are joined to that table
-inside the task: the join moves no rows between machines, which a shuffled
-join of (document, pre-token) pairs would, at several times the input.
-
-Texts are cut before each single space, a place where the pre-tokenizer always
-cuts.  Texts with other runs of white space, or with the string of a special
-token, take the pre-tokenizer's own pattern instead.
+is the sum over its distinct pre-tokens of frequency times pieces.
+
+1. Each task cuts its texts into pre-tokens and writes, for each pre-token of
+   a block of documents, the documents and frequencies it has there.
+2. The pre-tokens of all blocks are made distinct, and the pieces of each are
+   counted once.
+3. The counts are joined to the frequencies.  The HOT most frequent short
+   pre-tokens, a table of bounded size, are broadcast, so the rows of frequent
+   ones are not shuffled; the others meet their counts by a shuffle.
+4. What the joined rows add to each document is summed in each task and then
+   by document.  No list of token ids is ever made.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose counts a worker keeps; beyond that the table starts anew.
-KEPT = 400_000
-#: Characters of text whose frequencies are held at once.
-CHUNK = 4_000_000
-#: Where a space stands inside a run of white space, cutting before it is wrong.
-RUN = r"\s (?:\s|$)"
+from tallyweft.llm.shared import cut
+
+#: Characters of text whose frequencies are held at once; longer texts are cut one match at a time.
+CHUNK, LONG = 8_000_000, 1_000_000
+#: Pre-tokens that are broadcast with their counts, and characters they have at most.
+HOT, SHORT = 1 << 17, 32
+#: Documents whose sums a task holds.
+HELD = 1 << 21
+#: Pre-tokens of a batch.
+BATCH = 20_000
 
 
 def byte_bpe_path() -> str:
@@ -37,7 +46,11 @@ def byte_bpe_path() -> str:
 
 
 class Counts:
-    """Piece counts of pre-tokens for one tokenizer file."""
+    """Pre-tokens, and piece counts of pre-tokens, of one tokenizer file: a byte-level BPE with the usual pattern.
+
+    Any other kind of tokenizer raises, as its pieces could cross pre-tokens
+    or its pre-tokens be others.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,72 +58,149 @@ class Counts:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = [s for s in special if s]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        first, model = made.get("pre_tokenizer") or {}, made["model"]
+        if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True) or made.get("normalizer") or model.get("type") != "BPE":
+            raise ValueError(f"{path} is no byte-level BPE without a normalizer and a prefix space")
+        self.model = Tokenizer.from_file(path).model
+        self.special = [t["content"] for t in made.get("added_tokens") or [] if t["content"]]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.run = regex.compile(RUN)
-        self.pieces: dict[str, int] = {"": 0}
+        # the characters that stand for bytes: printable ones for themselves, others from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def frequencies(self, text: str) -> Counter:
-        """How often each pre-token occurs in the text."""
-        if "\0" in text or self.run.search(text) or any(s in text for s in self.special):
-            parts = self.at_special.split(text) if self.at_special else [text]
-            found: Counter = Counter()
-            for part in parts:
-                found.update([part] if part in self.special else self.pattern.findall(part))
-            return found
-        return Counter(text.replace(" ", "\0 ").split("\0"))
-
-    def learn(self, wanted: set[str]) -> None:
-        if len(self.pieces) + len(wanted) > KEPT:
-            self.pieces = {"": 0}
-        new = [w for w in wanted if w not in self.pieces]
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            for word, got in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False), strict=True):
-                self.pieces[word] = len(got)
-
-    def count(self, texts: list[str]) -> list[int]:
-        tables = [self.frequencies(t) for t in texts]
-        self.learn(set().union(*tables))
-        pieces = self.pieces
-        return [sum(pieces[w] * n for w, n in table.items()) for table in tables]
-
-
-def _counter(path: str, limit: int):
+        """How often each pre-token occurs in the text; special strings are pre-tokens of their own."""
+        found: Counter = Counter()
+        some = any(s in text for s in self.special)
+        for part in self.at_special.split(text) if some else [text]:
+            if some and part in self.special:
+                found[part] += 1
+            else:
+                found.update(self.pattern.findall(part) if len(part) <= LONG else (m.group() for m in self.pattern.finditer(part)))
+        return found
+
+    def pieces(self, word: str) -> int:
+        """Tokens of one pre-token."""
+        return 1 if word in self.special else len(self.model.tokenize(word.encode().decode("latin-1").translate(self.shown)))
+
+
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column: row i has sizes[i] of the values."""
+    ends = np.concatenate(([0], np.cumsum(sizes) * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+_SPREAD = "part int, row int, doc_id long, n_bytes long, unit string, rows binary, times binary"
+
+
+def _spread(path: str):
+    """Rows of documents (part, row, doc_id, n_bytes), and of pre-tokens in a block of documents (part, unit, rows, times)."""
+    kinds = pa.schema([("part", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("unit", pa.string()), ("rows", pa.binary()), ("times", pa.binary())])
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k.name] if k.name in columns else pa.nulls(n, k.type) for k in kinds], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, part = Counts(path), TaskContext.get().partitionId()
+        at, chars, names, ids, times, sizes, first = 0, 0, {}, [], [], [], 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            if names:
+                own, n = np.concatenate(ids), len(names)
+                row = np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)
+                order = np.argsort(own, kind="stable")
+                row, often, size = row[order], np.concatenate(times)[order], np.bincount(own, minlength=n)
+                ends, units = np.concatenate(([0], np.cumsum(size))), list(names)
+                for i in range(0, n, BATCH):
+                    j = min(n, i + BATCH)
+                    held = slice(ends[i], ends[j])
+                    yield batch(j - i, part=pa.array(np.full(j - i, part, np.int32)), unit=pa.array(units[i:j], pa.string()), rows=_binary(row[held], size[i:j]), times=_binary(often[held], size[i:j]))
+
+        for b in batches:
+            n_bytes = []
+            for text in b.column(1):
+                text = text.as_py() or ""
+                n_bytes.append(len(text.encode()))
+                found = counts.frequencies(text)
+                ids.append(np.fromiter((names.setdefault(w, len(names)) for w in found), np.int32, len(found)))
+                times.append(np.fromiter(found.values(), np.int32, len(found)))
+                sizes.append(len(found))
+                chars += len(text)
+                if chars >= CHUNK:
+                    yield from block()
+                    first, chars, names, ids, times, sizes = first + len(sizes), 0, {}, [], [], []
+            n = b.num_rows
+            yield batch(n, part=pa.array(np.full(n, part, np.int32)), row=pa.array(np.arange(at, at + n, dtype=np.int32)), doc_id=b.column(0), n_bytes=pa.array(n_bytes, pa.int64()))
+            at += n
+        yield from block()
+
+    return run
+
+
+def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n_bytes = [len(t.encode()) for t in texts]
-            n_tokens: list[int] = []
-            block: list[str] = []
-            held = 0
-            for t in texts:
-                block.append(t)
-                held += len(t)
-                if held >= CHUNK:
-                    n_tokens += counts.count(block)
-                    block, held = [], 0
-            n_tokens += counts.count(block)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+        for b in batches:
+            pieces = [counts.pieces(w.as_py()) for w in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pieces, pa.int64())], names=["unit", "weight", "pieces"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, row, n) from rows (part, rows, times, pieces): what they add to each document, summed within the task."""
+    held: dict[int, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for part, n in held.items():
+            row = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(row.astype(np.int32)), pa.array(n[row])], names=["part", "row", "n"])
+
+    for b in batches:
+        parts, pieces = b.column(0).to_numpy(), b.column(3).to_numpy()
+        for part in np.unique(parts):
+            own = np.flatnonzero(parts == part)
+            took = b.take(pa.array(own))
+            rows, times = (np.frombuffer(b"".join(took.column(c).to_pylist()), np.int32) for c in (1, 2))
+            size = np.array([len(x) // 4 for x in took.column(1).to_pylist()])
+            total = np.bincount(rows, times * np.repeat(pieces[own], size)).astype(np.int64)
+            was = held.get(part, np.zeros(0, np.int64))
+            if len(was) < len(total):
+                was, total = total, was
+            was[: len(total)] += total
+            held[part] = was
+        if sum(map(len, held.values())) > HELD:
+            yield from out()
+            held = {}
+    yield from out()
+
+
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``.
 
-    One narrow pass without a shuffle.  A null text counts as empty: 0 bytes,
-    0 tokens.  A null id stays null, repeated rows give repeated rows, other
-    columns are not read, an empty table gives an empty result.  Special
+    A null text counts as empty: 0 bytes, 0 tokens.  A text of any length is
+    counted whole.  A null id stays null, repeated rows give repeated rows,
+    other columns are not read, an empty table gives an empty result.  Special
     strings inside a text count as the tokenizer's own default has it (one
     token).
     """
+    path = path or byte_bpe_path()
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_counter(path or byte_bpe_path(), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    spread = cut(narrow.mapInArrow(_spread(path), _SPREAD), "pretokens")
+    units = spread.where("unit is not null").select("unit", "part", "rows", "times")
+    distinct = units.groupBy("unit").agg(F.sum(F.length("rows")).alias("weight"))
+    counts = cut(distinct.mapInArrow(_counted(path), "unit string, weight long, pieces long"), "pieces")
+    # HOT rows of SHORT characters at most
+    hot = F.broadcast(counts.where(F.length("unit") <= SHORT).orderBy(F.desc("weight"), "unit").limit(HOT).select("unit", "pieces"))
+    tagged = units.join(hot, "unit", "left")
+    near = tagged.where("pieces is not null").select("part", "rows", "times", "pieces")
+    far = tagged.where("pieces is null").drop("pieces").join(counts.select("unit", "pieces"), "unit").select("part", "rows", "times", "pieces")
+    add = "part int, row int, n long"
+    sums = near.mapInArrow(_summed, add).unionByName(far.mapInArrow(_summed, add)).groupBy("part", "row").agg(F.sum("n").alias("n_tokens"))
+    named = spread.where("unit is null").select("part", "row", "doc_id", "n_bytes").join(sums, ["part", "row"], "left")
+    n_tokens = F.coalesce("n_tokens", F.lit(0).cast("long"))
+    return named.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

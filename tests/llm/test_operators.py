@@ -728,9 +728,20 @@ def test_token_counts_equal_library(spark, odd, corpus):
     assert tokens.token_counts(odd.limit(0)).count() == 0
 
 
-def test_token_table_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT", 50)
-    counts = tokens.Counts(tokens.byte_bpe_path())
-    for i in range(20):
-        assert counts.count([f"a{i} b{i} c{i} d{i}"])[0] > 0
-        assert len(counts.pieces) <= 60
+def test_token_counts_in_small_blocks(spark, corpus, monkeypatch):
+    """Few broadcast pre-tokens, long texts cut one match at a time: the same counts."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.byte_bpe_path())
+    monkeypatch.setattr(tokens, "HOT", 3)
+    monkeypatch.setattr(tokens, "LONG", 50)
+    texts = corpus + ["the " * 3000, "x" * 3000, None, ""]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs(spark, enumerate(texts)).repartition(7)).collect()}
+    assert got == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_other_tokenizers_raise(spark):
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        tokens.Counts(public_tokenizers.path("word_bpe_49k.json"))
