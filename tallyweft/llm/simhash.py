@@ -448,16 +448,28 @@ def _spreader(similarity: float):
     return run
 
 
+def close_prints(texts: DataFrame, *, words: int = 4, bits: int = 4) -> DataFrame:
+    """(u, v) pairs of texts (t, text) that the fingerprints propose: each with the first text of its fingerprint, and the first texts of linked fingerprints."""
+    prints = cut(fingerprints(texts, id_col="t", words=words).select(F.col("doc_id").alias("t"), "fp"), "prints")
+    heads = cut(prints.groupBy("fp").agg(F.min("t").alias("head")), "heads")
+    own = prints.join(heads, "fp").where("head <> t").select(F.col("head").alias("u"), F.col("t").alias("v"))
+    u, v = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "uv")
+    linked = links(heads.select("fp"), bits=bits).join(u, "u").join(v, "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return own.unionByName(linked)
+
+
 def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample: int = 1 << 14, most: int = 64, block: int = 1024) -> DataFrame:
     """(u, v) links that join the rows (t, text), t distinct, as all pairs of texts of the similarity would.
 
-    Two sets of that Jaccard similarity share a shingle among the first of
+    SimHash proposes pairs first: those within the bits of the range join,
+    each verified.  Fingerprints of similar texts can lie further apart, so an
+    exact search for the rest follows.  Two sets of that Jaccard similarity share a shingle among the first of
     each in any common order (prefix filter), so cells of one shingle hold
     every pair.  Order is by the count in a sample, so that frequent shingles
     come last; it bears on the cost only.  Small cells give pairs; a cell of
-    over ``most`` texts is dealt out as pairs of blocks.  First each text is
-    compared with the one it shares most cells with, then all other pairs
-    that verified links do not join yet.
+    over ``most`` texts is dealt out as pairs of blocks.  With the proposed
+    pairs each text is compared with the one it shares most cells with, then
+    all other pairs that verified links do not join yet.
     """
     every = max(1, -(-texts.count() // sample))
     counted = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select("text").mapInArrow(_each_shingle(words), "h long").groupBy("h").count()
@@ -471,7 +483,9 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     stars = large.join(large.groupBy("h").agg(F.min("t").alias("u")), "h").where("u < t").select("u", F.col("t").alias("v"))
     small = cut(found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).count(), "pairs")
     tried = small.unionByName(stars.groupBy("u", "v").count())
-    tried = cut(tried.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v"), "tried")
+    tried = tried.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
+    proposed = close_prints(texts).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tried = cut(tried.unionByName(proposed).distinct(), "tried")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
