@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tallyweft.llm.shared import cut
 
-#: Characters of text whose frequencies are held at once; longer texts are cut one match at a time.
-CHUNK, LONG = 8_000_000, 1_000_000
+#: Characters and documents of a block, whose frequencies are held at once (a document's place in it fits two bytes); characters beyond which a text is cut one match at a time.
+CHUNK, DOCS, LONG = 8_000_000, 1 << 16, 1_000_000
 #: Pre-tokens that are broadcast with their counts, and characters they have at most.
 HOT, SHORT = 1 << 17, 32
 #: Documents whose sums a task holds.
@@ -98,7 +98,8 @@ _SPREAD = "part int, row int, doc_id long, n_bytes long, unit string, rows binar
 
 
 def _spread(path: str):
-    """Rows of documents (part, row, doc_id, n_bytes), and of pre-tokens in a block of documents (part, unit, rows, times)."""
+    """Rows of documents (part, row, doc_id, n_bytes), and of pre-tokens in a block of documents (part, row of the
+    block's first document, unit, places of the documents in the block, times in each or nothing where all are one)."""
     kinds = pa.schema([("part", pa.int32()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("unit", pa.string()), ("rows", pa.binary()), ("times", pa.binary())])
 
     def batch(n: int, **columns) -> pa.RecordBatch:
@@ -111,14 +112,17 @@ def _spread(path: str):
         def block() -> Iterator[pa.RecordBatch]:
             if names:
                 own, n = np.concatenate(ids), len(names)
-                row = np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)
                 order = np.argsort(own, kind="stable")
-                row, often, size = row[order], np.concatenate(times)[order], np.bincount(own, minlength=n)
-                ends, units = np.concatenate(([0], np.cumsum(size))), list(names)
+                place, often, size = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)[order], np.concatenate(times)[order], np.bincount(own, minlength=n)
+                more = np.maximum.reduceat(often, np.cumsum(size) - size) > 1
+                often, told = often[np.repeat(more, size)], np.where(more, size, 0)
+                ends, told_ends, units = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(told))), list(names)
                 for i in range(0, n, BATCH):
                     j = min(n, i + BATCH)
-                    held = slice(ends[i], ends[j])
-                    yield batch(j - i, part=pa.array(np.full(j - i, part, np.int32)), unit=pa.array(units[i:j], pa.string()), rows=_binary(row[held], size[i:j]), times=_binary(often[held], size[i:j]))
+                    yield batch(
+                        j - i, part=pa.array(np.full(j - i, part, np.int32)), row=pa.array(np.full(j - i, first, np.int32)), unit=pa.array(units[i:j], pa.string()),
+                        rows=_binary(place[ends[i] : ends[j]], size[i:j]), times=_binary(often[told_ends[i] : told_ends[j]], told[i:j]),
+                    )
 
         for b in batches:
             n_bytes = []
@@ -130,7 +134,7 @@ def _spread(path: str):
                 times.append(np.fromiter(found.values(), np.int32, len(found)))
                 sizes.append(len(found))
                 chars += len(text)
-                if chars >= CHUNK:
+                if chars >= CHUNK or len(sizes) == DOCS:
                     yield from block()
                     first, chars, names, ids, times, sizes = first + len(sizes), 0, {}, [], [], []
             n = b.num_rows
@@ -152,7 +156,7 @@ def _counted(path: str):
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, row, n) from rows (part, rows, times, pieces): what they add to each document, summed within the task."""
+    """(part, row, n) from rows (part, row, rows, times, pieces): what they add to each document, summed within the task."""
     held: dict[int, np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -161,13 +165,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(row.astype(np.int32)), pa.array(n[row])], names=["part", "row", "n"])
 
     for b in batches:
-        parts, pieces = b.column(0).to_numpy(), b.column(3).to_numpy()
+        parts, pieces = b.column(0).to_numpy(), b.column(4).to_numpy()
         for part in np.unique(parts):
             own = np.flatnonzero(parts == part)
             took = b.take(pa.array(own))
-            rows, times = (np.frombuffer(b"".join(took.column(c).to_pylist()), np.int32) for c in (1, 2))
-            size = np.array([len(x) // 4 for x in took.column(1).to_pylist()])
-            total = np.bincount(rows, times * np.repeat(pieces[own], size)).astype(np.int64)
+            rows, times = took.column(2).to_pylist(), took.column(3).to_pylist()
+            size, told = np.array([len(x) // 2 for x in rows]), np.array([len(x) > 0 for x in times])
+            row = np.frombuffer(b"".join(rows), np.uint16) + np.repeat(took.column(1).to_numpy(), size)
+            often = np.ones(len(row), np.int64)
+            often[np.repeat(told, size)] = np.frombuffer(b"".join(times), np.int32)
+            total = np.bincount(row, often * np.repeat(pieces[own], size)).astype(np.int64)
             was = held.get(part, np.zeros(0, np.int64))
             if len(was) < len(total):
                 was, total = total, was
@@ -191,14 +198,14 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     path = path or byte_bpe_path()
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spread = cut(narrow.mapInArrow(_spread(path), _SPREAD), "pretokens")
-    units = spread.where("unit is not null").select("unit", "part", "rows", "times")
+    units = spread.where("unit is not null").select("unit", "part", "row", "rows", "times")
     distinct = units.groupBy("unit").agg(F.sum(F.length("rows")).alias("weight"))
     counts = cut(distinct.mapInArrow(_counted(path), "unit string, weight long, pieces long"), "pieces")
     # HOT rows of SHORT characters at most
     hot = F.broadcast(counts.where(F.length("unit") <= SHORT).orderBy(F.desc("weight"), "unit").limit(HOT).select("unit", "pieces"))
     tagged = units.join(hot, "unit", "left")
-    near = tagged.where("pieces is not null").select("part", "rows", "times", "pieces")
-    far = tagged.where("pieces is null").drop("pieces").join(counts.select("unit", "pieces"), "unit").select("part", "rows", "times", "pieces")
+    near = tagged.where("pieces is not null").select("part", "row", "rows", "times", "pieces")
+    far = tagged.where("pieces is null").drop("pieces").join(counts.select("unit", "pieces"), "unit").select("part", "row", "rows", "times", "pieces")
     add = "part int, row int, n long"
     sums = near.mapInArrow(_summed, add).unionByName(far.mapInArrow(_summed, add)).groupBy("part", "row").agg(F.sum("n").alias("n_tokens"))
     named = spread.where("unit is null").select("part", "row", "doc_id", "n_bytes").join(sums, ["part", "row"], "left")
