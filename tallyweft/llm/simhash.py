@@ -487,9 +487,11 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     proposed = close_prints(texts).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     tried = cut(tried.unionByName(proposed).distinct(), "tried")
 
+    # the texts that any comparison can need meet their shingles once
+    ends = tried.unionByName(small.select("u", "v")).select(F.explode(F.array("u", "v")).alias("t")).unionByName(large.select("t")).distinct()
+    grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
-        grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
         u, v = (grams.select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
         return cut(pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long"), "verified")
 
@@ -505,8 +507,6 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     if mixed.isEmpty():
         return good
     own = cut(large.join(mixed.select("h", "rows"), "h"), "mixed")
-    ends = own.select("t").distinct()
-    grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
     size = own.select("h", "t").join(grams.select("t", F.length("grams").alias("bytes")), "t").groupBy("h").agg(F.sum("bytes").alias("bytes"))
     own = own.join(size, "h").withColumn("k", F.ceil(F.greatest(F.col("rows") / block, F.col("bytes") / (1 << 24))))
     own = own.withColumn("i", F.pmod(F.xxhash64("t"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
