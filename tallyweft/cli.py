@@ -6,8 +6,7 @@ import argparse
 import json
 import sys
 
-from tallyweft import config
-from tallyweft.manifest import RunManifest
+from tallyweft import config, manifest
 from tallyweft.sources import registry
 
 
@@ -55,17 +54,17 @@ def main(argv: list[str] | None = None) -> int:
         print(s.hash())
         return 0
     if a.command == "fetch":
-        spec = registry.dataset(a.dataset)
-        folder = f"{s.raw_dir}/{spec.name}"
-        report = registry.fetch_report(spec, folder)
-        print(json.dumps(report.statuses, indent=2) if report.is_ready else registry.instructions(spec, folder))
-        return 0 if report.is_ready else 1
+        folder = f"{s.raw_dir}/{a.dataset}"
+        states = registry.on_disk(registry.expected(a.dataset), folder)
+        ready = "absent" not in states.values()
+        print(json.dumps(states, indent=2) if ready else registry.how_to_get(a.dataset, folder))
+        return 0 if ready else 1
     from tallyweft.plans import flows
     from tallyweft.sources.adapters import adapter
 
     name = getattr(a, "dataset", s.dataset)
     data = adapter(name, _session()).run(f"{s.raw_dir}/{name}")
-    RunManifest.create(s.hash(), name, seed=s.seed).write("runs")
+    manifest.record("runs", name, s.hash(), s.seed)
     if a.command == "prepare":
         flows.prepare(data, s, s.processed_dir)
     elif a.command == "train":

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.operators.federated import mean_neighbours
+from tallyweft.storage import cut
 
 HEADS = 4
 
@@ -133,11 +134,52 @@ class BoostedTrees(_MlDetector):
         return out
 
 
-class NeighbourMean(_MlDetector):
+def logistic_fit(rows: DataFrame, columns: list[str], weight: Column | None = None, *, ridge: float = 1e-3, steps: int = 25, tol: float = 1e-8) -> list[float]:
+    """Weights of the columns, then the bias, of a logistic regression of ``target`` by Newton steps.
+
+    Each step is one pass: every task sums the gradient and the curvature of
+    its rows, whose size does not depend on the rows, and the sums meet on the
+    driver.  Columns are scaled by their deviation; missing values count as 0.
+    """
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    base = rows.select(F.array(*x).alias("x"), F.col("target").cast("double").alias("y"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if not stats["n"]:
+        raise ValueError("no rows to learn from")
+    mean = np.array([stats[f"m{i}"] for i in range(len(columns))])
+    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(len(columns))])
+    beta, size = np.zeros(len(columns) + 1), len(columns) + 1
+
+    def sums(now: np.ndarray):
+        def run(frames):
+            total = np.zeros(size * size + size + 1)
+            for f in frames:
+                if len(f):
+                    a = np.column_stack([(np.stack(f["x"].to_numpy()) - mean) / scale, np.ones(len(f))])
+                    w, p = f["w"].to_numpy(), 1 / (1 + np.exp(-np.clip(a @ now, -30, 30)))
+                    total += np.concatenate([((a * (w * p * (1 - p))[:, None]).T @ a).ravel(), a.T @ (w * (p - f["y"].to_numpy())), [w.sum()]])
+            yield pd.DataFrame({"sums": [total.tolist()]})
+
+        return run
+
+    for _ in range(steps):
+        total = np.sum([r["sums"] for r in base.mapInPandas(sums(beta), "sums array<double>").collect()], axis=0)
+        n = max(total[-1], 1e-12)
+        held = ridge * np.append(np.ones(size - 1), 1e-9)
+        step = np.linalg.solve(total[: size * size].reshape(size, size) / n + np.diag(held) + 1e-12 * np.eye(size), total[size * size : -1] / n + held * beta)
+        beta = beta - step
+        if np.abs(step).max() < tol:
+            break
+    plain = beta[:-1] / scale
+    return [*plain.tolist(), float(beta[-1] - plain @ mean)]
+
+
+class NeighbourMean(Detector):
     """A logistic head over an account's features and the means over its in-neighbours, hop by hop.
 
     Scoring is inductive: messages pass over the whole graph given, whatever
-    accounts are asked for.
+    accounts are asked for.  The head is its weights and the bias; scores are
+    column expressions.
     """
 
     name = "neighbour_mean"
@@ -145,12 +187,6 @@ class NeighbourMean(_MlDetector):
     def __init__(self, layers: int = 2, ridge: float = 1e-3):
         super().__init__()
         self.layers, self.ridge = layers, ridge
-        self.base: list[str] = []
-
-    def _classifier(self):
-        from pyspark.ml.classification import LogisticRegression
-
-        return LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=self.ridge, maxIter=100)
 
     def propagated(self, features: DataFrame, edges: DataFrame) -> DataFrame:
         """Features of each hop side by side: f, f_1, f_2, ..."""
@@ -162,20 +198,34 @@ class NeighbourMean(_MlDetector):
             out = out.join(vec.select(F.col("id").alias("account_id"), *[F.col("vec")[i].alias(f"{c}_{hop}") for i, c in enumerate(base)]), "account_id", "left")
         return out.na.fill(0.0)
 
+    def fit(self, features: DataFrame, target: DataFrame) -> NeighbourMean:
+        self.columns = [c for c in features.columns if c != "account_id"]
+        rows = self._joined(features, target)
+        weight = class_weight(rows)
+        rows = cut(rows, "training")
+        self.model = logistic_fit(rows, self.columns, F.when(F.col("target") == 1, weight).otherwise(1.0), ridge=self.ridge)
+        return self
+
+    def predict(self, features: DataFrame) -> DataFrame:
+        self._require()
+        return linear_scores(features.na.fill(0.0, self.columns), self.columns, self.model)
+
     def importance(self) -> list[tuple[str, float]]:
         self._require()
-        return sorted(zip(self.columns, np.abs(self.model.coefficients.toArray()).tolist(), strict=True), key=lambda x: -x[1])
+        return sorted(zip(self.columns, map(abs, self.model[:-1]), strict=True), key=lambda x: -x[1])
 
     def metadata(self) -> dict:
-        return super().metadata() | {"layers": self.layers, "ridge": self.ridge}
+        return super().metadata() | {"layers": self.layers, "ridge": self.ridge, "weights": self.model}
+
+    def save(self, folder: str) -> None:
+        self._require()
+        _session().createDataFrame([(json.dumps(self.metadata()),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
     @classmethod
     def load(cls, folder: str) -> NeighbourMean:
-        from pyspark.ml.classification import LogisticRegressionModel
-
         meta = cls._meta(folder)
         out = cls(meta["layers"], meta["ridge"])
-        out.columns, out.model = meta["columns"], LogisticRegressionModel.load(f"{folder}/model")
+        out.columns, out.model = meta["columns"], meta["weights"]
         return out
 
 

@@ -2,12 +2,15 @@
 
 Each round is joins and aggregations; its result is written to the shared
 folder, which keeps plans short and survives the loss of executors.  A loop
-ends when a round changes nothing, and raises if its bound is reached first.
+ends when a round changes nothing.  Trimming, colours and cores shrink or grow
+towards a bound in every round, so they end on any graph and have no cap of
+rounds; other loops raise if their bound is reached first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,10 +20,10 @@ from tallyweft.operators.graph import half_edges, undirected, weighted
 from tallyweft.storage import cut, cut_with
 
 
-def until_still(start: DataFrame, step: Callable[[DataFrame], DataFrame], state: list[Column], rounds: int, what: str) -> DataFrame:
+def until_still(start: DataFrame, step: Callable[[DataFrame], DataFrame], state: list[Column], rounds: int | None, what: str) -> DataFrame:
     """Apply ``step`` until ``state`` (aggregates that tell whether rows changed, taken as a round is written) stays the same."""
     now, was = cut_with(start, what, *state)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         now, seen = cut_with(step(now), what, *state)
         if seen == was:
             return now
@@ -74,27 +77,32 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 # --- strongly connected components ------------------------------------------------------------
 
 
-def _trimmed(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Drop vertices without an incoming or without an outgoing edge, again and again: what stays lies on or between cycles."""
+def _trimmed(pairs: DataFrame, layers: int = 4) -> DataFrame:
+    """Drop vertices without an incoming or without an outgoing edge, again and again: what stays lies on or between cycles.  A round peels several layers."""
 
-    def step(e: DataFrame) -> DataFrame:
+    def peeled(e: DataFrame) -> DataFrame:
         sources, sinks = e.select(F.col("src").alias("x")).distinct(), e.select(F.col("dst").alias("x")).distinct()
         return e.join(sinks, e["src"] == sinks["x"], "left_semi").join(sources, e["dst"] == sources["x"], "left_semi")
 
-    return until_still(pairs, step, _rows(), rounds, "trim")
+    def step(e: DataFrame) -> DataFrame:
+        for _ in range(layers):
+            e = peeled(e)
+        return e
+
+    return until_still(pairs, step, _rows(), None, "trim")
 
 
-def _reached(start: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:
+def _reached(start: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, colour) with the largest colour that reaches each vertex along the pairs."""
 
     def step(c: DataFrame) -> DataFrame:
         sent = pairs.join(c.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "colour")
         return c.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour"))
 
-    return until_still(start, step, _rows("id", "colour"), rounds, "colour")
+    return until_still(start, step, _rows("id", "colour"), None, "colour")
 
 
-def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, size): forward-backward colouring (Orzan 2004) with trimming.
 
     A round colours each vertex with the largest vertex that reaches it; of
@@ -105,11 +113,10 @@ def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000)
     pairs = _trimmed(edges.where("src <> dst").select("src", "dst").distinct())
     kind = vertices.schema["id"].dataType.simpleString()
     found = spark.createDataFrame([], f"id {kind}, component {kind}")
-    for _ in range(rounds):
-        if pairs.isEmpty():
-            break
+    # each round takes one component at least
+    while not pairs.isEmpty():
         ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        colours = _reached(ids.select("id", F.col("id").alias("colour")), pairs, rounds)
+        colours = _reached(ids.select("id", F.col("id").alias("colour")), pairs)
         at = lambda c, colours=colours: colours.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
         inner = cut(pairs.join(at("src"), "src").join(at("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")), "inner")
 
@@ -117,12 +124,10 @@ def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000)
             sent = inner.join(c.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour")
             return c.unionByName(sent).distinct()
 
-        own = until_still(colours.where("id = colour"), back, _rows(), rounds, "back")
+        own = until_still(colours.where("id = colour"), back, _rows(), None, "back")
         found = cut(found.unionByName(own.select("id", F.col("colour").alias("component"))), "strong")
         gone = own.select(F.col("id").alias("x"))
         pairs = _trimmed(pairs.join(gone, pairs["src"] == gone["x"], "left_anti").join(gone, pairs["dst"] == gone["x"], "left_anti"))
-    else:
-        raise RuntimeError(f"strong components did not settle in {rounds} rounds")
     named = vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return named.join(sizes, "component").select("id", "component", "size")
@@ -161,7 +166,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, to
     return now
 
 
-def core_numbers(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, core) by repeated h-indices of the neighbours' values (Lue et al. 2016), from the degrees down."""
     near = cut(half_edges(edges), "near")
 
@@ -173,7 +178,7 @@ def core_numbers(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> D
         return c.join(h, "id").select("id", F.least("core", "h").alias("core"))
 
     degrees = near.groupBy("id").agg(F.count(F.lit(1)).alias("core"))
-    settled = until_still(degrees, step, [F.sum("core")], rounds, "cores")
+    settled = until_still(degrees, step, [F.sum("core")], None, "cores")
     return vertices.select("id").distinct().join(settled, "id", "left").na.fill(0, ["core"])
 
 

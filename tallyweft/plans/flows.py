@@ -55,8 +55,7 @@ def prepare(data: CanonicalDataset, s: Settings, folder: str | None = None) -> d
         vertices_of(data).write.mode("overwrite").parquet(f"{at}/graph_vertices.parquet")
         graph.edges_of(data.transactions).write.mode("overwrite").parquet(f"{at}/graph_edges.parquet")
         folds.select("entity_id", "fold").write.mode("overwrite").parquet(f"{at}/split_ids.parquet")
-        manifest = split.SplitManifest.of(folds, data.name, s.split.strategy, s.seed).to_json()
-        folds.sparkSession.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode("overwrite").option("lineSep", "\n\n").text(f"{at}/split_manifest")
+        split.fold_summary(folds, s.split.strategy, s.seed).coalesce(1).write.mode("overwrite").json(f"{at}/fold_summary")
     return {"node_statistics": stats, "folds": folds}
 
 

@@ -5,8 +5,7 @@ import json
 
 import pytest
 
-from tallyweft import cli, config
-from tallyweft.manifest import RunManifest
+from tallyweft import cli, config, manifest
 from tallyweft.model import TABLES, CanonicalDataset
 from tallyweft.operators import features, split, validate
 from tallyweft.sources import registry
@@ -114,13 +113,17 @@ def test_bad_raw_file_lists_failures(spark, tmp_path):
 
 
 def test_fetch_report(tmp_path):
-    spec = registry.DatasetSpec("x", "r", "l", "s", (), "i", (registry.DatasetFile("a", ""), registry.DatasetFile("b", "", "0" * 64)))
-    assert not registry.fetch_report(spec, str(tmp_path)).all_present
+    import hashlib
+
+    assert set(registry.on_disk(["a", "b"], str(tmp_path)).values()) == {"absent"}
     (tmp_path / "a").write_text("1")
     (tmp_path / "b").write_text("2")
+    assert registry.on_disk(["a", "b"], str(tmp_path), {"b": hashlib.sha256(b"2").hexdigest()}) == {"a": "present", "b": "verified"}
     with pytest.raises(registry.ChecksumError):
-        registry.fetch_report(spec, str(tmp_path))
-    assert "HI-Small" in registry.instructions(registry.dataset("ibm_aml"), "x")
+        registry.on_disk(["a", "b"], str(tmp_path), {"b": "0" * 64})
+    with pytest.raises(KeyError):
+        registry.expected("nothing")
+    assert "HI-Small" in registry.how_to_get("ibm_aml", "x") and len(registry.expected("elliptic")) == 3
 
 
 def _entities(spark, n=20, **fixed):
@@ -137,8 +140,9 @@ def test_splits_are_disjoint_and_cover(spark):
     f = split.split(e, "institution", held_out="B1")
     assert f.where("fold = 'test'").select("institution_id").distinct().count() == 1
     assert f.where("institution_id is null and fold <> 'test'").count() == 4
-    m = split.SplitManifest.of(split.split(e, "temporal"), "x", "temporal")
-    assert split.SplitManifest.from_json(m.to_json()) == m and m.n_test == 5
+    rows = {r["fold"]: r for r in split.fold_summary(split.split(e, "temporal"), "temporal").collect()}
+    assert {k: r["entities"] for k, r in rows.items()} == {"train": 12, "val": 3, "test": 5}
+    assert rows["train"]["last"] < rows["val"]["first"] and sum(rows["test"]["label_shares"].values()) == pytest.approx(1)
 
 
 def test_split_errors(spark):
@@ -186,8 +190,8 @@ def test_settings(tmp_path, capsys):
         with pytest.raises(ValueError):
             config.load(overrides=bad)
     assert cli.main(["--set", "seed=7", "config-show"]) == 0 and '"seed": 7' in capsys.readouterr().out
-    m = RunManifest.create("h", "x")
-    assert RunManifest.read(m.write(str(tmp_path))) == m
+    runs = [manifest.record(str(tmp_path), name, "h", 1) for name in ("x", "y")]
+    assert manifest.recorded(str(tmp_path)) == runs and manifest.recorded(str(tmp_path / "none")) == []
 
 
 def test_log_lines_are_json():
