@@ -51,6 +51,9 @@ KINDS = {
 }
 PATTERN = "|".join(f"{before}{value}{behind}" for before, value, behind in KINDS.values())
 
+#: Every value above holds one of these or stands behind one, so a text without any of them has none.
+NEEDED = r"[0-9@=]|" + KEY_BEGINNING
+
 _own_key: list[str] = []
 
 
@@ -290,11 +293,15 @@ def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
 
 
 def pseudonyms(text: Column, key: str, undo: bool = False) -> Column:
-    """The text with each valid private value replaced: the pieces between the matches and the pseudonyms are joined in turn."""
+    """The text with each valid private value replaced: the pieces between the matches and the pseudonyms are joined in turn.
+
+    The pattern is only tried on texts that hold what every value needs, which leaves none out.
+    """
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     between = F.split(text, PATTERN, -1)
     new = F.transform(found, lambda x: pseudonym(x, key, undo))
-    return F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
+    joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
+    return F.when(text.rlike(NEEDED), joined).otherwise(text)
 
 
 def protect(docs: DataFrame, *, text_col: str = "text", key: str | None = None) -> DataFrame:
