@@ -488,11 +488,12 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     tried = cut(tried.unionByName(proposed).distinct(), "tried")
 
     # the texts that any comparison can need meet their shingles once
-    ends = tried.unionByName(small.select("u", "v")).select(F.explode(F.array("u", "v")).alias("t")).unionByName(large.select("t")).distinct()
+    ends = cut(tried.unionByName(small.select("u", "v")).select(F.explode(F.array("u", "v")).alias("t")).unionByName(large.select("t")).distinct(), "ends")
     grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        u, v = (grams.select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
+        # shingles of other texts need not be dealt out
+        u, v = (grams.join(pairs.select(F.col(c).alias("t")), "t", "left_semi").select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
         return cut(pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long"), "verified")
 
     good = verified(tried)
@@ -507,6 +508,7 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     if mixed.isEmpty():
         return good
     own = cut(large.join(mixed.select("h", "rows"), "h"), "mixed")
+    grams = grams.join(own.select("t"), "t", "left_semi")
     size = own.select("h", "t").join(grams.select("t", F.length("grams").alias("bytes")), "t").groupBy("h").agg(F.sum("bytes").alias("bytes"))
     own = own.join(size, "h").withColumn("k", F.ceil(F.greatest(F.col("rows") / block, F.col("bytes") / (1 << 24))))
     own = own.withColumn("i", F.pmod(F.xxhash64("t"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -527,11 +529,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     named = docs.where(F.col(id_col).isNotNull())
     narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    texts = cut(narrow.groupBy("t").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "texts")
+    # written tables have true sizes: Spark broadcasts them where they are small, and texts are dealt out only where they are not
+    reps = cut(narrow.groupBy("t").agg(F.min("doc_id").alias("rep")), "reps")
+    own = narrow.join(reps.withColumnRenamed("rep", "doc_id"), ["t", "doc_id"], "left_semi")
+    again = cut(own.groupBy("t", "doc_id").count().where("count > 1").select("t", "doc_id"), "again")
+    single = own.join(again, ["t", "doc_id"], "left_anti")
+    several = own.join(again, ["t", "doc_id"], "left_semi").dropDuplicates(["t"])
+    texts = cut(single.unionByName(several).select("t", F.col("doc_id").alias("rep"), "text"), "texts")
     groups = components(alike(texts, words=words, similarity=similarity)).select(F.col("node").alias("t"), "label")
     members = texts.select("t", "rep").join(groups, "t", "left")
     least = members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("rep", "t")).alias("least"))
     kept = cut(least.select(F.col("least.rep").alias("_rep"), F.col("least.t").alias("_t")), "kept")
     keyed = docs.withColumn("_same", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    own = keyed.join(kept, (keyed[id_col].cast("long") == kept["_rep"]) & (keyed["_same"] == kept["_t"]), "left_semi")
-    return own.dropDuplicates([id_col, "_same"]).drop("_same").unionByName(docs.where(F.col(id_col).isNull()))
+    again = again.select(F.col("doc_id").alias("_rep"), F.col("t").alias("_t"))
+    own = lambda rows, how: keyed.join(rows, (keyed[id_col].cast("long") == rows["_rep"]) & (keyed["_same"] == rows["_t"]), how)
+    once = own(kept.join(again, ["_rep", "_t"], "left_anti"), "left_semi")
+    more = own(kept.join(again, ["_rep", "_t"], "left_semi"), "left_semi").dropDuplicates([id_col, "_same"])
+    return once.unionByName(more).drop("_same").unionByName(docs.where(F.col(id_col).isNull()))
