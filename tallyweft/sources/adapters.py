@@ -102,16 +102,14 @@ class EllipticActors(Adapter):
     CLASSES = {1: "illicit", 2: "licit", 3: "unknown"}
 
     def load_raw(self, folder: str) -> dict[str, DataFrame]:
-        wallets = check(self.csv(f"{folder}/wallets_features_classes_combined.csv"), Rules(("address", "class"), not_null=("address", "class"), isin={"class": tuple(self.CLASSES)}, casts={"class": "int", "address": "string"}), "wallets_features_classes_combined.csv")
-        edges = self.csv(f"{folder}/AddrAddr_edgelist.csv", "input_address string, output_address string")
-        check(edges, Rules(("input_address", "output_address"), not_null=("input_address", "output_address")), "AddrAddr_edgelist.csv")
+        wallets = check(self.csv(f"{folder}/wallets_features_classes_combined.csv"), Rules(("address", "class"), not_null=("address", "class"), isin={"class": tuple(self.CLASSES)}, unique=(("address",),), casts={"class": "int", "address": "string"}), "wallets_features_classes_combined.csv")
+        edges = self.spark.read.option("header", True).csv(f"{folder}/AddrAddr_edgelist.csv")
+        check(edges, Rules(("input_address", "output_address"), not_null=("input_address", "output_address"), strict=True), "AddrAddr_edgelist.csv")
         return {"wallets": wallets, "edges": with_ordinal(edges)}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
-        # a wallet has a row for each of its time steps: the first by its text stands for it
         others = [c for c in raw["wallets"].columns if c not in ("address", "class")]
-        rows = raw["wallets"].select("address", "class", (sorted_json(*others) if others else F.lit("{}")).alias("attributes"))
-        wallets = rows.groupBy("address").agg(F.min("class").alias("class"), F.min("attributes").alias("attributes"))
+        wallets = raw["wallets"].select("address", "class", (sorted_json(*others) if others else F.lit("{}")).alias("attributes"))
         accounts = wallets.select(F.col("address").alias("account_id"), "attributes")
         transactions = raw["edges"].select(F.concat(F.lit("elliptic_pp_edge_"), F.col("ordinal").cast("string")).alias("tx_id"), F.col("input_address").alias("src_account"), F.col("output_address").alias("dst_account"), F.lit("unknown").alias("currency"), F.lit("unknown").alias("channel"))
         kind = F.create_map(*[F.lit(x) for p in self.CLASSES.items() for x in p])

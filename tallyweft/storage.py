@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a notebook in local mode) a temporary
-    folder of this process is chosen, and it is put into the session.
+    Only where that is unset in local mode (tests, a notebook) a temporary
+    folder of this process is chosen, and it is put into the session; on a
+    cluster executors would not share it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallyweft-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)

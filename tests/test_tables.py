@@ -108,6 +108,15 @@ def test_bad_raw_file_lists_failures(spark, tmp_path):
     with pytest.raises(validate.SchemaError) as e:
         adapter("baf", spark).run(f"{tmp_path}/baf")
     assert e.value.failures.count() == 2
+    wallets, edges = (tmp_path / "elliptic_pp" / f for f in ("wallets_features_classes_combined.csv", "AddrAddr_edgelist.csv"))
+    held = wallets.read_text()
+    wallets.write_text(held + "w0,1,9\n")
+    with pytest.raises(validate.SchemaError):
+        adapter("elliptic_pp", spark).load_raw(f"{tmp_path}/elliptic_pp")
+    wallets.write_text(held)
+    edges.write_text("input_address,output_address,value\nw0,w1,2\n")
+    with pytest.raises(validate.SchemaError):
+        adapter("elliptic_pp", spark).load_raw(f"{tmp_path}/elliptic_pp")
     with pytest.raises(KeyError):
         adapter("nothing", spark)
 
