@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tallyweft.llm.shared import cut, scratch_path
 
-#: Lines of an index block, and bytes after which a task begins another archive file.
-LINES, ARCHIVE = 1000, 1 << 30
+#: Lines of an index block, bytes after which a task begins another archive file, and bytes of archives that a look-up task reads.
+LINES, ARCHIVE, READ = 1000, 1 << 30, 1 << 26
 #: The pages carry no time of capture; all records are dated alike.
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least so many bytes are deduplicated.
@@ -288,8 +288,13 @@ def _finder(shards: list[tuple]):
     return run
 
 
-def look_up(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
-    """The captures of (page_id, url) rows, or (page_id, surt) rows, read back from the archives; rows without a capture give none."""
+def look_up(index: CaptureIndex, wanted: DataFrame, *, size: int = 0) -> DataFrame:
+    """The captures of (page_id, url) rows, or (page_id, surt) rows, read back from the archives; rows without a capture give none.
+
+    ``size`` is the number of bytes the rows read: a task reads ``READ`` of them,
+    less where the cluster has more cores.  The rows themselves are too narrow
+    for adaptive execution to tell.
+    """
     if "surt" not in wanted.columns:
 
         @F.pandas_udf("string")
@@ -299,7 +304,8 @@ def look_up(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
         wanted = wanted.select("page_id", surt("url").alias("surt"))
     keyed = wanted.select(F.col("page_id").cast("long").alias("page_id"), "surt")
     order = [F.col("surt"), F.col("page_id").asc_nulls_first()]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_finder(index.shards), FOUND)
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-size // READ))
+    return keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_finder(index.shards), FOUND)
 
 
 def archive_and_read(pages: DataFrame, *, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -313,7 +319,8 @@ def archive_and_read(pages: DataFrame, *, folder: str | None = None, least: int
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     captures = write_archives(pages, folder, least=least)
-    return look_up(build_index(captures, folder), captures.select("page_id", "surt"))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return look_up(build_index(captures, folder), captures.select("page_id", "surt"), size=size)
 
 
 #: The same captures in SQL: digests, and the smallest page of each payload.
