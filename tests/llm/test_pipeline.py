@@ -37,18 +37,19 @@ def test_stage_order_and_columns(spark, small):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_table(spark, small, name):
     out = queries.QUERIES[name](spark, small)
-    table = {"op1": "embeddings", "op6": "pages", "op7": "pages"}.get(name.split("_")[0], "documents")
+    op = name.split("_")[0]
+    table = {"op1": "embeddings", "op6": "pages", "op7": "pages", "op11": "conversations", "op12": "benchmark", "op13": "embeddings"}.get(op, "documents")
     n = spark.read.parquet(f"{small}/{table}.parquet")
-    want = 20 * n.where("vec_id % 20 = 0").count() if table == "embeddings" else n.count()
+    want = {"op1": lambda: 20 * n.where("vec_id % 20 = 0").count(), "op11": lambda: n.select("conv_id").distinct().count() + 1, "op12": lambda: 50 * n.count(), "op13": lambda: 4 * n.count()}.get(op, n.count)()
     assert out.count() == want
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, small, name):
-    table = "pages" if name.startswith("op6") else "documents"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    for table in ("pages", "documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, small).toPandas(), con.sql(queries.SQL[name]).df()
-    key = "page_id" if table == "pages" else "doc_id"
+    key = ["page_id"] if name.startswith("op6") else ["item_id", "rank"] if "rank" in want else ["doc_id"]
     a, b = (d.sort_values(key).reset_index(drop=True)[sorted(d)] for d in (got, want))
     assert list(a) == list(b) and ((a == b) | (a.isna() & b.isna())).all().all()
