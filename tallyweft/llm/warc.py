@@ -39,10 +39,13 @@ from tallyweft.llm.shared import cut, scratch_path
 LINES, ARCHIVE, READ = 1000, 1 << 30, 1 << 26
 #: The pages carry no time of capture; all records are dated alike.
 DATE = "2024-01-01T00:00:00Z"
+#: Sorts after any digest or URL.
+LAST = "\U0010ffff"
 #: Payloads of at least so many bytes are deduplicated.
 LEAST = 0
 
-INDEX = "surt string, page_id long, url string, file string, offset long, length long"
+INDEX = "surt string, page_id long, sha string, url string, file string, offset long, length long"
+KEY = ["surt", "page_id", "sha", "url"]
 
 
 def reversed_host(url: str | None) -> str:
@@ -143,10 +146,11 @@ def _archiver(folder: str):
                         out.close()
                     out, n = _Out(folder, f"pages-{part:06d}-{n:04d}.warc.gz"), n + 1
                 payload, url = (row["html"] or "").encode(), _clean(row["url"])
-                at, size = out.write(gzip.compress(record(row["page_id"], url, payload, digest(payload), row["first"], row["is_first"]), 6, mtime=0))
-                lines.append((reversed_host(url), row["page_id"], url, out.uri, at, size))
+                sha = digest(payload)
+                at, size = out.write(gzip.compress(record(row["page_id"], url, payload, sha, row["first"], row["is_first"]), 6, mtime=0))
+                lines.append((reversed_host(url), row["page_id"], sha, url, out.uri, at, size))
             if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i in (0, 2, 3) else pa.array(c, pa.int64()) for i, c in enumerate(zip(*lines, strict=True))], names=[f.split()[0] for f in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (1, 5, 6) else pa.string()) for i, c in enumerate(zip(*lines, strict=True))], names=[f.split()[0] for f in INDEX.split(", ")])
         if out:
             out.close()
 
@@ -176,8 +180,8 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST) -> Data
 # --- index ------------------------------------------------------------------------------------
 
 
-def _key(surt: str, page_id: int | None) -> tuple[str, int]:
-    return surt, -(1 << 63) - 1 if page_id is None else page_id
+def _key(surt: str, page_id: int | None, sha: str, url: str) -> tuple[str, int, str, str]:
+    return surt, -(1 << 63) - 1 if page_id is None else page_id, sha, url
 
 
 def _indexer(folder: str, lines: int):
@@ -188,14 +192,14 @@ def _indexer(folder: str, lines: int):
 
         def flush():
             at, size = out.write(zlib.compress("\n".join(map(json.dumps, held)).encode(), 6))
-            directory.append([*held[0][:2], at, size])
+            directory.append([*held[0][:4], at, size])
             held.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     out = _Out(folder, f"index-{part:06d}.cdx")
-                held.append([row["surt"], row["page_id"], row["file"], row["offset"], row["length"]])
+                held.append([row[c] for c in (*KEY, "file", "offset", "length")])
                 if len(held) >= lines:
                     flush()
         if held:
@@ -205,30 +209,30 @@ def _indexer(folder: str, lines: int):
             sparse = _Out(folder, f"index-{part:06d}.dir")
             sparse.write(json.dumps(directory).encode())
             sparse.close()
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([out.uri]), pa.array([sparse.uri])], names=["surt", "page_id", "blocks", "directory"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 1 else pa.string()) for k, v in enumerate((*directory[0][:4], out.uri, sparse.uri))], names=[*KEY, "blocks", "directory"])
 
     return run
 
 
 @dataclass
 class CaptureIndex:
-    """The shards, by first key: (surt, page_id, blocks file, directory file); as many as the tasks that wrote them."""
+    """The shards, by first key: (surt, page_id, sha, url, blocks file, directory file); as many as the tasks that wrote them."""
 
     shards: list[tuple]
 
 
 def build_index(captures: DataFrame, folder: str, *, lines: int = LINES) -> CaptureIndex:
-    order = [F.col("surt"), F.col("page_id").asc_nulls_first()]
+    order = [F.col(c).asc_nulls_first() for c in KEY]
     dealt = captures.repartitionByRange(*order).sortWithinPartitions(*order, "file", "offset")
-    shards = dealt.mapInArrow(_indexer(folder, lines), "surt string, page_id long, blocks string, directory string").collect()
-    return CaptureIndex(sorted((tuple(s) for s in shards), key=lambda s: _key(s[0], s[1])))
+    shards = dealt.mapInArrow(_indexer(folder, lines), "surt string, page_id long, sha string, url string, blocks string, directory string").collect()
+    return CaptureIndex(sorted((tuple(s) for s in shards), key=lambda s: _key(*s[:4])))
 
 
 class _Reader:
     """Looks captures up; keeps the last shard's directory, the last block and the last files open."""
 
     def __init__(self, shards: list[tuple]):
-        self.shards, self.firsts = shards, [_key(s[0], s[1]) for s in shards]
+        self.shards, self.firsts = shards, [_key(*s[:4]) for s in shards]
         self.shard = self.block = None
         self.files: dict[str, object] = {}
 
@@ -242,26 +246,27 @@ class _Reader:
         f.seek(at)
         return f.read(size)
 
-    def find(self, surt: str, page_id: int | None) -> list | None:
-        """The index line of a capture: by binary search of shards, directory and block."""
-        key = _key(surt, page_id)
+    def find(self, surt: str, page_id: int | None, sha: str | None = None, url: str | None = None) -> list | None:
+        """The index line of a capture: by binary search of shards, directory and block; without digest or URL, the last in order of those."""
+        key = _key(surt, page_id, LAST if sha is None else sha, LAST if url is None or sha is None else url)
         s = bisect_right(self.firsts, key) - 1
         if s < 0:
             return None
         if self.shard != s:
-            fs, path = _store(self.shards[s][3])
+            fs, path = _store(self.shards[s][5])
             with fs.open_input_stream(path) as f:
                 self.directory = json.loads(f.read())
-            self.starts = [_key(b[0], b[1]) for b in self.directory]
+            self.starts = [_key(*b[:4]) for b in self.directory]
             self.shard, self.block = s, None
         b = bisect_right(self.starts, key) - 1
         if self.block != b:
-            _, _, at, size = self.directory[b]
-            self.lines = [json.loads(x) for x in zlib.decompress(self.read(self.shards[s][2], at, size)).split(b"\n")]
-            self.keys = [_key(x[0], x[1]) for x in self.lines]
+            at, size = self.directory[b][4:]
+            self.lines = [json.loads(x) for x in zlib.decompress(self.read(self.shards[s][4], at, size)).split(b"\n")]
+            self.keys = [_key(*x[:4]) for x in self.lines]
             self.block = b
         i = bisect_right(self.keys, key) - 1
-        return self.lines[i] if i >= 0 and self.keys[i] == key else None
+        wanted = 2 if sha is None else 3 if url is None else 4
+        return self.lines[i] if i >= 0 and self.keys[i][:wanted] == key[:wanted] else None
 
 
 FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -273,10 +278,10 @@ def _finder(shards: list[tuple]):
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                line = reader.find(row["surt"], row["page_id"])
+                line = reader.find(row["surt"], row["page_id"], row["sha"], row["url"])
                 if line is None:
                     continue
-                fields, http, payload = parse(gzip.decompress(reader.read(line[2], line[3], line[4])))
+                fields, http, payload = parse(gzip.decompress(reader.read(*line[4:])))
                 kind = fields["warc-type"]
                 size = len(payload) if kind == "response" else int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
                 first = page_of(fields["warc-refers-to"]) if kind == "revisit" else None
@@ -289,7 +294,10 @@ def _finder(shards: list[tuple]):
 
 
 def look_up(index: CaptureIndex, wanted: DataFrame, *, size: int = 0) -> DataFrame:
-    """The captures of (page_id, url) rows, or (page_id, surt) rows, read back from the archives; rows without a capture give none.
+    """The captures of (page_id, url) rows, or rows of the index's KEY, read back from the archives; rows without a capture give none.
+
+    An id and URL alone do not tell captures of different payloads apart: they
+    read the last of them by digest.
 
     ``size`` is the number of bytes the rows read: a task reads ``READ`` of them,
     less where the cluster has more cores.  The rows themselves are too narrow
@@ -302,8 +310,9 @@ def look_up(index: CaptureIndex, wanted: DataFrame, *, size: int = 0) -> DataFra
             return urls.map(lambda u: reversed_host(_clean(u)))
 
         wanted = wanted.select("page_id", surt("url").alias("surt"))
-    keyed = wanted.select(F.col("page_id").cast("long").alias("page_id"), "surt")
-    order = [F.col("surt"), F.col("page_id").asc_nulls_first()]
+    own = lambda c: F.col(c) if c in wanted.columns and "sha" in wanted.columns else F.lit(None).cast("string").alias(c)
+    keyed = wanted.select("surt", F.col("page_id").cast("long").alias("page_id"), own("sha"), own("url"))
+    order = [F.col(c).asc_nulls_first() for c in KEY]
     tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-size // READ))
     return keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_finder(index.shards), FOUND)
 
@@ -312,15 +321,16 @@ def archive_and_read(pages: DataFrame, *, folder: str | None = None, least: int
     """Archive all pages, index the captures, and read every page back through the index.
 
     Columns of FOUND, one row per page.  A null html is an empty payload, a
-    null url an empty one, repeated rows repeat (rows equal in id and URL read
-    the same capture), an empty table gives an empty result, other columns are
+    null url an empty one, rows that repeat an id, a URL or both each read their
+    own payload; texts of any length are one record, which a task holds whole;
+    an empty table gives an empty result, other columns are
     not read.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     captures = write_archives(pages, folder, least=least)
     size = captures.agg(F.sum("length")).first()[0] or 0
-    return look_up(build_index(captures, folder), captures.select("page_id", "surt"), size=size)
+    return look_up(build_index(captures, folder), captures.select(*KEY), size=size)
 
 
 #: The same captures in SQL: digests, and the smallest page of each payload.

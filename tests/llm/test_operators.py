@@ -433,6 +433,14 @@ def test_warc_odd(spark):
     assert warc.archive_and_read(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_reads_each_payload_of_repeated_keys(spark):
+    rows = [(1, "http://u/", "one"), (1, "http://u/", "two two"), (1, "http://www.u/", "one"), (1, "http://u/", "one"), (2, "http://u/", "two two"), (None, "http://u/", None), (None, "http://u/", "three")]
+    got = warc.archive_and_read(spark.createDataFrame([(*r, 1, "x") for r in rows], PAGES + ", offset int, sha string").repartition(3)).collect()
+    want = sorted((i is not None, i or 0, u, len(h or "")) for i, u, h in rows)
+    assert sorted((r["page_id"] is not None, r["page_id"] or 0, r["url"], r["payload_bytes"]) for r in got) == want
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 7} == {(1, "response", None), (2, "revisit", 1)}
+
+
 def test_warc_damage_is_noticed():
     good = warc.record(1, "http://a/", b"payload", warc.digest(b"payload"), None, True)
     assert warc.parse(good)[2] == b"payload"
