@@ -73,6 +73,7 @@ class Federated:
     local_epochs: int = 1
     fraction: float = 1.0
     proximal_mu: float = 0.01
+    boundary_rounds: int = 2
 
 
 @dataclass(frozen=True)

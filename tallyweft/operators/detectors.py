@@ -194,7 +194,7 @@ class NeighbourMean(Detector):
         vec = features.select(F.col("account_id").alias("id"), F.array(*[F.col(c).cast("double") for c in base]).alias("vec"))
         out = features
         for hop in range(1, self.layers + 1):
-            vec = mean_neighbours(vec, edges)
+            vec = mean_neighbours(vec, edges, len(base))
             out = out.join(vec.select(F.col("id").alias("account_id"), *[F.col("vec")[i].alias(f"{c}_{hop}") for i, c in enumerate(base)]), "account_id", "left")
         return out.na.fill(0.0)
 
@@ -264,7 +264,7 @@ def matvec(weights: Sequence[Sequence[float]], vec: Column) -> Column:
 
 def mean_layer(nodes: DataFrame, edges: DataFrame, neighbour: Sequence[Sequence[float]], own: Sequence[Sequence[float]], bias: Sequence[float], last: bool = False) -> DataFrame:
     """(id, vec): neighbour times the mean of the in-neighbours plus own times the vector plus bias; rectified unless last."""
-    mean = mean_neighbours(nodes, edges).withColumnRenamed("vec", "mean")
+    mean = mean_neighbours(nodes, edges, len(neighbour[0])).withColumnRenamed("vec", "mean")
     total = F.zip_with(F.zip_with(matvec(neighbour, F.col("mean")), matvec(own, F.col("vec")), lambda a, b: a + b), _lit(bias), lambda a, b: a + b)
     return nodes.join(mean, "id").select("id", (total if last else F.transform(total, lambda x: F.greatest(x, F.lit(0.0)))).alias("vec"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import hmac_sha256, md5_mod
+from tallyweft.operators.ranks import numbered
 
 KEY_VARIABLE, TEST_KEY = "TALLYWEFT_PSEUDONYM_KEY", "test-only-key"
 
@@ -143,15 +144,27 @@ def rdp_epsilon(steps: DataFrame, noise: float = 1.1, delta: float = 1e-5) -> Da
 
 
 def masks(clients: DataFrame, dim: int, seed: int = 0) -> DataFrame:
-    """(client, mask): each pair i < j shares a hash-seeded vector, added by i and subtracted by j, so the masks sum to zero."""
-    pairs = clients.select(F.col("client").alias("i")).join(clients.select(F.col("client").alias("j")), F.col("i") < F.col("j"))
-    pos = F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("pos")
+    """(client, mask): distinct clients in a ring share a hash-seeded vector with those 1, 2, 4, ... places on; the one adds it, the other subtracts it, so the masks sum to zero.
+
+    A client has a few masks for each doubling of the number of clients, not
+    one for each other client, and makes them without a shuffle.  A client
+    that is alone has none.
+    """
+    placed = numbered(clients.select("client"), ["client"], "_place")
+    n = placed.count()
+    steps = [1 << j for j in range(max(n - 1, 0).bit_length())]
+    if not steps:
+        return clients.select("client", F.lit(None).cast("array<long>").alias("mask"))
     # whole numbers cancel exactly, whatever the order of the sums
-    flat = pairs.select("i", "j", pos).withColumn("r", F.pmod(F.xxhash64("i", "j", "pos", F.lit(seed)), F.lit(1 << 20)) - (1 << 19))
-    both = flat.select(F.explode(F.array(F.struct(F.col("i").alias("client"), F.col("r")), F.struct(F.col("j").alias("client"), (-F.col("r")).alias("r")))).alias("x"), "pos").select("x.client", "pos", "x.r")
-    summed = both.groupBy("client", "pos").agg(F.sum("r").alias("r"))
-    vectors = summed.groupBy("client").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("mask"))
-    return clients.select("client").join(vectors, "client", "left")
+    shared = lambda at, step, pos: F.pmod(F.xxhash64(at, F.lit(step), pos, F.lit(seed)), F.lit(1 << 20)) - (1 << 19)
+
+    def total(pos: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for step in steps:
+            out = out + shared(F.col("_place"), step, pos) - shared(F.pmod(F.col("_place") - step, F.lit(n)), step, pos)
+        return out
+
+    return placed.select("client", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), total).alias("mask"))
 
 
 def masked_updates(updates: DataFrame, mask: DataFrame, scale: float = 1 << 16) -> DataFrame:
@@ -174,9 +187,18 @@ def communication_bytes(sampled: int, parameters: int, width: int = 4) -> int:
 # --- boundary embeddings ----------------------------------------------------------------------
 
 
-def published(embeddings: DataFrame, round_no: int, *, clip: float = 1.0, noise: float = 1.1, key: str | None = None) -> DataFrame:
-    """(pseudonym, round, vec) of local boundary accounts: clipped, noised, under their pseudonyms."""
-    noisy = F.transform(clipped(F.col("vec"), clip), lambda v, i: v + noise * clip * gaussian(F.col("account_id"), F.lit(round_no), i))
+def published(embeddings: DataFrame, round_no: int, *, clip: float | None = 1.0, noise: float = 1.1, key: str | None = None) -> DataFrame:
+    """(pseudonym, round, vec) of local boundary accounts: clipped, noised, under their pseudonyms.
+
+    Without ``clip`` vectors go out as they are.  The noise is drawn from a
+    keyed pseudonym of the account and the round: a repeated round publishes
+    the same values, and only who holds the key could draw them again.
+    """
+    noisy = F.col("vec") if clip is None else clipped(F.col("vec"), clip)
+    if clip is not None and noise:
+        # another use of the key than the pseudonym that is published
+        source = pseudonym(F.concat(F.lit(f"noise:{round_no}:"), F.col("account_id")), key)
+        noisy = F.transform(noisy, lambda v, i: v + noise * clip * gaussian(source, i))
     return embeddings.select(pseudonym(F.col("account_id"), key).alias("pseudonym"), F.lit(round_no).alias("round"), noisy.alias("vec"))
 
 
@@ -191,10 +213,18 @@ def overridden(nodes: DataFrame, received: DataFrame) -> DataFrame:
     return nodes.join(r, "id", "left").withColumn("vec", F.coalesce("_vec", "vec")).drop("_vec")
 
 
-def mean_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, vec): the mean vector of each node's in-neighbours, parallel edges counted; nodes without any get zeros."""
+def mean_vectors(sent: DataFrame, by: list[str], width: int) -> DataFrame:
+    """(by..., mean): element-wise means of ``vec``, in one row from the partial sums of a task on."""
+    return sent.groupBy(*by).agg(F.array(*[F.avg(F.get("vec", i)) for i in range(width)]).alias("mean"))
+
+
+def mean_neighbours(nodes: DataFrame, edges: DataFrame, width: int | None = None) -> DataFrame:
+    """(id, vec): the mean vector of each node's in-neighbours, parallel edges counted; nodes without any get zeros.
+
+    ``width`` is the length of the vectors; where it is not given, it is looked up.
+    """
+    if width is None:
+        width = nodes.agg(F.max(F.size("vec"))).first()[0] or 0
     sent = edges.select("src", F.col("dst").alias("id")).join(nodes.select(F.col("id").alias("src"), "vec"), "src")
-    each = sent.select("id", F.posexplode("vec").alias("pos", "x")).groupBy("id", "pos").agg(F.avg("x").alias("x"))
-    mean = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
     zero = F.transform("vec", lambda v: F.lit(0.0))
-    return nodes.join(mean, "id", "left").select("id", F.coalesce("mean", zero).alias("vec"))
+    return nodes.join(mean_vectors(sent, ["id"], width), "id", "left").select("id", F.coalesce("mean", zero).alias("vec"))

@@ -2,9 +2,9 @@
 
 Each round is joins and aggregations; its result is written to the shared
 folder, which keeps plans short and survives the loss of executors.  A loop
-ends when a round changes nothing.  Trimming, colours and cores shrink or grow
-towards a bound in every round, so they end on any graph and have no cap of
-rounds; other loops raise if their bound is reached first.
+ends when a round changes nothing.  Tops and cores grow or shrink towards a
+bound in every round, so they end on any graph and have no cap of rounds;
+other loops raise if their bound is reached first.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.operators.graph import half_edges, undirected, weighted
+from tallyweft.operators.ranks import numbered
 from tallyweft.storage import cut, cut_with
 
 
@@ -77,57 +78,121 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 # --- strongly connected components ------------------------------------------------------------
 
 
-def _trimmed(pairs: DataFrame, layers: int = 4) -> DataFrame:
-    """Drop vertices without an incoming or without an outgoing edge, again and again: what stays lies on or between cycles.  A round peels several layers."""
+def _simple(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, number) of the ends of edges other than loops, numbered in an order that has nothing to do with the graph, and the distinct edges between the numbers."""
+    pairs = edges.where("src <> dst").select("src", "dst").distinct()
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_h", F.xxhash64("id"))
+    names = numbered(ids, ["_h", "id"]).select("id", "number")
+    at = lambda c: names.select(F.col("id").alias(c), F.col("number").alias(f"{c}_n"))
+    return names, cut(pairs.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")), "simple")
 
-    def peeled(e: DataFrame) -> DataFrame:
-        sources, sinks = e.select(F.col("src").alias("x")).distinct(), e.select(F.col("dst").alias("x")).distinct()
-        return e.join(sinks, e["src"] == sinks["x"], "left_semi").join(sources, e["dst"] == sources["x"], "left_semi")
 
-    def step(e: DataFrame) -> DataFrame:
-        for _ in range(layers):
-            e = peeled(e)
-        return e
+def _shortened(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with chains drawn together, and (id, first, last): the vertices gone and the ends that took their place.
 
-    return until_still(pairs, step, _rows(), None, "trim")
-
-
-def _reached(start: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, colour) with the largest colour that reaches each vertex along the pairs."""
-
-    def step(c: DataFrame) -> DataFrame:
-        sent = pairs.join(c.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "colour")
-        return c.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour"))
-
-    return until_still(start, step, _rows("id", "colour"), None, "colour")
+    A vertex with one edge in and one out lies on a chain.  Those that are not
+    the highest of their neighbours on it go, so no cycle goes altogether, and
+    runs of them are short.  A vertex that has gone is of its ends' component
+    if both ends are of one, and else on no cycle.
+    """
+    out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("last"))
+    into = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("first"))
+    inner = out.where("n_out = 1").join(into.where("n_in = 1"), F.col("src") == F.col("dst")).select(F.col("src").alias("id"), "first", "last")
+    gone = cut(inner.where(~((F.col("id") > F.col("first")) & (F.col("id") > F.col("last")))), "chain")
+    heads = gone
+    while True:  # runs double in length; a run ends at a vertex that stays
+        far = gone.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.lit(1).alias("_on"))
+        back = gone.select(F.col("id").alias("first"), F.col("first").alias("_first"), F.lit(1).alias("_off"))
+        step = gone.join(far, "last", "left").join(back, "first", "left")
+        gone, seen = cut_with(step.select("id", F.coalesce("_first", "first").alias("first"), F.coalesce("_last", "last").alias("last"), F.coalesce("_on", "_off").alias("_on")), "chain", F.count("_on"))
+        gone = gone.drop("_on")
+        if not seen[0]:
+            break
+    x = gone.select(F.col("id").alias("x"))
+    kept = pairs.join(x, pairs["src"] == x["x"], "left_anti").join(x, pairs["dst"] == x["x"], "left_anti")
+    # each run is one edge: that of its first vertex
+    whole = heads.select("id", F.col("first").alias("_direct")).join(gone, "id").where("_direct = first and first <> last").select(F.col("first").alias("src"), F.col("last").alias("dst"))
+    return cut(kept.unionByName(whole).distinct(), "shortened"), gone
+
+
+def _highest(pairs: DataFrame, jumps: int = 2) -> DataFrame:
+    """(id, top, low): the highest vertex that reaches each vertex, and the highest it reaches.
+
+    What reaches a vertex's top reaches the vertex: so tops are also followed
+    themselves, and the number of rounds does not grow with the diameter as
+    vertices are numbered by chance.  Both ways are rows of one table.
+    """
+    way = lambda k, c, d: pairs.select(F.lit(k).alias("way"), F.col(c).alias("_from"), F.col(d).alias("id"))
+    arcs = cut(way(0, "src", "dst").unionByName(way(1, "dst", "src")), "arcs")
+
+    def step(t: DataFrame) -> DataFrame:
+        sent = arcs.join(t.select("way", F.col("id").alias("_from"), "top"), ["way", "_from"]).select("way", "id", "top")
+        near = t.unionByName(sent).groupBy("way", "id").agg(F.max("top").alias("top"))
+        for _ in range(jumps):
+            near = near.join(t.select("way", F.col("id").alias("top"), F.col("top").alias("_up")), ["way", "top"]).select("way", "id", F.col("_up").alias("top"))
+        return near
+
+    start = arcs.select("way", "id").distinct().unionByName(arcs.select("way", F.col("_from").alias("id")).distinct()).distinct()
+    tops = until_still(start.select("way", "id", F.col("id").alias("top")), step, [F.sum(F.col("top").cast("decimal(38,0)"))], None, "top")
+    return tops.groupBy("id").agg(F.max(F.when(F.col("way") == 0, F.col("top"))).alias("top"), F.max(F.when(F.col("way") == 1, F.col("top"))).alias("low"))
+
+
+def _peeled(pairs: DataFrame, layers: int = 2) -> DataFrame:
+    """Without the edges of vertices that have no way in or no way out, some layers of them."""
+    for _ in range(layers):
+        sources, sinks = pairs.select(F.col("src").alias("x")).distinct(), pairs.select(F.col("dst").alias("x")).distinct()
+        pairs = pairs.join(sinks, pairs["src"] == sinks["x"], "left_semi").join(sources, pairs["dst"] == sources["x"], "left_semi")
+    return pairs
+
+
+def strong_labels(edges: DataFrame, chains: float = 0.02) -> DataFrame:
+    """(id, label) of the vertices that share a strong component with another vertex.
+
+    Chains are drawn together first, as long as that takes a share of
+    ``chains`` of the vertices at least.  Then rounds: with the highest vertex
+    that reaches each vertex and the highest it reaches, a vertex for which
+    both are the same is of that one's component; edges between vertices that
+    differ in either lie in no component, and go.  Each round splits what is
+    left of a part at its highest vertex, as a sort by random pivots does
+    (Coppersmith et al. 2003, Schudy 2008), so rounds grow with the logarithm.
+    """
+    spark = edges.sparkSession
+    names, pairs = _simple(edges)
+    levels = []
+    while not pairs.isEmpty():
+        before = pairs.count()
+        shorter, gone = _shortened(pairs)
+        n = gone.count()
+        if n:
+            levels.append(gone)
+            pairs = shorter
+        if n < chains * before:
+            break
+    found = spark.createDataFrame([], "id long, label long")
+    pairs = cut(_peeled(pairs), "inner")
+    while not pairs.isEmpty():
+        both = cut(_highest(pairs), "both")
+        found = found.unionByName(both.where("top = low").select("id", F.col("top").alias("label")))
+        rest = both.where("top <> low")
+        at = lambda c, rest=rest: rest.select(F.col("id").alias(c), F.col("top").alias(f"{c}_top"), F.col("low").alias(f"{c}_low"))
+        pairs = cut(_peeled(pairs.join(at("src"), "src").join(at("dst"), "dst").where("src_top = dst_top and src_low = dst_low").select("src", "dst")), "inner")
+    for gone in reversed(levels):
+        first, last = (found.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("first", "last"))
+        ends = gone.join(first, "first", "left").join(last, "last", "left")
+        first, last = F.coalesce("first_label", "first"), F.coalesce("last_label", "last")
+        found = cut(found.unionByName(ends.where(first == last).select("id", first.alias("label"))), "strong")
+    # a vertex may have lost all its neighbours to chains: its own label names it
+    found = found.unionByName(found.select(F.col("label").alias("id"), "label")).distinct()
+    shared = found.join(found.groupBy("label").count().where("count > 1").select("label"), "label")
+    named = shared.join(names, shared["id"] == names["number"]).select(names["id"].alias("id"), "label")
+    return cut(named, "labels")
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component, size): forward-backward colouring (Orzan 2004) with trimming.
-
-    A round colours each vertex with the largest vertex that reaches it; of
-    each colour, what reaches back to the vertex of that name within the
-    colour is a component, and leaves the graph.
-    """
-    spark = vertices.sparkSession
-    pairs = _trimmed(edges.where("src <> dst").select("src", "dst").distinct())
-    kind = vertices.schema["id"].dataType.simpleString()
-    found = spark.createDataFrame([], f"id {kind}, component {kind}")
-    # each round takes one component at least
-    while not pairs.isEmpty():
-        ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        colours = _reached(ids.select("id", F.col("id").alias("colour")), pairs)
-        at = lambda c, colours=colours: colours.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
-        inner = cut(pairs.join(at("src"), "src").join(at("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")), "inner")
-
-        def back(c: DataFrame, inner: DataFrame = inner) -> DataFrame:
-            sent = inner.join(c.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour")
-            return c.unionByName(sent).distinct()
-
-        own = until_still(colours.where("id = colour"), back, _rows(), None, "back")
-        found = cut(found.unionByName(own.select("id", F.col("colour").alias("component"))), "strong")
-        gone = own.select(F.col("id").alias("x"))
-        pairs = _trimmed(pairs.join(gone, pairs["src"] == gone["x"], "left_anti").join(gone, pairs["dst"] == gone["x"], "left_anti"))
+    """(id, component, size) of every vertex; a component is named by its largest vertex, a vertex on no cycle is its own."""
+    labels = strong_labels(edges)
+    top = labels.groupBy("label").agg(F.max("id").alias("component"))
+    found = labels.join(top, "label").select("id", "component")
     named = vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return named.join(sizes, "component").select("id", "component", "size")
@@ -221,9 +286,7 @@ def sample_neighbourhood(edges: DataFrame, seeds: DataFrame, fanout: list[int],
 
 def has_cycle(vertices: DataFrame, edges: DataFrame) -> bool:
     """Whether any directed cycle exists, a loop included."""
-    if not edges.where("src = dst").isEmpty():
-        return True
-    return not _trimmed(edges.select("src", "dst").distinct()).isEmpty()
+    return not edges.where("src = dst").isEmpty() or not strong_labels(edges).isEmpty()
 
 
 def laundering_rings(edges: DataFrame, positive: str = "laundering") -> DataFrame:

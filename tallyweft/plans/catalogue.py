@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import md5_mod
 from tallyweft.model import CanonicalDataset, empty
-from tallyweft.operators import audit, explain, features, federated, graph, iterate, metrics, serving, split, validate
+from tallyweft.operators import audit, boundary, commits, explain, features, federated, graph, iterate, metrics, serving, split, validate
 from tallyweft.sources import bindings as B
+from tallyweft.storage import cut, scratch_path
 from tallyweft.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,15 +739,22 @@ def dp_clip(spark, d):
     return B.table(spark, d, "embeddings").select("vec_id", F.round(federated.l2(x), 6).alias("before"), F.round(federated.l2(federated.clipped(x, 0.5)), 6).alias("after"))
 
 
-@query("SELECT s.range AS steps, round(CASE WHEN s.range = 0 THEN 0 ELSE min(s.range * a / (2 * 1.1 * 1.1) + ln(1 / 1e-5) / (a - 1)) END, 6) AS epsilon FROM range(0, 21) s, (SELECT 1.1 + i.range * (100 - 1.1) / 99 AS a FROM range(100) i) GROUP BY 1")
+@query(E + ", s AS (SELECT src AS client, count(DISTINCT ts::DATE) AS steps FROM e GROUP BY 1 UNION ALL SELECT -1, 0), o AS (SELECT 1.1 + i.range * (100 - 1.1) / 99 AS a FROM range(100) i) SELECT client, steps, round(min(CASE WHEN steps = 0 THEN 0 ELSE steps * a / (2 * 1.1 * 1.1) + ln(1 / 1e-5) / (a - 1) END), 6) AS epsilon FROM s, o GROUP BY client, steps")
 def rdp_epsilon(spark, d):
-    return rounded(federated.rdp_epsilon(spark.range(0, 21).withColumnRenamed("id", "steps")), "epsilon")
+    """What each source account has spent, if it took part in a round on each of its active days."""
+    days = B.event_edges(spark, d).groupBy(F.col("src").alias("client")).agg(F.countDistinct(F.to_date("ts")).alias("steps"))
+    days = cut(days.unionByName(spark.sql("SELECT -1L AS client, 0L AS steps")), "steps")
+    spent = federated.rdp_epsilon(days.select("steps").distinct())
+    return rounded(days.join(spent, "steps").select("client", "steps", "epsilon"), "epsilon")
 
 
-@query("SELECT range AS pos, 0::BIGINT AS total FROM range(16)")
+@query("SELECT i - 1 AS pos, sum(round(CAST(embedding[i] AS DOUBLE) * 3 * 65536)::BIGINT)::BIGINT AS total FROM embeddings, range(1, 65) t(i) GROUP BY 1")
 def mask_cancellation(spark, d):
-    m = federated.masks(spark.range(6).withColumnRenamed("id", "client"), 16)
-    return m.select(F.posexplode("mask").alias("pos", "r")).groupBy(F.col("pos").cast("long").alias("pos")).agg(F.sum("r").alias("total"))
+    """Masked updates of all vectors' owners: the masks cancel in the sum, and each masked row is not its update."""
+    e = B.table(spark, d, "embeddings")
+    updates = e.select(F.col("vec_id").alias("client"), F.lit(3).alias("n"), F.col("embedding").cast("array<double>").alias("weights"))
+    masked = federated.masked_updates(updates, federated.masks(e.select(F.col("vec_id").alias("client")), 64))
+    return masked.select(F.posexplode("masked").alias("pos", "v")).groupBy(F.col("pos").cast("long").alias("pos")).agg(F.sum("v").alias("total"))
 
 
 NODES = E + ", nd AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), ed AS (SELECT src, dst FROM e)"
@@ -769,6 +777,44 @@ def boundary_override(spark, d):
     return federated.overridden(n, federated.latest(sent)).select("id", F.round(F.col("vec")[0], 6).alias("value"))
 
 
+EXCHANGE = E + """, ow AS (SELECT id, (id % 5) % 4 AS owner FROM v),
+wo AS (SELECT src, dst, a.owner AS so, b.owner AS od FROM e JOIN ow a ON a.id = src JOIN ow b ON b.id = dst),
+ed AS (SELECT so AS client, src, dst, FALSE AS sx, od <> so AS dx FROM wo UNION ALL SELECT od, src, dst, TRUE, FALSE FROM wo WHERE od <> so),
+bd AS (SELECT DISTINCT client, CASE WHEN sx THEN dst ELSE src END AS id FROM ed WHERE sx <> dx),
+ext AS (SELECT DISTINCT client, src AS id FROM ed WHERE sx UNION SELECT DISTINCT client, dst FROM ed WHERE dx),
+n0 AS (SELECT ow.owner AS client, ow.id, FALSE AS x, i, coalesce(vec[i], 0) AS y FROM ow CROSS JOIN range(1, 65) t(i) LEFT JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) USING (id)
+       UNION ALL SELECT client, id, TRUE, i, 0 FROM ext, range(1, 65) t(i)),
+g0 AS (SELECT 0 AS id, 0 AS i, 0.0::DOUBLE AS y WHERE FALSE)"""
+
+
+def _exchange_sql(rounds: int) -> str:
+    out = [EXCHANGE]
+    for r in range(rounds + 1):
+        out.append(f""",
+h{r} AS MATERIALIZED (SELECT n0.client, n0.id, n0.x, n0.i, CASE WHEN n0.x THEN coalesce(g.y, n0.y) ELSE n0.y END AS y FROM n0 LEFT JOIN g{r} g ON g.id = n0.id AND g.i = n0.i),
+m{r} AS (SELECT ed.client, dst AS id, dx AS x, i, avg(y) AS y FROM ed JOIN h{r} h ON h.client = ed.client AND h.id = src AND h.x = sx GROUP BY ALL),
+o{r} AS MATERIALIZED (SELECT h.client, h.id, h.x, h.i, (h.y + coalesce(m.y, 0)) / 2 AS y FROM h{r} h LEFT JOIN m{r} m USING (client, id, x, i)),
+g{r + 1} AS MATERIALIZED (SELECT id, i, y * least(1.0, 0.5 / (sqrt(sum(y * y) OVER (PARTITION BY id)) + 1e-9)) AS y FROM o{r} SEMI JOIN bd USING (client, id) WHERE NOT x)""")
+    return "".join(out)
+
+
+@query(_exchange_sql(2) + " SELECT client, id, round(sum(y), 6) AS total, round(sum(i * y), 5) AS weighted FROM o2 WHERE NOT x GROUP BY ALL")
+def boundary_exchange(spark, d):
+    e = B.event_edges(spark, d)
+    owned = _owned_events(e)
+    edges = boundary.client_edges(e.select("tx_id", F.col("src").cast("string").alias("src_account"), F.col("dst").cast("string").alias("dst_account")), owned, federated.TEST_KEY)
+    vectors = B.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("account_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    nodes = boundary.client_nodes(vectors, owned, edges, 64)
+    out = boundary.exchange(nodes, edges, width=64, rounds=2, clip=0.5, key=federated.TEST_KEY).vectors
+    plus = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    digests = out.select("client", F.col("id").cast("long").alias("id"), plus("vec").alias("total"), plus(F.transform("vec", lambda v, i: v * (i + 1))).alias("weighted"))
+    return rounded(rounded(digests, "total"), "weighted", digits=5)
+
+
+def _owned_events(e: DataFrame) -> DataFrame:
+    return B.vertices_of(e).select(F.col("id").cast("string").alias("account_id"), ((F.col("id") % 5) % 4).cast("int").alias("owner"))
+
+
 # --- evidence and serving ---------------------------------------------------------------------
 
 
@@ -920,6 +966,49 @@ def rate_limit_breaches(spark, d):
     return serving.rate_breaches(r, limit=8, window_seconds=3600).select("request_id", "client", "in_window")
 
 
+JOB = H + """, sc AS (SELECT id, (id % 10) / 10.0 AS score FROM hv), al AS (SELECT id, score, 'alert_' || md5('nightly:' || id)[:16] AS alert_id FROM sc WHERE score >= 0.5),
+c AS (SELECT DISTINCT id, tx_id, src, dst FROM (SELECT src AS id, tx_id, src, dst FROM h WHERE label = 'laundering' UNION ALL SELECT dst, tx_id, src, dst FROM h WHERE label = 'laundering')),
+l AS (SELECT id, array_to_string(list_sort(list_distinct(list(src::VARCHAR) || list(dst::VARCHAR))), ', ') AS accounts, array_to_string(list_sort(list(DISTINCT tx_id::VARCHAR)), ', ') AS transactions FROM c GROUP BY 1),
+en AS (SELECT src AS id, tx_id, ts FROM h UNION SELECT dst, tx_id, ts FROM h),
+w AS (SELECT en.id, strftime(coalesce(min(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), min(ts)), '%Y-%m-%dT%H:%M:%S') AS f, strftime(coalesce(max(ts) FILTER (tx_id IN (SELECT tx_id FROM c)), max(ts)), '%Y-%m-%dT%H:%M:%S') AS t FROM en GROUP BY 1),
+cy AS (SELECT DISTINCT src AS id FROM h WHERE src = dst)
+SELECT alert_id, al.id::VARCHAR AS account_id, round(score, 6) AS score, 'open' AS status, 'create' AS action, coalesce(transactions, '') AS transactions,
+  concat_ws(' ', 'Alert ' || alert_id || ' generated for account ' || al.id || ' with confidence score ' || printf('%.4f', score) || '.', 'The suspicious activity occurred within the window ' || f || ' to ' || t || '.',
+    'Contributing accounts involved: ' || accounts || '.', 'Contributing transactions involved: ' || transactions || '.',
+    CASE WHEN al.id IN (SELECT id FROM cy) THEN 'Graph analysis detected a money laundering cycle motif connecting these entities.' END,
+    'The primary model feature attributions driving this alert are: out (75.00%), into (25.00%).') AS text
+FROM al LEFT JOIN l USING (id) LEFT JOIN w USING (id)"""
+
+
+@query(JOB)
+def scoring_job(spark, d):
+    """A scoring job over all accounts, run twice, into a store of its own; what a reader of its tables sees."""
+    store = commits.ServingStore(spark, scratch_path(spark, "serving"))
+    store.append("models", {"models": spark.sql("SELECT 'm1' AS model_id, 'r1' AS run_id, 'linear' AS name")})
+    h = cut(B.labelled_edges(spark, d), "job-edges")
+    ids = B.vertices_of(h)
+    scores = ids.select(F.col("id").cast("string").alias("account_id"), ((F.col("id") % 10) / 10).alias("score"))
+    own = h.where("label = 'laundering'").select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "tx_id")
+    part = lambda f, x: F.struct(F.lit(f).alias("feature"), F.lit(x).alias("share"))
+    shares = ids.select("id", F.explode(F.array(part("out", 0.75), part("into", 0.25))).alias("x")).select("id", "x.*")
+    loops = h.where("src = dst").select(F.col("src").alias("id"))
+    for _ in range(2):
+        commits.scoring_job(store, scores, h, own, shares, loops, model_id="m1", job="nightly")
+    told = store.read("evidence").join(store.read("narratives"), "alert_id").join(store.read("audit_log").withColumnRenamed("entity_id", "alert_id").select("alert_id", "action"), "alert_id")
+    listed = F.array_join(F.from_json(F.get_json_object("subgraph", "$.transactions"), "array<string>"), ", ")
+    return store.read("alerts").join(told, "alert_id").select("alert_id", "account_id", F.round("score", 6).alias("score"), "status", "action", listed.alias("transactions"), "text")
+
+
+@query(T + ", b AS (SELECT * FROM tx WHERE amount IS NOT NULL AND ts IS NOT NULL) SELECT tx_id AS id, 'transaction' AS kind FROM b UNION ALL SELECT DISTINCT a, 'bank_imported' FROM (SELECT src_account AS a FROM b UNION ALL SELECT dst_account FROM b)")
+def ingest_batches(spark, d):
+    """All storable transactions as three batches that overlap, one of them sent twice under its key."""
+    store = commits.ServingStore(spark, scratch_path(spark, "ingest"))
+    t = cut(B.trade_transactions(spark, d).where("amount is not null and timestamp is not null").select("tx_id", "src_account", "dst_account", "amount", "timestamp", "channel"), "batches")
+    for key, rows in (("a", t.where("channel like 'F%'")), ("b", t.where("channel not like '%N'")), ("a", t), ("c", t)):
+        commits.ingest(store, rows.drop("channel"), key)
+    return store.read("transactions").select(F.col("tx_id").alias("id"), F.lit("transaction").alias("kind")).unionByName(store.read("accounts").select(F.col("account_id").alias("id"), F.col("bank_id").alias("kind")))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweft.config import Settings
 from tallyweft.model import CanonicalDataset
-from tallyweft.operators import audit, detectors, federated, graph, iterate, metrics, serving, split
+from tallyweft.operators import audit, boundary, commits, detectors, explain, federated, graph, iterate, metrics, serving, split
 from tallyweft.operators import features as fx
 from tallyweft.storage import cut
 
@@ -161,34 +161,88 @@ def federate(rows: DataFrame, columns: list[str], s: Settings, *, private: bool
     return weights, log
 
 
-def three_conditions(data: CanonicalDataset, s: Settings) -> DataFrame:
-    """(condition, metrics...): isolated clients, federated, pooled, on one global split."""
-    folds = prepare(data, s)["folds"]
-    matrix = unscaled_matrix(data, s)
-    train_ids, test_ids = _ids(folds, "train"), _ids(folds, "test")
-    pipe = fx.FeaturePipeline(s.features.scaler).fit(matrix, train_ids, test_ids)
-    owned = federated.owners(data.accounts, s.federated.num_clients)
+def boundary_columns(data: CanonicalDataset, s: Settings, features: DataFrame, owned: DataFrame, *, private: bool = True) -> tuple[DataFrame, list[dict]]:
+    """(account_id, boundary_0, ...) from rounds of boundary embeddings over the features, and a row for each round.
+
+    Of another institution's accounts a client uses what they publish alone.
+    """
+    spark, columns = features.sparkSession, [c for c in features.columns if c != "account_id"]
+    vectors = features.select("account_id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("vec"))
+    edges = boundary.client_edges(data.transactions, owned)
+    nodes = boundary.client_nodes(vectors, owned, edges, len(columns))
+    how = {"clip": s.privacy.clip, "noise": s.privacy.noise, "spent": lambda r: epsilon(spark, r, s), "target": s.privacy.target_epsilon} if private else {"clip": None}
+    out = boundary.exchange(nodes, edges, width=len(columns), rounds=s.federated.boundary_rounds, **how)
+    return out.vectors.select(F.col("id").alias("account_id"), *[F.col("vec")[i].alias(f"boundary_{i}") for i in range(len(columns))]), out.log
+
+
+@dataclass
+class Partitioned:
+    """Scaled rows (client, account_id, target, fold, features...) of all clients on one global split."""
+
+    rows: DataFrame
+    columns: list[str]
+    matrix: DataFrame
+    owned: DataFrame
+
+
+def partitioned(data: CanonicalDataset, s: Settings) -> Partitioned:
+    folds, matrix = prepare(data, s)["folds"], unscaled_matrix(data, s)
+    pipe = fx.FeaturePipeline(s.features.scaler).fit(matrix, _ids(folds, "train"), _ids(folds, "test"))
+    owned = cut(federated.owners(data.accounts, s.federated.num_clients), "owners")
     target = folds.select(F.col("entity_id").alias("account_id"), "target", "fold")
-    rows = cut(pipe.transform(matrix).join(target, "account_id").join(owned, "account_id").withColumnRenamed("owner", "client"), "rows")
-    columns = pipe.columns
-    fitting, held = rows.where("fold = 'train'"), rows.where("fold = 'test'")
-
-    def scored(weights: list[float], part: DataFrame, name: str) -> DataFrame:
-        return detectors.linear_scores(part, columns, weights).join(part.select("account_id", F.col("target").alias("label")), "account_id").select(F.lit(name).alias("condition"), F.col("account_id").alias("id"), "label", "score")
-
-    zero = [0.0] * (len(columns) + 1)
-    alone = {r["client"]: list(r["weights"]) for r in detectors.local_fits(fitting, columns, zero, epochs=s.federated.rounds, mu=0.0).collect()}
-    parts = [scored(w, held.where(F.col("client") == c), "isolated") for c, w in alone.items()]
-    shared, _ = federate(fitting, columns, s, private=False)
-    parts.append(scored(shared, held, "federated"))
-    pooled = list(detectors.local_fits(fitting.withColumn("client", F.lit(0)), columns, zero, epochs=s.federated.rounds, mu=0.0).first()["weights"])
-    parts.append(scored(pooled, held, "pooled"))
+    scaled = cut(pipe.transform(matrix), "scaled")
+    rows = cut(scaled.join(target, "account_id").join(owned, "account_id").withColumnRenamed("owner", "client"), "rows")
+    return Partitioned(rows, pipe.columns, scaled, owned)
+
+
+def with_boundary(data: CanonicalDataset, s: Settings, p: Partitioned, *, private: bool = True) -> tuple[Partitioned, list[dict]]:
+    """The same rows with the columns of the boundary exchange."""
+    more, log = boundary_columns(data, s, p.matrix.select("account_id", *p.columns), p.owned, private=private)
+    names = [c for c in more.columns if c != "account_id"]
+    rows = cut(p.rows.join(more, "account_id", "left").na.fill(0.0, names), "rows")
+    return Partitioned(rows, [*p.columns, *names], p.matrix, p.owned), log
+
+
+def _scored(weights: list[float], part: DataFrame, columns: list[str], name: str) -> DataFrame:
+    label = part.select("account_id", F.col("target").alias("label"))
+    return detectors.linear_scores(part, columns, weights).join(label, "account_id").select(F.lit(name).alias("condition"), F.col("account_id").alias("id"), "label", "score")
+
+
+def ring_members(data: CanonicalDataset, owned: DataFrame) -> DataFrame:
+    """(id, span): the accounts of rings, and over how many institutions their ring spans."""
+    labels = data.labels.where("entity_type = 'tx'").select(F.col("entity_id").alias("tx_id"), "label")
+    rings = iterate.laundering_rings(graph.edges_of(data.transactions).join(labels, "tx_id"), split.POSITIVE[split.dataset_of(data.name)])
+    return rings.join(federated.ring_spans(rings, owned), "ring_id").select(F.col("member").cast("string").alias("id"), "span")
+
+
+def three_conditions(data: CanonicalDataset, s: Settings) -> DataFrame:
+    """(condition, metrics..., recall_several, recall_single): isolated clients, federated (with and without boundary
+    exchange), pooled, on one global split; recall of positive accounts by whether their ring spans institutions."""
+    p = partitioned(data, s)
+    fitting, held, zero = p.rows.where("fold = 'train'"), p.rows.where("fold = 'test'"), [0.0] * (len(p.columns) + 1)
+    alone = detectors.local_fits(fitting, p.columns, zero, epochs=s.federated.rounds, mu=0.0)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in p.columns], F.lit(1.0))
+    own = held.select("client", "account_id", F.col("target").alias("label"), x.alias("x")).join(F.broadcast(alone.select("client", "weights")), "client")
+    z = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    parts = [own.select(F.lit("isolated").alias("condition"), F.col("account_id").alias("id"), "label", (1 / (1 + F.exp(-z))).alias("score"))]
+    shared, _ = federate(fitting, p.columns, s, private=False)
+    parts.append(_scored(shared, held, p.columns, "federated"))
+    more, _ = with_boundary(data, s, p, private=False)
+    both, _ = federate(more.rows.where("fold = 'train'"), more.columns, s, private=False)
+    parts.append(_scored(both, more.rows.where("fold = 'test'"), more.columns, "federated_boundary"))
+    weight = detectors.class_weight(fitting)
+    pooled = detectors.logistic_fit(fitting, p.columns, F.when(F.col("target") == 1, weight).otherwise(1.0))
+    parts.append(_scored(pooled, held, p.columns, "pooled"))
     long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    for part in parts[1:]:
+        long = long.unionByName(part)
     long = cut(long, "conditions")
-    by = ["condition"]
-    return metrics.threshold_metrics(long, s.training.alert_threshold, by).join(metrics.roc_auc(long, by), by).join(metrics.average_precision(long, by), by)
+    by, threshold = ["condition"], s.training.alert_threshold
+    span = ring_members(data, p.owned).groupBy("id").agg(F.max("span").alias("span"))
+    hit = (F.col("score") >= threshold).cast("double")
+    several = F.coalesce("span", F.lit(1).cast("long")) >= 2
+    recall = long.where("label = 1").join(span, "id", "left").groupBy(*by).agg(F.avg(F.when(several, hit)).alias("recall_several"), F.avg(F.when(~several, hit)).alias("recall_single"))
+    return metrics.threshold_metrics(long, threshold, by).join(metrics.roc_auc(long, by), by).join(metrics.average_precision(long, by), by).join(recall, by, "left")
 
 
 # --- audits -----------------------------------------------------------------------------------
@@ -209,16 +263,13 @@ def ablations(data: CanonicalDataset, s: Settings) -> list[dict]:
 
 
 def federated_ablations(data: CanonicalDataset, s: Settings) -> list[dict]:
-    """AUC on the test fold after federated rounds, without and with noise; the rounds that the budget allowed."""
-    folds, matrix = prepare(data, s)["folds"], unscaled_matrix(data, s)
-    pipe = fx.FeaturePipeline(s.features.scaler).fit(matrix, _ids(folds, "train"), _ids(folds, "test"))
-    owned = federated.owners(data.accounts, s.federated.num_clients)
-    rows = cut(pipe.transform(matrix).join(folds.select(F.col("entity_id").alias("account_id"), "target", "fold"), "account_id").join(owned, "account_id").withColumnRenamed("owner", "client"), "rows")
-    held, out = rows.where("fold = 'test'"), []
-    for name, private in (("federated", False), ("federated_with_noise", True)):
-        weights, log = federate(rows.where("fold = 'train'"), pipe.columns, s, private=private)
-        scored = detectors.linear_scores(held, pipe.columns, weights).join(held.select("account_id", F.col("target").alias("label")), "account_id")
-        out.append({"ablation": name, "auc": metrics.roc_auc(scored).first()["auc"], "rounds": len(log)})
+    """AUC on the test fold after federated rounds, without and with noise, and with boundary exchange; the rounds that the budget allowed."""
+    p, out = partitioned(data, s), []
+    for name, private, border in (("federated", False, False), ("federated_with_noise", True, False), ("federated_boundary", False, True), ("federated_boundary_with_noise", True, True)):
+        own, exchanged = with_boundary(data, s, p, private=private) if border else (p, [])
+        weights, log = federate(own.rows.where("fold = 'train'"), own.columns, s, private=private)
+        scored = _scored(weights, own.rows.where("fold = 'test'"), own.columns, name)
+        out.append({"ablation": name, "auc": metrics.roc_auc(scored).first()["auc"], "rounds": len(log), "boundary_rounds": len(exchanged)})
     return out
 
 
@@ -254,11 +305,40 @@ def evaluation_report(data: CanonicalDataset, s: Settings, trained: Trained) ->
     return "\n".join(lines) + "\n"
 
 
-def scoring_job(data: CanonicalDataset, s: Settings, trained: Trained, stored: DataFrame, model_id: str) -> DataFrame:
-    """New alerts of the scored accounts."""
+def scoring_job(data: CanonicalDataset, s: Settings, trained: Trained, store: commits.ServingStore, model_id: str) -> dict:
+    """Score the test accounts into the store: alerts, evidence, narratives and audit rows in one commit.
+
+    Contributions are the account's transactions labelled positive where there
+    are labels, attributions those of the scaled features that a zero would
+    lower most; the job is named by the model and the accounts.
+    """
     scores = trained.scored.select(F.col("id").alias("account_id"), "score")
     job = serving.job_id(model_id, scores)
-    return serving.alerts_of(scores, stored, model_id=model_id, job=job, threshold=s.training.alert_threshold)
+    edges = graph.edges_of(data.transactions)
+    positive = data.labels.where((F.col("entity_type") == "tx") & (F.col("label") == split.POSITIVE[split.dataset_of(data.name)])).select(F.col("entity_id").alias("tx_id"))
+    own = edges.join(positive, "tx_id", "left_semi")
+    contributing = own.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "tx_id")
+    cycles = fx.cycle_flags(vertices_of(data), edges).where("motif_is_cycle = 1").select("id")
+    shares = cut(explain.normalised(_attributed(trained, data, s)), "shares")
+    return commits.scoring_job(store, scores, edges, contributing, shares, cycles, model_id=model_id, job=job, threshold=s.training.alert_threshold)
+
+
+def _attributed(trained: Trained, data: CanonicalDataset, s: Settings) -> DataFrame:
+    """(id, feature, effect) of a linear head; of other detectors their importance, the same for every account."""
+    model = trained.detector
+    ids = trained.scored.select(F.col("id").alias("account_id"))
+    if isinstance(model, detectors.NeighbourMean):
+        x = _inputs(model, trained.pipeline.transform(unscaled_matrix(data, s)), data).na.fill(0.0, model.columns).join(ids, "account_id", "left_semi")
+
+        def score(columns: dict):
+            z = F.lit(float(model.model[-1]))
+            for c, w in zip(model.columns, model.model[:-1], strict=True):
+                z = z + columns[c] * F.lit(float(w))
+            return 1 / (1 + F.exp(-z))
+
+        return explain.feature_ablation(x.withColumnRenamed("account_id", "id"), model.columns, score)
+    ranked = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("effect")) for c, v in model.importance()[:10]])
+    return ids.select(F.col("account_id").alias("id"), F.explode(ranked).alias("x")).select("id", "x.feature", "x.effect").where("effect > 0")
 
 
 def rings_table(data: CanonicalDataset, positive: str = "laundering") -> DataFrame:

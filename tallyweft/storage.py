@@ -35,12 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tallyweft/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = file_at(spark, path)
     fs.deleteOnExit(at)
     return fs.makeQualified(at).toString()
 
 
+def file_at(spark: SparkSession, path: str):
+    """The file system that holds the path, and the path in it, as the session's Hadoop knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_at(spark, path)
+    return fs.exists(at)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
