@@ -331,15 +331,16 @@ def _prefixes(words: int, similarity: float, names: np.ndarray, often: np.ndarra
 
 
 def _pairer(similarity: float, most: int):
-    """Streams rows sorted by (kind, h): pairs of cells of at most ``most`` texts as (0, u, v), rows of other cells as (1, h, t).
+    """Streams rows sorted by (kind, h): pairs of cells of at most ``most`` texts as (0, u, v, 0, 0), rows of other cells as (1, h, t, n, rest).
 
     A pair is left out where the rest of either text is too short for the
     similarity if this is the first shingle the two share; it then has an
     earlier one, or is not of that similarity.
     """
 
-    def out(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(a), kind), a, b)], names=["kind", "a", "b"])
+    def out(kind, a, b, n=None, rest=None):
+        none = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (none + kind, a, b, none if n is None else n, none if rest is None else rest)], names=["kind", "a", "b", "n", "rest"])
 
     def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
@@ -347,7 +348,7 @@ def _pairer(similarity: float, most: int):
         cell = np.concatenate(([0], np.cumsum(rows[1:, 1] != rows[:-1, 1])))
         over = (np.bincount(cell) > most)[cell]
         if over.any():
-            yield out(1, rows[over, 1], rows[over, 2])
+            yield out(1, rows[over, 1], rows[over, 2], rows[over, 3], rows[over, 3] - rows[over, 4])
             rows, cell = rows[~over], cell[~over]
         t, n, rest = rows[:, 2], rows[:, 3], rows[:, 3] - rows[:, 4]
         at, step = np.arange(len(rows) - 1), 1
@@ -367,7 +368,7 @@ def _pairer(similarity: float, most: int):
             rows = np.column_stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.zeros((0, 5), np.int64)
             hot = rows[:, 0] == 1
             if hot.any():
-                yield out(1, rows[hot, 1], rows[hot, 2])
+                yield out(1, rows[hot, 1], rows[hot, 2], rows[hot, 3], rows[hot, 3] - rows[hot, 4])
                 rows = rows[~hot]
             if not len(rows):
                 continue
@@ -448,6 +449,25 @@ def _spreader(similarity: float):
     return run
 
 
+def _open_rows(large: DataFrame, similarity: float) -> DataFrame:
+    """(h, t): of the rows (h, t, n, rest) of large cells those that can have a partner for which this is the first shingle shared.
+
+    Partners differ in length by the similarity at most, so they lie in the
+    same step of a logarithm or the next.  Of the steps around a row, the
+    longest rest and the shortest text bound what the row could share: texts
+    of one template, each with words of its own before the common ones, have
+    no such partner and leave the cell here, whatever their number.
+    """
+    at = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity)).cast("long")
+    rows = large.withColumn("step", at)
+    steps = rows.groupBy("h", "step").agg(F.max("rest").alias("_rest"), F.min("n").alias("_n"))
+    near = steps.select("h", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "_rest", "_n")
+    near = near.groupBy("h", "step").agg(F.max("_rest").alias("_rest"), F.min("_n").alias("_n"))
+    least = F.greatest(F.col("_n").cast("double"), F.col("n") * similarity)
+    fits = F.least("rest", "_rest") * (1 + similarity) >= (F.col("n") + least) * similarity - 1e-6
+    return rows.join(near, ["h", "step"]).where(fits).select("h", "t")
+
+
 def close_prints(texts: DataFrame, *, words: int = 4, bits: int = 4) -> DataFrame:
     """(u, v) pairs of texts (t, text) that the fingerprints propose: each with the first text of its fingerprint, and the first texts of linked fingerprints."""
     prints = cut(fingerprints(texts, id_col="t", words=words).select(F.col("doc_id").alias("t"), "fp"), "prints")
@@ -478,8 +498,8 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     order = np.argsort(names)
     first = texts.select("t", "text").mapInArrow(_prefixes(words, similarity, names[order], often[order], most // every), "kind long, h long, t long, n long, at long")
     dealt = first.repartition("h", F.when(F.col("kind") == 1, F.col("t"))).sortWithinPartitions("kind", "h")
-    found = cut(dealt.mapInArrow(_pairer(similarity, most), "kind long, a long, b long"), "cells")
-    large = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("t"))
+    found = cut(dealt.mapInArrow(_pairer(similarity, most), "kind long, a long, b long, n long, rest long"), "cells")
+    large = cut(_open_rows(found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("t"), "n", "rest"), similarity), "large")
     stars = large.join(large.groupBy("h").agg(F.min("t").alias("u")), "h").where("u < t").select("u", F.col("t").alias("v"))
     small = cut(found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).count(), "pairs")
     tried = small.unionByName(stars.groupBy("u", "v").count())
@@ -503,7 +523,7 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     open_ = cut(open_.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v"), "open")
     if not open_.isEmpty():
         good = good.unionByName(verified(open_))
-    large = cut(large.join(labels, "t", "left").select("h", "t", F.coalesce("label", "t").alias("label")), "large")
+    large = cut(large.join(labels, "t", "left").select("h", "t", F.coalesce("label", "t").alias("label")), "labelled")
     mixed = large.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     if mixed.isEmpty():
         return good
@@ -528,21 +548,24 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stand for a group and stay.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    whole = lambda text: [F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g")]  # noqa: E731  128 bits tell texts apart
+    narrow = named.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("*", *whole(F.col("text")))
     # written tables have true sizes: Spark broadcasts them where they are small, and texts are dealt out only where they are not
-    reps = cut(narrow.groupBy("t").agg(F.min("doc_id").alias("rep")), "reps")
-    own = narrow.join(reps.withColumnRenamed("rep", "doc_id"), ["t", "doc_id"], "left_semi")
-    again = cut(own.groupBy("t", "doc_id").count().where("count > 1").select("t", "doc_id"), "again")
-    single = own.join(again, ["t", "doc_id"], "left_anti")
-    several = own.join(again, ["t", "doc_id"], "left_semi").dropDuplicates(["t"])
-    texts = cut(single.unionByName(several).select("t", F.col("doc_id").alias("rep"), "text"), "texts")
+    reps = cut(narrow.groupBy("_h", "_g").agg(F.min("doc_id").alias("rep")).withColumn("t", F.monotonically_increasing_id()), "reps")
+    own = narrow.join(reps.withColumnRenamed("rep", "doc_id"), ["_h", "_g", "doc_id"])
+    again = cut(own.groupBy("t", "doc_id", "_h", "_g").count().where("count > 1").drop("count"), "again")
+    single = own.join(again, "t", "left_anti")
+    several = own.join(again, "t", "left_semi").dropDuplicates(["t"])
+    texts = cut(single.unionByName(several).select("t", F.col("doc_id").alias("rep"), "_h", "_g", "text"), "texts")
     groups = components(alike(texts, words=words, similarity=similarity)).select(F.col("node").alias("t"), "label")
-    members = texts.select("t", "rep").join(groups, "t", "left")
-    least = members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("rep", "t")).alias("least"))
-    kept = cut(least.select(F.col("least.rep").alias("_rep"), F.col("least.t").alias("_t")), "kept")
-    keyed = docs.withColumn("_same", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    again = again.select(F.col("doc_id").alias("_rep"), F.col("t").alias("_t"))
-    own = lambda rows, how: keyed.join(rows, (keyed[id_col].cast("long") == rows["_rep"]) & (keyed["_same"] == rows["_t"]), how)
-    once = own(kept.join(again, ["_rep", "_t"], "left_anti"), "left_semi")
-    more = own(kept.join(again, ["_rep", "_t"], "left_semi"), "left_semi").dropDuplicates([id_col, "_same"])
-    return once.unionByName(more).drop("_same").unionByName(docs.where(F.col(id_col).isNull()))
+    members = texts.select("t", "rep", "_h", "_g").join(groups, "t", "left")
+    least = members.groupBy(F.coalesce("label", "t").alias("label")).agg(F.min(F.struct("rep", "_h", "_g", "t")).alias("least"))
+    kept = cut(least.select("least.*"), "kept")
+    names = ["_keep_id", "_keep_h", "_keep_g"]
+    key = [docs[id_col].cast("long"), *whole(F.coalesce(docs[text_col], F.lit("")))]
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    at = lambda rows: rows.select(*[F.col(c).alias(n) for c, n in zip(("rep", "_h", "_g"), names, strict=True)])
+    repeated = again.select("t")
+    once = keyed.join(at(kept.join(repeated, "t", "left_anti")), names, "left_semi")
+    more = keyed.join(at(kept.join(repeated, "t", "left_semi")), names, "left_semi").dropDuplicates(names)
+    return once.unionByName(more).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
