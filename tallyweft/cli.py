@@ -1,4 +1,4 @@
-"""Command line: config, data, train, compare, federated, evaluate."""
+"""Command line: config, data, train, compare, federated, evaluate, explain."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_parser(name)
     for name in ("fetch", "prepare"):
         sub.add_parser(name).add_argument("dataset")
+    run = sub.add_parser("explain").add_subparsers(dest="what", required=True).add_parser("run")
+    run.add_argument("account")
     return p
 
 
@@ -68,7 +70,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "prepare":
         flows.prepare(data, s, s.processed_dir)
     elif a.command == "train":
-        print(json.dumps(flows.train(data, s).metrics, indent=2, default=str))
+        trained = flows.train(data, s)
+        flows.write_reports(trained, f"reports/{name}-{s.hash()}")
+        print(json.dumps(trained.metrics, indent=2, default=str))
+    elif a.command == "explain":
+        print(json.dumps(flows.explain_account(data, s, flows.train(data, s), a.account), indent=2, default=str))
     elif a.command == "compare":
         flows.compare(data, {n: config.load(a.config, n, _overrides(a.set)) for n in ("baseline", "neighbour_mean")}).show(truncate=False)
     elif a.command == "federated":

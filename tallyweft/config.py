@@ -48,6 +48,7 @@ class Features:
 class Model:
     name: str = "boosted_trees"
     hidden_dim: int = 64
+    motif_weight: float = 0.5
     num_layers: int = 2
     dropout: float = 0.1
     fanout: tuple[int, ...] = (15, 10)

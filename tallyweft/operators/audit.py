@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyweft.functions.scalar import ratio
 from tallyweft.operators.metrics import roc_auc
 from tallyweft.operators.ranks import percentiles
+from tallyweft.storage import cut
 
 # --- drift ------------------------------------------------------------------------------------
 
@@ -95,6 +96,34 @@ def bias_audit(scored: DataFrame, group: str, threshold: float = 0.5) -> DataFra
     return r.agg(span("selection_rate").alias("demographic_parity"), F.greatest(span("tpr"), span("fpr")).alias("equalized_odds"), span("fpr").alias("fpr_disparity"), F.count(F.lit(1)).alias("n_groups"))
 
 
+def protected_attributes(accounts: DataFrame, most: int = 32) -> DataFrame:
+    """(id, attribute, value) of the institution and of every scalar in the accounts' JSON that has from 2 to ``most`` values.
+
+    Attributes are found in the data: values are counted by (attribute, value)
+    first, so an attribute of as many values as accounts costs no set of them.
+    Missing values and nested ones are no group.
+    """
+    held = F.map_concat(F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")), F.create_map(F.lit("institution_id"), F.col("institution_id")))
+    flat = cut(accounts.select(F.col("account_id").alias("id"), F.explode(F.map_filter(held, lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))).alias("attribute", "value")), "attributes")
+    values = flat.groupBy("attribute", "value").count().groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
+    return flat.join(F.broadcast(values.where((F.col("n") >= 2) & (F.col("n") <= most)).select("attribute")), "attribute").select("id", "attribute", "value")
+
+
+def attribute_rates(scored: DataFrame, attributes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(attribute, group, n, selection_rate, tpr, fpr) of (id, label, score) rows for every attribute, in one aggregation."""
+    hit, pos = F.col("score") >= threshold, F.col("label") == 1
+    count = lambda w: F.count(F.when(w, 1))
+    g = scored.join(attributes, "id").groupBy("attribute", F.col("value").alias("group")).agg(F.count(F.lit(1)).alias("n"), count(hit).alias("s"), count(hit & pos).alias("tp"), count(pos).alias("p"), count(hit & ~pos).alias("fp"))
+    return g.select("attribute", "group", "n", ratio(F.col("s"), F.col("n")).alias("selection_rate"), ratio(F.col("tp"), F.col("p")).alias("tpr"), ratio(F.col("fp"), F.col("n") - F.col("p")).alias("fpr"))
+
+
+def bias_audits(scored: DataFrame, attributes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(attribute, demographic_parity, equalized_odds, fpr_disparity, n_groups) of every attribute."""
+    span = lambda c: F.max(c) - F.min(c)
+    r = attribute_rates(scored, attributes, threshold).groupBy("attribute")
+    return r.agg(span("selection_rate").alias("demographic_parity"), F.greatest(span("tpr"), span("fpr")).alias("equalized_odds"), span("fpr").alias("fpr_disparity"), F.count(F.lit(1)).alias("n_groups"))
+
+
 # --- evasion ----------------------------------------------------------------------------------
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.operators.iterate import has_cycle, k_hop
+from tallyweft.storage import cut
 
 #: A change in score above this makes an edge or a feature a contribution.
 EFFECT = 0.001
@@ -20,7 +21,9 @@ def edge_ablation(edges: DataFrame, target, hops: int, score_of: Callable[[DataF
     ``score_of`` takes (variant, tx_id, src, dst, ...) rows of all variants
     together and returns (variant, id, score); variant null is the whole
     neighbourhood.  One job scores all variants, over the k-hop neighbourhood
-    only.
+    only.  This is for scores of any kind, on small neighbourhoods: its rows
+    are the square of their edges.  ``edge_effects`` does the same for means
+    and a linear head without them.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
@@ -34,6 +37,92 @@ def edge_ablation(edges: DataFrame, target, hops: int, score_of: Callable[[DataF
     return moved.where(F.col("effect") > EFFECT).select(F.col("variant").alias("tx_id"), "effect")
 
 
+def _mix(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(a, b, f)
+
+
+def _sums(rows: DataFrame, by: list[str], width: int, value: str = "x") -> DataFrame:
+    """Element-wise sums of an array column, in one row from a task's partial sums on."""
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.get(value, i)) for i in range(width)]).alias(value))
+
+
+def edge_effects(nodes: DataFrame, edges: DataFrame, targets: DataFrame, weights: Sequence[Sequence[float]], bias: float = 0.0, least: float = EFFECT) -> DataFrame:
+    """(target, tx_id, effect): what the removal of each edge would change in a target's score, of the changes above ``least``.
+
+    The score is the logistic of ``bias`` plus weights[k] times the target's
+    vector after k means over in-neighbours (parallel edges count each, no
+    in-neighbour gives zeros).  ``nodes`` are (id, vec), ``edges`` (tx_id, src,
+    dst), ``targets`` (id).
+
+    Removing an edge changes the mean at its end, and from there whatever lies
+    on a way to the target: those changes are passed on layer by layer, as
+    rows (target, edge, vertex).  With two layers an edge has two rows at
+    most, so a hub costs its edges, where scoring each variant would cost
+    their square.  Each layer's vectors are reduced to one number beforehand,
+    as everything after them is linear.
+    """
+    k = len(weights) - 1
+    dot = lambda w: F.aggregate(_mix(F.array(*[F.lit(float(x)) for x in w]), F.col("vec"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    signal = nodes.select("id", dot(weights[0]).alias("own"), F.array(*[dot(w) for w in weights[1:]]).alias("x"))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    targets = cut(targets.select(F.col("id").alias("target")).distinct(), "targets")
+
+    # the vertices from which a target is reached, and the edges into them
+    near = cut(targets.select("target", F.col("target").alias("id"), F.lit(0).alias("depth")), "near")
+    for depth in range(1, k):
+        into = edges.select("src", F.col("dst").alias("id")).distinct().join(near.where(F.col("depth") == depth - 1), "id")
+        new = into.select("target", F.col("src").alias("id")).distinct().join(near, ["target", "id"], "left_anti")
+        near = cut(near.unionByName(new.withColumn("depth", F.lit(depth))), "near")
+    own = cut(edges.select("tx_id", "src", "dst").join(near.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi"), "own")
+    links = cut(own.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")), "links")
+    degree = links.groupBy(F.col("dst").alias("id")).agg(F.sum("k").alias("n"))
+
+    # the vectors as they are, layer by layer
+    ids = own.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(targets.select(F.col("target").alias("id"))).distinct()
+    base = [cut(ids.join(signal, "id", "left").select("id", F.coalesce("x", zeros).alias("x")), "layer")]
+    for _ in range(k):
+        sent = links.join(base[-1].withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.transform("x", lambda v: v * F.col("k")).alias("x"))
+        mean = _sums(sent, ["id"], k).join(degree, "id").select("id", F.transform("x", lambda v: v / F.col("n")).alias("x"))
+        base.append(cut(ids.join(mean, "id", "left").select("id", F.coalesce("x", zeros).alias("x")), "layer"))
+    z = targets.join(signal.select(F.col("id").alias("target"), "own"), "target", "left").select("target", (F.coalesce("own", F.lit(0.0)) + F.lit(float(bias))).alias("z"))
+    for i in range(k):
+        z = z.join(base[i + 1].select(F.col("id").alias("target"), F.col("x")[i].alias("_part")), "target").select("target", (F.col("z") + F.col("_part")).alias("z"))
+
+    # the changes
+    removed = own.join(near.withColumnRenamed("id", "dst"), "dst").join(degree.withColumnRenamed("id", "dst"), "dst")
+    removed = cut(removed.select("target", "tx_id", "src", "dst", "depth", "n"), "removed")
+    change, moved = None, None
+    for i in range(k):
+        # an edge whose change cannot reach the target any more in the layers left is out
+        rows = removed.where(F.col("depth") <= k - i - 1)
+        rows = rows.join(base[i].select(F.col("id").alias("src"), F.col("x").alias("sent")), "src").join(base[i + 1].select(F.col("id").alias("dst"), F.col("x").alias("was")), "dst")
+        passed = None
+        if change is not None:
+            at = near.where(F.col("depth") <= k - i - 1).select("target", F.col("id").alias("dst"))
+            on = change.withColumnRenamed("id", "src").join(links, "src").join(at, ["target", "dst"])
+            passed = _sums(on.select("target", "tx_id", F.col("dst").alias("id"), F.transform("x", lambda v: v * F.col("k")).alias("x")), ["target", "tx_id", "id"], k)
+            passed = cut(passed.join(degree, "id"), "passed")
+            rows = rows.join(change.select("target", "tx_id", F.col("id").alias("src"), F.col("x").alias("_sender")), ["target", "tx_id", "src"], "left")
+            rows = rows.join(passed.select("target", "tx_id", F.col("id").alias("dst"), F.col("x").alias("_got")), ["target", "tx_id", "dst"], "left")
+        else:
+            rows = rows.withColumns({"_sender": zeros, "_got": zeros})
+        # all that arrived, with what changed of it, less what this edge sent
+        total = _mix(F.transform("was", lambda v: v * F.col("n")), F.coalesce("_got", zeros), lambda a, b: a + b)
+        left = _mix(total, _mix(F.col("sent"), F.coalesce("_sender", zeros), lambda a, b: a + b), lambda a, b: a - b)
+        new = F.when(F.col("n") > 1, F.transform(left, lambda v: v / (F.col("n") - 1))).otherwise(zeros)
+        ends = rows.select("target", "tx_id", F.col("dst").alias("id"), _mix(new, F.col("was"), lambda a, b: a - b).alias("x"))
+        if passed is not None:
+            others = passed.join(removed.select("target", "tx_id", F.col("dst").alias("id")), ["target", "tx_id", "id"], "left_anti")
+            ends = ends.unionByName(others.select("target", "tx_id", "id", F.transform("x", lambda v: v / F.col("n")).alias("x")))
+        change = cut(ends, "change")
+        part = change.where("id = target").select("target", "tx_id", F.col("x")[i].alias("dz"))
+        moved = part if moved is None else moved.unionByName(part)
+    logistic = lambda x: 1 / (1 + F.exp(-x))
+    total = moved.groupBy("target", "tx_id").agg(F.sum("dz").alias("dz")).join(z, "target")
+    effect = F.abs(logistic(F.col("z")) - logistic(F.col("z") + F.col("dz")))
+    return total.select("target", "tx_id", effect.alias("effect")).where(F.col("effect") > least)
+
+
 def feature_ablation(features: DataFrame, columns: list[str], score: Callable[[dict[str, Column]], Column]) -> DataFrame:
     """(id, feature, effect): drop in score when a feature is zeroed, of those above EFFECT; native, one pass."""
     full = score({c: F.col(c) for c in columns})
@@ -99,15 +188,49 @@ def narrative() -> Column:
     )
 
 
-def evidence_records(alerts: DataFrame, edges: DataFrame, contributing: DataFrame, attributions: DataFrame, cycles: DataFrame) -> DataFrame:
+#: Transactions that an alert's evidence shows, and parts that an account's are dealt into before they meet.
+SHOWN, SALT = 1000, 64
+
+
+def top_contributions(contributing: DataFrame, edges: DataFrame, most: int = SHOWN) -> DataFrame:
+    """(id, tx_id, src, dst, ts, place): each account's contributing edges, the latest ``most`` of them (unknown times last, ties by tx_id).
+
+    Two steps: an account's edges are ranked in SALT parts first, so that no
+    task sorts more than a part of a hot account's, and the few that are left
+    of each part meet.  Repeated contributions count once.
+    """
+    own = contributing.select("id", "tx_id").distinct().join(edges.select("tx_id", "src", "dst", "ts"), "tx_id")
+    order = [F.desc_nulls_last("ts"), F.asc("tx_id")]
+    part = own.withColumn("_part", F.pmod(F.xxhash64("tx_id"), F.lit(SALT)))
+    part = part.withColumn("place", F.row_number().over(W.partitionBy("id", "_part").orderBy(*order))).where(F.col("place") <= most)
+    return part.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("place") <= most).select("id", "tx_id", "src", "dst", "ts", "place")
+
+
+def evidence_edges(alerts: DataFrame, contributing: DataFrame, edges: DataFrame, most: int = SHOWN) -> DataFrame:
+    """(alert_id, tx_id, src, dst, ts, place): the edges an alert's evidence shows, a row each."""
+    return alerts.select("alert_id", F.col("account_id").alias("id")).join(top_contributions(contributing, edges, most), "id").drop("id")
+
+
+def evidence_nodes(alerts: DataFrame, shown: DataFrame) -> DataFrame:
+    """(alert_id, node, is_target, n_edges): the accounts of an alert's evidence edges, its own account always."""
+    ends = shown.select("alert_id", F.explode(F.array_distinct(F.array(F.col("src").cast("string"), F.col("dst").cast("string")))).alias("node"), F.lit(1).alias("n"))
+    own = alerts.select("alert_id", F.col("account_id").cast("string").alias("node"), F.lit(0).alias("n"))
+    counted = ends.unionByName(own).groupBy("alert_id", "node").agg(F.sum("n").alias("n_edges"))
+    target = alerts.select("alert_id", F.col("account_id").cast("string").alias("_target"))
+    return counted.join(target, "alert_id").select("alert_id", "node", F.col("node").eqNullSafe(F.col("_target")).alias("is_target"), "n_edges")
+
+
+def evidence_records(alerts: DataFrame, edges: DataFrame, contributing: DataFrame, attributions: DataFrame, cycles: DataFrame, most: int = SHOWN) -> DataFrame:
     """One evidence row per alert: (alert_id, account_id, confidence, accounts, transactions, motif, first, last, attributions).
 
     ``alerts`` are (alert_id, account_id, score), ``contributing`` (id, tx_id),
     ``attributions`` (id, feature, share), ``cycles`` (id) of accounts on a
     cycle.  Lists are in order; an alert without contributions has empty ones,
-    and the window of all its account's edges.
+    and the window of all its account's edges.  A list holds what belongs to
+    the latest ``most`` transactions; ``evidence_edges`` and
+    ``evidence_nodes`` have them as rows.
     """
-    own = contributing.join(edges.select("tx_id", "src", "dst"), "tx_id")
+    own = top_contributions(contributing, edges, most)
     lists = own.groupBy("id").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array(F.col("src").cast("string"), F.col("dst").cast("string")))))).alias("accounts"),
         F.sort_array(F.collect_set(F.col("tx_id").cast("string"))).alias("transactions"),

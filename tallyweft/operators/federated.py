@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import hmac_sha256, md5_mod
-from tallyweft.operators.ranks import numbered
+from tallyweft.operators.graph import numbered_in_order
+from tallyweft.storage import cut
 
 KEY_VARIABLE, TEST_KEY = "TALLYWEFT_PSEUDONYM_KEY", "test-only-key"
 
@@ -150,7 +151,7 @@ def masks(clients: DataFrame, dim: int, seed: int = 0) -> DataFrame:
     one for each other client, and makes them without a shuffle.  A client
     that is alone has none.
     """
-    placed = numbered(clients.select("client"), ["client"], "_place")
+    placed = cut(numbered_in_order(clients.select("client"), "client", "_place"), "places")
     n = placed.count()
     steps = [1 << j for j in range(max(n - 1, 0).bit_length())]
     if not steps:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import ratio
+from tallyweft.storage import cut
 
 
 def edges_of(transactions: DataFrame) -> DataFrame:
@@ -112,9 +113,16 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(at("src"), "src", "left_semi").unionByName(edges.join(at("src"), "src", "left_anti").join(at("dst"), "dst", "left_semi").select(edges.columns))
 
 
-def in_edge_index(edges: DataFrame) -> DataFrame:
-    """(dst, tx_ids): the ids of each vertex's incoming edges, in order."""
-    return edges.groupBy("dst").agg(F.sort_array(F.collect_list("tx_id")).alias("tx_ids"))
+def in_edge_index(edges: DataFrame, size: int = 4096) -> DataFrame:
+    """(dst, chunk, tx_ids): the ids of each vertex's incoming edges in order, in chunks of ``size`` from chunk 0 on.
+
+    Edges are numbered over all vertices by range, so the edges of a hot
+    vertex are dealt to many tasks, and no array is longer than ``size``.
+    """
+    placed = cut(numbered_in_order(edges.select("dst", "tx_id", F.struct("dst", "tx_id").alias("_order")), "_order", "_place").drop("_order"), "places")
+    first = placed.groupBy("dst").agg(F.min("_place").alias("_first"))
+    chunk = F.floor((F.col("_place") - F.col("_first")) / size).cast("long")
+    return placed.join(first, "dst").groupBy("dst", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("tx_id")).alias("tx_ids"))
 
 
 def dense_export(vertices: DataFrame, edges: DataFrame, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +149,6 @@ def numbered_in_order(rows: DataFrame, key: str, name: str) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    from tallyweft.storage import cut
-
     dealt = cut(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))

@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyweft.operators.graph import half_edges, undirected, weighted
-from tallyweft.operators.ranks import numbered
-from tallyweft.storage import cut, cut_with
+from tallyweft.operators.graph import half_edges, numbered_in_order, undirected, weighted
+from tallyweft.storage import Bucketed, cut, cut_with
 
 
 def until_still(start: DataFrame, step: Callable[[DataFrame], DataFrame], state: list[Column], rounds: int | None, what: str) -> DataFrame:
@@ -81,8 +80,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def _simple(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, number) of the ends of edges other than loops, numbered in an order that has nothing to do with the graph, and the distinct edges between the numbers."""
     pairs = edges.where("src <> dst").select("src", "dst").distinct()
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_h", F.xxhash64("id"))
-    names = numbered(ids, ["_h", "id"]).select("id", "number")
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_h", F.struct(F.xxhash64("id"), "id"))
+    names = cut(numbered_in_order(ids, "_h", "number").select("id", "number"), "numbers")
     at = lambda c: names.select(F.col("id").alias(c), F.col("number").alias(f"{c}_n"))
     return names, cut(pairs.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")), "simple")
 
@@ -207,43 +206,46 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, to
     Ends when the summed change falls below tol times the vertices, or after
     exactly ``fixed`` rounds; raises if neither happens within ``rounds``.
     """
-    v = cut(vertices.select("id").distinct(), "vertices")
-    n = v.count()
-    if not n:
-        return v.withColumn("pagerank", F.lit(0.0))
-    w = weighted(edges)
-    out = w.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = cut(w.join(out, "src").select("src", F.col("dst").alias("id"), (F.col("weight") / F.col("total")).alias("share")), "links")
-    dangling = cut(v.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "dangling")
-    now = v.withColumn("pagerank", F.lit(1.0 / n))
-    for i in range(fixed or rounds):
-        ranks = now
-        sent = links.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy("id").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        lost = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        step = ranks.join(sent, "id", "left").join(F.broadcast(lost))
-        new = F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - damping) / n)
-        after = cut(step.select("id", F.col("pagerank").alias("was"), new.alias("pagerank")), "ranks")
-        now = after.select("id", "pagerank")
-        if fixed is None and after.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0] < n * tol:
-            return now
-    if fixed is None:
-        raise RuntimeError(f"pagerank did not settle in {rounds} rounds")
-    return now
+    v = vertices.select("id").distinct()
+    with Bucketed(v.sparkSession) as tables:
+        w = weighted(edges)
+        out = w.groupBy("src").agg(F.sum("weight").alias("total"))
+        links = tables.cut(w.join(out, "src").select("src", F.col("dst").alias("id"), (F.col("weight") / F.col("total")).alias("share")), "src", "links")
+        sinks = v.join(links.select(F.col("src").alias("id")).distinct().withColumn("_out", F.lit(True)), "id", "left")
+        now = tables.cut(sinks.select("id", F.col("_out").isNull().alias("sink"), F.lit(None).cast("double").alias("was"), F.lit(None).cast("double").alias("pagerank")), "id", "ranks")
+        n = now.count()
+        start = F.coalesce("pagerank", F.lit(1.0 / n if n else 0.0))
+        for _ in range(fixed or rounds):
+            # links lie by source and ranks by vertex in the same buckets: what is sent is the one exchange of a round
+            ranks = now.select("id", "sink", start.alias("pagerank"))
+            lost = ranks.where("sink").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
+            sent = links.join(ranks.select(F.col("id").alias("src"), "pagerank"), "src").groupBy("id").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+            new = F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n if n else 0.0)) + F.lit((1 - damping) / n if n else 0.0)
+            step = ranks.join(sent, "id", "left").select("id", "sink", F.col("pagerank").alias("was"), new.alias("pagerank"))
+            now = tables.cut(step, "id", "ranks")
+            if fixed is None and (now.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0] or 0.0) < n * tol:
+                break
+        else:
+            if fixed is None and n:
+                raise RuntimeError(f"pagerank did not settle in {rounds} rounds")
+        return cut(now.select("id", start.alias("pagerank")), "pagerank")
 
 
 def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, core) by repeated h-indices of the neighbours' values (Lue et al. 2016), from the degrees down."""
-    near = cut(half_edges(edges), "near")
-
-    def step(c: DataFrame) -> DataFrame:
-        seen = near.join(c.select(F.col("id").alias("other"), F.col("core").alias("theirs")), "other")
-        # ranks within a vertex by window, so a hot vertex sorts and spills instead of holding an array
-        place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("theirs")))
-        h = seen.withColumn("place", place).groupBy("id").agg(F.max(F.least("theirs", F.col("place").cast("long"))).alias("h"))
-        return c.join(h, "id").select("id", F.least("core", "h").alias("core"))
-
-    degrees = near.groupBy("id").agg(F.count(F.lit(1)).alias("core"))
-    settled = until_still(degrees, step, [F.sum("core")], None, "cores")
+    with Bucketed(vertices.sparkSession) as tables:
+        near = tables.cut(half_edges(edges).select("id", "other"), "other", "near")
+        now = tables.cut(near.groupBy("id").agg(F.count(F.lit(1)).alias("core")), "id", "cores")
+        was, total = None, now.agg(F.sum("core")).first()[0]
+        while total != was:
+            # neighbours' values meet the links in their buckets; the ranks by vertex are the one exchange of a round
+            seen = near.join(now.select(F.col("id").alias("other"), F.col("core").alias("theirs")), "other")
+            # ranks within a vertex by window, so a hot vertex sorts and spills instead of holding an array
+            place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("theirs")))
+            h = seen.withColumn("place", place).groupBy("id").agg(F.max(F.least("theirs", F.col("place").cast("long"))).alias("h"))
+            now = tables.cut(now.join(h, "id").select("id", F.least("core", "h").alias("core")), "id", "cores")
+            was, total = total, now.agg(F.sum("core")).first()[0]
+        settled = cut(now, "cores")
     return vertices.select("id").distinct().join(settled, "id", "left").na.fill(0, ["core"])
 
 

@@ -32,16 +32,6 @@ def running_totals(rows: DataFrame, order: Column | str, values: dict[str, str],
     return summed.select(*rows.columns, *[(F.col(f"_start_{n}") + F.col(f"_own_{n}")).alias(n) for n in values])
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """``rows`` with their place in the order, from 0; rows of equal order are told apart by chance, once and for all."""
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
-    start = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    placed = dealt.withColumn("_own", own).join(F.broadcast(start), "_part")
-    return cut(placed.select(*rows.columns, (F.col("_start") + F.col("_own")).cast("long").alias(name)), "numbered")
-
-
 def percentiles(values: DataFrame, points: list[float], by: str = "feature", value: str = "value") -> DataFrame:
     """(by, p): for each group the exact percentiles at ``points``, interpolated linearly, as an array in their order.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweft.model import ENTITY_TYPES, TABLES, CanonicalDataset
+from tallyweft.storage import cut_with
 
 
 class SchemaError(ValueError):
@@ -46,9 +47,8 @@ def coerced(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in rules.casts.items() if c in df.columns})
 
 
-def failures(df: DataFrame, rules: Rules) -> DataFrame:
-    """(check, column, row) of every broken row: all row rules in one pass, then one aggregation per unique key."""
-    row = F.to_json(F.struct(*df.columns)) if df.columns else F.lit("{}")
+def _broken(rules: Rules) -> Column:
+    """The (check, column) pairs of the row rules that a row breaks."""
     checks: list[Column] = []
 
     def broken(name: str, column: str, when: Column) -> None:
@@ -60,10 +60,15 @@ def failures(df: DataFrame, rules: Rules) -> DataFrame:
         broken("isin", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
     for c, least in rules.at_least.items():
         broken("at_least", c, F.col(c) < least)
+    return F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<struct<check:string,column:string>>")
+
+
+def failures(df: DataFrame, rules: Rules) -> DataFrame:
+    """(check, column, row) of every broken row: all row rules in one pass, then one aggregation per unique key."""
+    row = F.to_json(F.struct(*df.columns)) if df.columns else F.lit("{}")
     out = []
-    if checks:
-        each = df.select(F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("f"), row.alias("row"))
-        out.append(each.select("f.check", "f.column", "row"))
+    if rules.not_null or rules.isin or rules.at_least:
+        out.append(df.select(F.explode(_broken(rules)).alias("f"), row.alias("row")).select("f.check", "f.column", "row"))
     for key in rules.unique:
         twice = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         out.append(twice.select(F.lit("unique").alias("check"), F.lit(",".join(key)).alias("column"), F.to_json(F.struct(*key)).alias("row")))
@@ -72,16 +77,39 @@ def failures(df: DataFrame, rules: Rules) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def check(df: DataFrame, rules: Rules, table: str) -> DataFrame:
-    """The table with its casts, or SchemaError with all failures."""
-    missing = [c for c in rules.required if c not in df.columns]
-    extra = [c for c in df.columns if c not in rules.required] if rules.strict else []
+def _columns_fit(columns: list[str], rules: Rules, table: str) -> None:
+    missing = [c for c in rules.required if c not in columns]
+    extra = [c for c in columns if c not in rules.required] if rules.strict else []
     if missing or extra:
         raise SchemaError(table, f"missing columns {missing}, unexpected columns {extra}")
-    df = coerced(df, rules)
-    bad = failures(df, rules)
+
+
+def _raise(table: str, bad: DataFrame) -> None:
     if first := bad.limit(5).collect():
         raise SchemaError(table, "; ".join(f"{r['check']}({r['column']}) {r['row']}" for r in first), bad)
+
+
+def written_scan(scan: DataFrame, rules: Rules, table: str, *more: Column) -> DataFrame:
+    """A raw file's rows with their casts and the columns ``more``, written once, or SchemaError with all failures.
+
+    The row rules are counted while the rows are written, so the raw file is
+    read in one pass; rows and unique keys are looked at in what was written.
+    """
+    _columns_fit(scan.columns, rules, table)
+    rows, (bad,) = cut_with(coerced(scan.select("*", *more), rules), "scan", F.count_if(F.size(_broken(rules)) > 0))
+    own = rows.select(*scan.columns)
+    if bad:
+        _raise(table, failures(own, rules))
+    if rules.unique:
+        _raise(table, failures(own, Rules(unique=rules.unique)))
+    return rows
+
+
+def check(df: DataFrame, rules: Rules, table: str) -> DataFrame:
+    """The table with its casts, or SchemaError with all failures."""
+    _columns_fit(df.columns, rules, table)
+    df = coerced(df, rules)
+    _raise(table, failures(df, rules))
     return df
 
 

@@ -17,6 +17,7 @@ from tallyweft.functions.scalar import md5_mod
 from tallyweft.model import CanonicalDataset, empty
 from tallyweft.operators import audit, boundary, commits, explain, features, federated, graph, iterate, metrics, serving, split, validate
 from tallyweft.sources import bindings as B
+from tallyweft.sources.adapters import adapter
 from tallyweft.storage import cut, scratch_path
 from tallyweft.streaming import streams
 
@@ -334,42 +335,43 @@ def core_number(spark, d):
     return iterate.core_numbers(B.event_vertices(spark, d), B.labelled_edges(spark, d))
 
 
-def _seeds(spark) -> DataFrame:
-    return spark.range(0, 100, 20, 1)
+def _seeds(spark, d) -> DataFrame:
+    """The senders of the largest laundering transfers."""
+    return B.labelled_edges(spark, d).where("label = 'laundering' and amount >= 300").select(F.col("src").alias("id")).distinct()
 
 
-KHOP = R + UND.format(e="h") + ",\nk AS (SELECT range AS id, 0 AS depth FROM range(0, 100, 20) UNION SELECT hu.o, k.depth + 1 FROM k JOIN hu ON hu.id = k.id WHERE k.depth < 2), near AS (SELECT id, min(depth) AS depth FROM k GROUP BY 1)"
+KHOP = R + UND.format(e="h") + ",\nk AS (SELECT DISTINCT src AS id, 0 AS depth FROM h WHERE label = 'laundering' AND amount >= 300 UNION SELECT hu.o, k.depth + 1 FROM k JOIN hu ON hu.id = k.id WHERE k.depth < 2), near AS (SELECT id, min(depth) AS depth FROM k GROUP BY 1)"
 
 
 @query(KHOP + " SELECT id, depth FROM near")
 def khop_2(spark, d):
-    return iterate.k_hop(B.labelled_edges(spark, d), _seeds(spark), 2)
+    return iterate.k_hop(B.labelled_edges(spark, d), _seeds(spark, d), 2)
 
 
 @query(KHOP + " SELECT tx_id, src, dst FROM h WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
 def induced_subgraph(spark, d):
     h = B.labelled_edges(spark, d)
-    return graph.induced(h, iterate.k_hop(h, _seeds(spark), 2)).select("tx_id", "src", "dst")
+    return graph.induced(h, iterate.k_hop(h, _seeds(spark, d), 2)).select("tx_id", "src", "dst")
 
 
-@query(H + " SELECT tx_id, src, dst FROM h WHERE src IN (SELECT range FROM range(0, 100, 20)) OR dst IN (SELECT range FROM range(0, 100, 20))")
+@query(H + " SELECT tx_id, src, dst FROM h WHERE src IN (SELECT src FROM h WHERE label = 'laundering' AND amount >= 300) OR dst IN (SELECT src FROM h WHERE label = 'laundering' AND amount >= 300)")
 def endpoint_filter(spark, d):
-    return graph.touching(B.labelled_edges(spark, d), _seeds(spark)).select("tx_id", "src", "dst")
+    return graph.touching(B.labelled_edges(spark, d), _seeds(spark, d)).select("tx_id", "src", "dst")
 
 
-@query(H + " SELECT dst, array_to_string(list_sort(list(tx_id)), ',') AS tx_ids FROM h GROUP BY 1")
+@query(H + " SELECT dst, chunk, array_to_string(list_sort(list(tx_id)), ',') AS tx_ids FROM (SELECT dst, tx_id, (row_number() OVER (PARTITION BY dst ORDER BY tx_id) - 1) // 32 AS chunk FROM h) GROUP BY ALL")
 def in_edge_index(spark, d):
-    return graph.in_edge_index(B.labelled_edges(spark, d)).select("dst", F.array_join(F.col("tx_ids").cast("array<string>"), ",").alias("tx_ids"))
+    return graph.in_edge_index(B.labelled_edges(spark, d), 32).select("dst", "chunk", F.array_join(F.col("tx_ids").cast("array<string>"), ",").alias("tx_ids"))
 
 
 def _sample_sql() -> str:
     pick = "s{h} AS MATERIALIZED (SELECT {h} AS hop, tx_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY md5(tx_id || ':7:{h}'), tx_id) AS k FROM h WHERE dst IN ({f})) WHERE k <= {n})"
-    return H + ",\n" + pick.format(h=0, f="SELECT range FROM range(0, 100, 20)", n=2) + ",\n" + pick.format(h=1, f="SELECT src FROM s0", n=1) + " SELECT * FROM s0 UNION ALL SELECT * FROM s1"
+    return H + ",\n" + pick.format(h=0, f="SELECT src FROM h WHERE label = 'laundering' AND amount >= 300", n=2) + ",\n" + pick.format(h=1, f="SELECT src FROM s0", n=1) + " SELECT * FROM s0 UNION ALL SELECT * FROM s1"
 
 
 @query(_sample_sql())
 def khop_sample_hash(spark, d):
-    return iterate.sample_neighbourhood(B.labelled_edges(spark, d), _seeds(spark), [2, 1], seed=7)
+    return iterate.sample_neighbourhood(B.labelled_edges(spark, d), _seeds(spark, d), [2, 1], seed=7)
 
 
 # --- splits and labels ------------------------------------------------------------------------
@@ -627,6 +629,16 @@ def bias_audit_language(spark, d):
 RINGTX = T + ", rt AS (SELECT tx_id FROM tx WHERE label = 'laundering')"
 
 
+@query(T + """, pa AS (SELECT account_id, 'institution_id' AS attribute, institution_id AS value FROM accounts UNION ALL SELECT account_id, 'segment', segment FROM accounts WHERE segment IS NOT NULL),
+s AS (SELECT src_account AS account_id, label, score FROM (SELECT src_account, (label = 'laundering')::INT AS label, score FROM tx UNION ALL SELECT dst_account, (label = 'laundering')::INT, score FROM tx)),
+g AS (SELECT attribute, value AS grp, count(*) FILTER (score >= 0.5) / count(*) AS sel, coalesce(count(*) FILTER (score >= 0.5 AND label = 1) / nullif(count(*) FILTER (label = 1), 0), 0) AS tpr, coalesce(count(*) FILTER (score >= 0.5 AND label = 0) / nullif(count(*) FILTER (label = 0), 0), 0) AS fpr FROM s JOIN pa USING (account_id) GROUP BY ALL)
+SELECT attribute, round(max(sel) - min(sel), 6) AS demographic_parity, round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS equalized_odds, round(max(fpr) - min(fpr), 6) AS fpr_disparity, count(*) AS n_groups FROM g GROUP BY 1""")
+def bias_audit_attributes(spark, d):
+    """Transfers scored, by every attribute of their accounts that has few values: the institution and the segment, not the balance."""
+    t = B.trade_transactions(spark, d).select(F.explode(F.array("src_account", "dst_account")).alias("id"), (F.col("label") == "laundering").cast("int").alias("label"), "score")
+    return rounded(audit.bias_audits(t, audit.protected_attributes(B.trade_accounts(spark, d))), *_BIAS)
+
+
 def _ring_tx(t):
     return t.where("label = 'laundering'").select("tx_id")
 
@@ -848,6 +860,32 @@ def counterfactual_grid(spark, d):
     return rounded(explain.counterfactual(_degrees(spark, d), "out", lambda v: 1 / (1 + F.exp(-(0.4 * v - 1)))), "value", "reduction")
 
 
+BUSIEST = E + """, f AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS o, (SELECT count(*) FROM e WHERE dst = id) AS i FROM v),
+y AS (SELECT id, 0.001 * o + 0.002 * i AS y0, 0.01 * o + 0.02 * i AS y1, 0.03 * o - 0.01 * i AS y2 FROM f),
+tg AS (SELECT DISTINCT dst AS target FROM (SELECT dst, row_number() OVER (PARTITION BY channel ORDER BY count(*) DESC, dst) AS k FROM e GROUP BY channel, dst) WHERE k = 1),
+hh AS (SELECT dst AS id, count(*) AS n, avg(y1) AS a1, avg(y2) AS a2 FROM e JOIN y ON y.id = src GROUP BY 1),
+h1 AS (SELECT id, coalesce(n, 0) AS n, coalesce(a1, 0) AS a1, coalesce(a2, 0) AS a2 FROM v LEFT JOIN hh USING (id)),
+kk AS (SELECT src AS d, dst AS target, count(*) AS k FROM e GROUP BY ALL),
+base AS (SELECT target, h.n, h.a1, (SELECT sum(x.a2) FROM e JOIN h1 x ON x.id = src WHERE dst = target) AS s2, y0 - 8 AS own FROM tg JOIN h1 h ON h.id = target JOIN y ON y.id = target),
+ch AS (SELECT b.target, tx_id, src, dst, b.n AS nt, b.a1, s2, own, coalesce(k, 0) AS k, p.y1, hs.a2 AS as2,
+         CASE WHEN hd.n > 1 THEN (hd.n * hd.a2 - p.y2) / (hd.n - 1) ELSE 0 END - hd.a2 AS delta
+       FROM base b CROSS JOIN e LEFT JOIN kk ON kk.d = dst AND kk.target = b.target JOIN y p ON p.id = src JOIN h1 hs ON hs.id = src JOIN h1 hd ON hd.id = dst WHERE dst = b.target OR k IS NOT NULL),
+zz AS (SELECT target, tx_id, own + a1 + s2 / nt AS z,
+         own + CASE WHEN dst <> target THEN a1 WHEN nt > 1 THEN (nt * a1 - y1) / (nt - 1) ELSE 0 END
+         + CASE WHEN dst <> target THEN (s2 + k * delta) / nt WHEN nt > 1 THEN (s2 + k * delta - as2 - CASE WHEN src = dst THEN delta ELSE 0 END) / (nt - 1) ELSE 0 END AS ze FROM ch)"""
+
+
+@query(BUSIEST + " SELECT target, tx_id, round(abs(1 / (1 + exp(-z)) - 1 / (1 + exp(-ze))), 9) AS effect FROM zz WHERE abs(1 / (1 + exp(-z)) - 1 / (1 + exp(-ze))) > 0.0000001")
+def edge_effects(spark, d):
+    """Each edge's effect on the scores of the busiest receiving account of each channel, over two layers."""
+    e = cut(B.event_edges(spark, d), "edges")
+    place = F.row_number().over(W.partitionBy("channel").orderBy(F.desc("count"), "dst"))
+    targets = e.groupBy("channel", "dst").count().withColumn("k", place).where("k = 1").select(F.col("dst").alias("id"))
+    half = lambda c, o, i: e.select(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    nodes = half("src", 1.0, 0.0).unionByName(half("dst", 0.0, 1.0)).groupBy("id").agg(F.array(F.sum("o"), F.sum("i")).alias("vec"))
+    return rounded(explain.edge_effects(nodes, e, targets, [[0.001, 0.002], [0.01, 0.02], [0.03, -0.01]], bias=-8.0, least=1e-7), "effect", digits=9)
+
+
 def _evidence(spark, d):
     h = B.labelled_edges(spark, d)
     ends = h.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), "tx_id", "ts")
@@ -893,6 +931,19 @@ def evidence_records(spark, d):
     return e.select("alert_id", F.array_join("accounts", ",").alias("accounts"), F.array_join("transactions", ",").alias("transactions"), "first", "last")
 
 
+@query(H + """, c AS (SELECT DISTINCT id, tx_id, src, dst, ts FROM (SELECT src AS id, tx_id, src, dst, ts FROM h WHERE label = 'laundering' UNION ALL SELECT dst, tx_id, src, dst, ts FROM h WHERE label = 'laundering')),
+sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC NULLS LAST, tx_id) AS place FROM c) WHERE place <= 5),
+nd AS (SELECT id, src AS node, tx_id FROM sh UNION SELECT id, dst, tx_id FROM sh UNION ALL SELECT id, id, NULL FROM hv)
+SELECT 'AL_' || id AS alert_id, 'edge' AS kind, tx_id AS item, place::BIGINT AS n FROM sh UNION ALL SELECT 'AL_' || id, CASE WHEN node = id THEN 'target' ELSE 'node' END, node, count(tx_id) FROM nd GROUP BY id, node""")
+def evidence_graph(spark, d):
+    h = B.labelled_edges(spark, d)
+    alerts = B.event_vertices(spark, d).select(F.concat(F.lit("AL_"), F.col("id").cast("string")).alias("alert_id"), F.col("id").alias("account_id"))
+    own = h.where("label = 'laundering'").select(F.explode(F.array("src", "dst")).alias("id"), "tx_id")
+    shown = cut(explain.evidence_edges(alerts, own, h, 5), "shown")
+    nodes = explain.evidence_nodes(alerts, shown).select("alert_id", F.when(F.col("is_target"), "target").otherwise("node").alias("kind"), F.col("node").cast("long").alias("item"), F.col("n_edges").cast("long").alias("n"))
+    return shown.select("alert_id", F.lit("edge").alias("kind"), F.col("tx_id").alias("item"), F.col("place").cast("long").alias("n")).unionByName(nodes)
+
+
 ALERTS = T + ", al AS (SELECT 'a' || tx_id AS alert_id, src_account AS account_id, score, 'open' AS status FROM tx WHERE score >= 0.8)"
 
 
@@ -1009,6 +1060,126 @@ def ingest_batches(spark, d):
     return store.read("transactions").select(F.col("tx_id").alias("id"), F.lit("transaction").alias("kind")).unionByName(store.read("accounts").select(F.col("account_id").alias("id"), F.col("bank_id").alias("kind")))
 
 
+# --- raw files --------------------------------------------------------------------------------
+
+
+def _lines(df: DataFrame, path: str, order: str, header: bool = True) -> None:
+    """A frame as a CSV file of several parts, lines in order."""
+    df.orderBy(order).drop("_order").write.option("header", header).option("timestampNTZFormat", "yyyy/MM/dd HH:mm").csv(path)
+
+
+def _loaded(spark, name: str, files: dict[str, tuple]) -> CanonicalDataset:
+    """The canonical dataset of raw files written from the driver's tables."""
+    folder = scratch_path(spark, name)
+    for f, (rows, order, header) in files.items():
+        _lines(rows, f"{folder}/{f}", order, header)
+    return adapter(name, spark).run(folder)
+
+
+def _flat(data: CanonicalDataset) -> DataFrame:
+    """Transactions, accounts and labels as (kind, id, a, b, c, n, ts) rows."""
+    none = lambda t: F.lit(None).cast(t)
+    tx = data.transactions.select(F.lit("tx").alias("kind"), F.col("tx_id").alias("id"), F.col("src_account").alias("a"), F.col("dst_account").alias("b"), F.concat_ws("/", "currency", "channel", F.coalesce("institution_src", F.lit("-"))).alias("c"), F.round("amount", 4).alias("n"), iso("timestamp").alias("ts"))
+    acc = data.accounts.select(F.lit("account").alias("kind"), F.col("account_id").alias("id"), F.coalesce("institution_id", F.lit("-")).alias("a"), none("string").alias("b"), none("string").alias("c"), none("double").alias("n"), iso("opened_at").alias("ts"))
+    lab = data.labels.select(F.concat(F.lit("label "), "entity_type").alias("kind"), F.col("entity_id").alias("id"), F.col("label").alias("a"), F.col("label_source").alias("b"), none("string").alias("c"), none("double").alias("n"), none("string").alias("ts"))
+    return tx.unionByName(acc).unionByName(lab)
+
+
+def _flat_sql(base: str, tx: str | None, accounts: str, labels: str) -> str:
+    """The same rows; each part is (id, a, b, c, n, ts), accounts (id, a, ts), labels (kind, id, a, b)."""
+    parts = [f"SELECT 'tx' AS kind, * FROM ({tx}) t(id, a, b, c, n, ts)"] if tx else []
+    parts.append(f"SELECT 'account' AS kind, id, a, NULL AS b, NULL AS c, NULL::DOUBLE AS n, ts FROM ({accounts}) t(id, a, ts)")
+    parts.append(f"SELECT 'label ' || kind AS kind, id, a, b, NULL AS c, NULL::DOUBLE AS n, NULL AS ts FROM ({labels}) t(kind, id, a, b)")
+    return f"{base} " + " UNION ALL ".join(parts)
+
+
+DAY0 = "TIMESTAMP '1970-01-01'"
+
+
+@query(_flat_sql(
+    E + ", n AS (SELECT vec_id, label + 1 AS step FROM embeddings), x AS (SELECT row_number() OVER (ORDER BY tx_id) - 1 AS k, src, dst FROM e WHERE src IN (SELECT vec_id FROM n) AND dst IN (SELECT vec_id FROM n))",
+    f"SELECT 'elliptic_edge_' || k, src::VARCHAR, dst::VARCHAR, 'unknown/unknown/-', NULL::DOUBLE, strftime({DAY0} + to_days(step::INT), {ISO}) FROM x JOIN n ON vec_id = src",
+    f"SELECT vec_id::VARCHAR, '-', strftime({DAY0} + to_days(step::INT), {ISO}) FROM n",
+    "SELECT 'account', vec_id::VARCHAR, ['illicit', 'licit', 'unknown'][(vec_id % 3 + 1)::INT], 'elliptic_txs_classes' FROM n"))
+def adapter_elliptic(spark, d):
+    v = B.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    features = v.select(F.col("vec_id").alias("txId"), (F.col("label") + 1).cast("double").alias("feat_1"), *[F.col("embedding")[i % 64].alias(f"feat_{i}") for i in range(2, 167)])
+    classes = v.select(F.col("vec_id").alias("txId"), F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("unknown")), (F.col("vec_id") % 3 + 1).cast("int")).alias("class"))
+    ids = v.select("vec_id")
+    e = B.event_edges(spark, d).join(ids.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("vec_id", "dst"), "dst", "left_semi")
+    edges = e.select(F.col("tx_id").alias("_order"), F.col("src").alias("txId1"), F.col("dst").alias("txId2"))
+    return _flat(_loaded(spark, "elliptic", {"elliptic_txs_features.csv": (features, "txId", False), "elliptic_txs_classes.csv": (classes, "txId", True), "elliptic_txs_edgelist.csv": (edges, "_order", True)}))
+
+
+@query(_flat_sql(
+    "WITH w AS (SELECT 'C' || c_custkey AS a, c_custkey AS k FROM customer), x AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, 'C' || o_custkey AS i, c.a AS o FROM orders JOIN w c ON c.k = o_orderkey % 997 WHERE 'C' || o_custkey IN (SELECT a FROM w))",
+    "SELECT 'elliptic_pp_edge_' || k, i, o, 'unknown/unknown/-', NULL::DOUBLE, NULL FROM x", "SELECT a, '-', NULL FROM w",
+    "SELECT 'account', a, ['illicit', 'licit', 'unknown'][(k % 3 + 1)::INT], 'wallets_classes' FROM w"))
+def adapter_elliptic_pp(spark, d):
+    c = B.table(spark, d, "customer")
+    name = lambda k: F.concat(F.lit("C"), F.col(k).cast("string"))
+    wallets = c.select(name("c_custkey").alias("address"), (F.col("c_custkey") % 3 + 1).alias("class"), F.col("c_acctbal").alias("balance"))
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c.select("c_custkey"), F.col("o_orderkey") % 997 == F.col("c_custkey")).join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    edges = o.select(F.col("o_orderkey").alias("_order"), name("o_custkey").alias("input_address"), name("c_custkey").alias("output_address"))
+    return _flat(_loaded(spark, "elliptic_pp", {"wallets_features_classes_combined.csv": (wallets, "address", True), "AddrAddr_edgelist.csv": (edges, "_order", True)}))
+
+
+@query(_flat_sql(
+    T + ", x AS (SELECT row_number() OVER (ORDER BY tx_id) - 1 AS k, institution_src || '_' || src_account AS s, institution_dst || '_' || dst_account AS t, institution_src AS f, institution_dst AS g, amount, currency, channel, date_trunc('minute', ts::TIMESTAMP) AS tm, label FROM tx WHERE ts IS NOT NULL)",
+    f"SELECT 'ibm_aml_' || k, s, t, 'USD/' || channel || '/' || f, round(amount, 4), strftime(tm, {ISO}) FROM x",
+    f"SELECT a, any_value(b), strftime(min(tm), {ISO}) FROM (SELECT s AS a, f AS b, tm FROM x UNION ALL SELECT t, g, tm FROM x) GROUP BY a",
+    "SELECT 'tx', 'ibm_aml_' || k, label, 'is_laundering' FROM x"))
+def adapter_ibm_aml(spark, d):
+    t = B.trade_transactions(spark, d)
+    rows = t.select(
+        F.col("tx_id").alias("_order"), F.date_format("timestamp", "yyyy/MM/dd HH:mm").alias("Timestamp"), F.col("institution_src").alias("From Bank"), F.col("src_account").alias("Account"), F.col("institution_dst").alias("To Bank"), F.col("dst_account").alias("Account2"),
+        F.col("amount").alias("Amount Received"), F.col("currency").alias("Receiving Currency"), F.col("amount").alias("Amount Paid"), F.col("currency").alias("Payment Currency"), F.col("channel").alias("Payment Format"), (F.col("label") == "laundering").cast("int").alias("Is Laundering"),
+    ).where("Timestamp is not null")
+    return _flat(_loaded(spark, "ibm_aml", {"HI-Small_Trans.csv": (rows, "_order", True)}))
+
+
+HOURS = ", x AS (SELECT row_number() OVER (ORDER BY tx_id) - 1 AS k, 'C' || src AS s, 'M' || dst AS t, channel, amount, ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM e WHERE amount IS NOT NULL)) // {unit})::INT AS step, tx_id, (channel = 'error' AND amount >= 100) AS bad FROM e WHERE amount IS NOT NULL)"
+
+
+def _since(unit: int):
+    return lambda e: F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0])) / unit).cast("int")
+
+
+@query(_flat_sql(
+    E + HOURS.format(unit=3_600_000_000),
+    f"SELECT 'paysim_' || k, s, t, 'unknown/' || channel || '/-', round(amount, 4), strftime({DAY0} + to_hours(step), {ISO}) FROM x",
+    "SELECT DISTINCT a, '-', NULL FROM (SELECT s AS a FROM x UNION ALL SELECT t FROM x)", "SELECT 'tx', 'paysim_' || k, CASE WHEN bad THEN 'fraud' ELSE 'not_fraud' END, 'isFraud' FROM x"))
+def adapter_paysim(spark, d):
+    e = B.event_edges(spark, d).where("amount is not null")
+    rows = e.select(
+        F.col("tx_id").alias("_order"), _since(3_600_000_000)(e).alias("step"), F.col("channel").alias("type"), "amount", F.concat(F.lit("C"), F.col("src").cast("string")).alias("nameOrig"), F.lit(0.0).alias("oldbalanceOrg"),
+        F.concat(F.lit("M"), F.col("dst").cast("string")).alias("nameDest"), ((F.col("channel") == "error") & (F.col("amount") >= 100)).cast("int").alias("isFraud"),
+    )
+    return _flat(_loaded(spark, "paysim", {"PS_20174392719_1491204439457_log.csv": (rows, "_order", True)}))
+
+
+@query(_flat_sql(
+    "WITH x AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, toxic, doc_id % 12 AS month FROM labels)", None,
+    f"SELECT 'baf_' || k, '-', strftime({DAY0} + to_days((month * 30)::INT), {ISO}) FROM x", "SELECT 'account', 'baf_' || k, CASE WHEN toxic = 1 THEN 'fraud' ELSE 'not_fraud' END, 'fraud_bool' FROM x"))
+def adapter_baf(spark, d):
+    rows = B.table(spark, d, "labels").select(F.col("doc_id").alias("_order"), F.col("toxic").alias("fraud_bool"), (F.col("doc_id") % 12).alias("month"), F.col("quality").alias("income"))
+    return _flat(_loaded(spark, "baf", {"Base.csv": (rows, "_order", True)}))
+
+
+@query(_flat_sql(
+    E + HOURS.format(unit=1_000_000),
+    f"SELECT tx_id::VARCHAR, 'card_' || substr(s, 2), 'merchant_' || channel, 'USD/' || channel || '/-', round(amount, 4), strftime({DAY0} + to_seconds(step), {ISO}) FROM x",
+    "SELECT DISTINCT a, '-', NULL FROM (SELECT 'card_' || substr(s, 2) AS a FROM x UNION ALL SELECT 'merchant_' || channel FROM x)", "SELECT 'tx', tx_id::VARCHAR, CASE WHEN bad THEN 'fraud' ELSE 'not_fraud' END, 'isFraud' FROM x"))
+def adapter_ieee_cis(spark, d):
+    e = B.event_edges(spark, d).where("amount is not null")
+    rows = e.select(
+        F.col("tx_id").alias("TransactionID"), ((F.col("channel") == "error") & (F.col("amount") >= 100)).cast("int").alias("isFraud"), _since(1_000_000)(e).alias("TransactionDT"), F.col("amount").alias("TransactionAmt"), F.col("channel").alias("ProductCD"),
+        F.col("src").alias("card1"), F.when(F.col("src") % 2 == 0, "visa").alias("card4"),
+    )
+    identity = e.where("tx_id % 3 = 0").select(F.col("tx_id").alias("TransactionID"), F.lit("mobile").alias("DeviceType"))
+    return _flat(_loaded(spark, "ieee_cis", {"train_transaction.csv": (rows, "TransactionID", True), "train_identity.csv": (identity, "TransactionID", True)}))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tallyweft.config import Settings
 from tallyweft.model import CanonicalDataset
 from tallyweft.operators import audit, boundary, commits, detectors, explain, federated, graph, iterate, metrics, serving, split
 from tallyweft.operators import features as fx
+from tallyweft.operators import twohead
+from tallyweft.sources import stores
 from tallyweft.storage import cut
 
 
@@ -86,6 +89,28 @@ def metric_row(scored: DataFrame, s: Settings) -> dict:
     return out
 
 
+def _how(s: Settings) -> dict:
+    if s.model.name == "boosted_trees":
+        return {"depth": s.model.depth, "trees": s.model.trees}
+    if s.model.name == twohead.TwoHeads.name:
+        return {"layers": s.model.num_layers, **_two_heads(s)}
+    return {"layers": s.model.num_layers}
+
+
+def _two_heads(s: Settings) -> dict:
+    t = s.training
+    return {"hidden": s.model.hidden_dim, "motif_weight": s.model.motif_weight, "epochs": t.epochs, "rate": t.learning_rate, "decay": t.weight_decay, "patience": t.patience, "seed": s.seed}
+
+
+def training_motifs(data: CanonicalDataset, s: Settings, train_ids: DataFrame) -> DataFrame:
+    """(account_id, motif flags) on the graph of the training accounts alone: other accounts' edges tell nothing."""
+    ids = train_ids.select(F.col("account_id").alias("id")).distinct()
+    e = graph.edges_of(data.transactions)
+    own = cut(e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "training-edges")
+    flags = fx.motif_features(ids, own, s.features.fan_in_threshold, s.features.fan_out_threshold)
+    return cut(flags.withColumnRenamed("id", "account_id").select("account_id", *[c for c in flags.columns if c.startswith("motif_is_")]), "motifs")
+
+
 def train(data: CanonicalDataset, s: Settings, folds: DataFrame | None = None, matrix: DataFrame | None = None) -> Trained:
     """Fit scaling and detector on the training fold, score the test fold."""
     folds = prepare(data, s)["folds"] if folds is None else folds
@@ -93,10 +118,10 @@ def train(data: CanonicalDataset, s: Settings, folds: DataFrame | None = None, m
     target = folds.select(F.col("entity_id").alias("account_id"), "target")
     train_ids, test_ids = _ids(folds, "train"), _ids(folds, "test")
     pipe = fx.FeaturePipeline(s.features.scaler).fit(matrix, train_ids, test_ids)
-    how = {"depth": s.model.depth, "trees": s.model.trees} if s.model.name == "boosted_trees" else {"layers": s.model.num_layers}
-    model = detectors.detector(s.model.name, **how)
+    model = detectors.detector(s.model.name, **_how(s))
     x = _inputs(model, pipe.transform(matrix), data)
-    model.fit(x.join(train_ids, "account_id", "left_semi"), target)
+    own = (x.join(train_ids, "account_id", "left_semi"), target)
+    model.fit(*own, training_motifs(data, s, train_ids)) if isinstance(model, twohead.TwoHeads) else model.fit(*own)
     scored = model.predict(x.join(test_ids, "account_id", "left_semi")).join(target, "account_id").select(F.col("account_id").alias("id"), F.col("target").alias("label"), "score")
     scored = cut(scored, "scored")
     return Trained(model, pipe, scored, metric_row(scored, s))
@@ -230,9 +255,8 @@ def three_conditions(data: CanonicalDataset, s: Settings) -> DataFrame:
     more, _ = with_boundary(data, s, p, private=False)
     both, _ = federate(more.rows.where("fold = 'train'"), more.columns, s, private=False)
     parts.append(_scored(both, more.rows.where("fold = 'test'"), more.columns, "federated_boundary"))
-    weight = detectors.class_weight(fitting)
-    pooled = detectors.logistic_fit(fitting, p.columns, F.when(F.col("target") == 1, weight).otherwise(1.0))
-    parts.append(_scored(pooled, held, p.columns, "pooled"))
+    pooled = twohead.TwoHeads(0, **_two_heads(s)).fit(fitting.select("account_id", *p.columns), fitting, training_motifs(data, s, fitting))
+    parts.append(pooled.predict(held.select("account_id", *p.columns)).join(held.select("account_id", F.col("target").alias("label")), "account_id").select(F.lit("pooled").alias("condition"), F.col("account_id").alias("id"), "label", "score"))
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
@@ -288,17 +312,22 @@ def evasion(data: CanonicalDataset, s: Settings, trained: Trained) -> DataFrame:
 
 
 def evaluation_report(data: CanonicalDataset, s: Settings, trained: Trained) -> str:
-    """A markdown report of metrics, drift, fairness by institution and evasion counts."""
+    """A markdown report of metrics, drift over time and of the inputs, fairness by every protected attribute, evasion and ablations."""
     scored = trained.scored
-    named = scored.join(data.accounts.select(F.col("account_id").alias("id"), F.coalesce("institution_id", F.lit("none")).alias("group")), "id")
+    attributes = audit.protected_attributes(data.accounts)
+    fairness = audit.bias_audits(scored, attributes, s.training.alert_threshold).orderBy("attribute").collect()
+    folds, matrix = prepare(data, s)["folds"], unscaled_matrix(data, s)
+    own = lambda fold: matrix.join(_ids(folds, fold), "account_id", "left_semi").drop("account_id")
+    moved = audit.input_drift(own("train"), own("test")).orderBy(F.desc("psi"), "feature").collect()
     times = account_entities(data).select(F.col("entity_id").alias("id"), F.col("timestamp").alias("ts"))
     drift = audit.performance_drift(scored.join(times, "id")).orderBy("bin").collect()
-    bias = audit.bias_audit(named, "group", s.training.alert_threshold).first()
     m = trained.metrics
     lines = ["# Evaluation", "", f"Dataset {data.name}, model {trained.detector.name}.", "", "| metric | value |", "|---|---|"]
     lines += [f"| {k} | {m[k]} |" for k in ("precision", "recall", "f1", "auc", "average_precision", "total_alerts", "n_samples", "n_positive")]
     lines += ["", "## Drift over time", "", "| bin | n | AUC |", "|---|---|---|", *[f"| {r['bin']} | {r['n']} | {r['auc']:.4f} |" for r in drift]]
-    lines += ["", "## Fairness by institution", "", *[f"- {k}: {v}" for k, v in bias.asDict().items()]]
+    lines += ["", "## Input drift", "", f"Mean PSI of the test fold against the training fold: {moved[0]['mean_psi']:.4f} ({moved[0]['level']})." if moved else "No numeric features.", "", "| feature | PSI |", "|---|---|", *[f"| {r['feature']} | {r['psi']:.4f} |" for r in moved]]
+    lines += ["", "## Fairness", "", "| attribute | groups | demographic parity | equalized odds | FPR disparity |", "|---|---|---|---|---|"]
+    lines += [f"| {r['attribute']} | {r['n_groups']} | {r['demographic_parity']:.4f} | {r['equalized_odds']:.4f} | {r['fpr_disparity']:.4f} |" for r in fairness]
     lines += ["", "## Evasion", "", "| level | recall |", "|---|---|", *[f"| {r['level']} | {r['recall']:.4f} |" for r in evasion(data, s, trained).orderBy("level").collect()]]
     lines += ["", "## Ablations", "", "| without | AUC |", "|---|---|", *[f"| {r['ablation']} | {r['auc']} |" for r in ablations(data, s) + federated_ablations(data, s)]]
     lines += ["", "## Importance", "", *[f"- {k}: {v:.4f}" for k, v in trained.detector.importance()[:20]]]
@@ -327,20 +356,69 @@ def _attributed(trained: Trained, data: CanonicalDataset, s: Settings) -> DataFr
     """(id, feature, effect) of a linear head; of other detectors their importance, the same for every account."""
     model = trained.detector
     ids = trained.scored.select(F.col("id").alias("account_id"))
-    if isinstance(model, detectors.NeighbourMean):
+    if type(model) is detectors.NeighbourMean:
         x = _inputs(model, trained.pipeline.transform(unscaled_matrix(data, s)), data).na.fill(0.0, model.columns).join(ids, "account_id", "left_semi")
 
-        def score(columns: dict):
-            z = F.lit(float(model.model[-1]))
-            for c, w in zip(model.columns, model.model[:-1], strict=True):
-                z = z + columns[c] * F.lit(float(w))
-            return 1 / (1 + F.exp(-z))
-
-        return explain.feature_ablation(x.withColumnRenamed("account_id", "id"), model.columns, score)
+        return explain.feature_ablation(x.withColumnRenamed("account_id", "id"), model.columns, _linear_head(model))
     ranked = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("effect")) for c, v in model.importance()[:10]])
     return ids.select(F.col("account_id").alias("id"), F.explode(ranked).alias("x")).select("id", "x.feature", "x.effect").where("effect > 0")
 
 
+def _linear_head(model: detectors.NeighbourMean):
+    """The score of a linear head as a function of its columns."""
+
+    def score(columns: dict):
+        z = F.lit(float(model.model[-1]))
+        for c, w in zip(model.columns, model.model[:-1], strict=True):
+            z = z + columns[c] * F.lit(float(w))
+        return 1 / (1 + F.exp(-z))
+
+    return score
+
+
+def explain_account(data: CanonicalDataset, s: Settings, trained: Trained, account: str) -> dict:
+    """Evidence, narrative and counterfactual of one scored account; raises KeyError for an account without a score.
+
+    With a linear head over neighbour means, contributing transactions are
+    those whose removal moves the score, and the counterfactual lowers the
+    most important column until the score falls below the threshold.  With
+    other detectors the account's transactions labelled positive contribute.
+    """
+    found = trained.scored.where(F.col("id") == account).first()
+    if found is None:
+        raise KeyError(f"no score for {account!r}")
+    spark, model, edges = data.accounts.sparkSession, trained.detector, graph.edges_of(data.transactions)
+    one = spark.createDataFrame([(account,)], "id string")
+    changed = None
+    if type(model) is detectors.NeighbourMean:
+        scaled = cut(trained.pipeline.transform(unscaled_matrix(data, s)).na.fill(0.0), "scaled")
+        base = [c for c in scaled.columns if c != "account_id"]
+        weights = [model.model[i * len(base) : (i + 1) * len(base)] for i in range(model.layers + 1)]
+        nodes = scaled.select(F.col("account_id").alias("id"), F.array(*[F.col(c).cast("double") for c in base]).alias("vec"))
+        own = explain.edge_effects(nodes, edges, one, weights, model.model[-1]).select(F.col("target").alias("id"), "tx_id")
+    else:
+        positive = data.labels.where((F.col("entity_type") == "tx") & (F.col("label") == split.POSITIVE[split.dataset_of(data.name)])).select(F.col("entity_id").alias("tx_id"))
+        own = edges.where((F.col("src") == account) | (F.col("dst") == account)).join(positive, "tx_id", "left_semi").select(F.lit(account).alias("id"), "tx_id")
+    shares = explain.normalised(_attributed(trained, data, s).where(F.col("id") == account))
+    top = shares.orderBy(F.desc("share"), "feature").first()
+    if type(model) is detectors.NeighbourMean and top is not None:
+        x = _inputs(model, scaled, data).where(F.col("account_id") == account).withColumnRenamed("account_id", "id")
+        rest = {c: F.lit(float(v or 0.0)) for c, v in x.first().asDict().items() if c != "id"}
+        changed = explain.counterfactual(x, top["feature"], lambda v: _linear_head(model)(rest | {top["feature"]: v}), s.training.alert_threshold).first().asDict()
+    cycle = fx.cycle_flags(vertices_of(data), edges).where("motif_is_cycle = 1").where(F.col("id") == account).select("id")
+    alert = spark.createDataFrame([(f"alert_{account}", account, float(found["score"]))], "alert_id string, account_id string, score double")
+    record = cut(explain.evidence_records(alert, edges, own, shares, cycle), "record").withColumn("text", explain.narrative()).first().asDict(recursive=True)
+    text = record.pop("text")
+    return {"evidence": record, "narrative": text, "counterfactual": changed and {"feature": top["feature"], **changed}}
+
+
+def write_reports(trained: Trained, folder: str) -> None:
+    """metrics.json in the local folder, and the precision-recall curve beside it as lines of JSON."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    stores.write_report(trained.metrics, f"{folder}/metrics.json")
+    stores.write_curve(metrics.pr_curve(trained.scored), f"{folder}/pr_curve")
+
+
 def rings_table(data: CanonicalDataset, positive: str = "laundering") -> DataFrame:
     """Canonical rings from the components of positively labelled transactions."""
     labels = data.labels.where("entity_type = 'tx'").select(F.col("entity_id").alias("tx_id"), "label")

@@ -16,22 +16,22 @@ from pyspark.sql import types as T
 
 from tallyweft.functions.scalar import sorted_json
 from tallyweft.model import TABLES, CanonicalDataset, empty
-from tallyweft.operators.validate import Rules, check, validate
-
+from tallyweft.operators.validate import Rules, validate, written_scan
 
 
 def _after_epoch(unit: str, n: Column) -> Column:
     return F.timestamp_add(unit, n.cast("int"), F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
-def with_ordinal(scan: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Number a file scan's rows from 0 in order of the files' lines.
+def numbered_scan(scan: DataFrame, rules: Rules, table: str, name: str = "ordinal") -> DataFrame:
+    """A file scan's checked rows, numbered from 0 in order of the files' lines.
 
-    Rows are numbered within their block of a file; each block's offset comes
-    from the counts of the blocks before it, so no task sees all rows.
+    The raw file is read once.  Rows are numbered within their block of a
+    file; each block's offset comes from the counts of the blocks before it,
+    so no task sees all rows.
     """
     block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    rows = scan.select("*", block.alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = written_scan(scan, rules, table, block.alias("_block"), F.monotonically_increasing_id().alias("_at"))
     own = rows.withColumn("_own", F.row_number().over(W.partitionBy("_block").orderBy("_at")) - 1)
     sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_first"))
@@ -79,11 +79,11 @@ class Elliptic(Adapter):
 
     def load_raw(self, folder: str) -> dict[str, DataFrame]:
         schema = "txId long, " + ", ".join(f"{c} double" for c in self.FEATURES)
-        features = check(self.csv(f"{folder}/elliptic_txs_features.csv", schema, header=False), Rules(("txId", *self.FEATURES), not_null=("txId", "feat_1"), unique=(("txId",),), strict=True), "elliptic_txs_features.csv")
-        classes = check(self.csv(f"{folder}/elliptic_txs_classes.csv", "txId long, class string"), Rules(("txId", "class"), not_null=("txId", "class"), isin={"class": tuple(self.CLASSES)}, unique=(("txId",),), strict=True), "elliptic_txs_classes.csv")
+        features = written_scan(self.csv(f"{folder}/elliptic_txs_features.csv", schema, header=False), Rules(("txId", *self.FEATURES), not_null=("txId", "feat_1"), unique=(("txId",),), strict=True), "elliptic_txs_features.csv")
+        classes = written_scan(self.csv(f"{folder}/elliptic_txs_classes.csv", "txId long, class string"), Rules(("txId", "class"), not_null=("txId", "class"), isin={"class": tuple(self.CLASSES)}, unique=(("txId",),), strict=True), "elliptic_txs_classes.csv")
         edges = self.csv(f"{folder}/elliptic_txs_edgelist.csv", "txId1 long, txId2 long")
-        check(edges, Rules(("txId1", "txId2"), not_null=("txId1", "txId2"), strict=True), "elliptic_txs_edgelist.csv")
-        return {"features": features, "classes": classes, "edges": with_ordinal(edges)}
+        edges = numbered_scan(edges, Rules(("txId1", "txId2"), not_null=("txId1", "txId2"), strict=True), "elliptic_txs_edgelist.csv")
+        return {"features": features, "classes": classes, "edges": edges}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         step = F.col("feat_1").cast("int")
@@ -102,10 +102,10 @@ class EllipticActors(Adapter):
     CLASSES = {1: "illicit", 2: "licit", 3: "unknown"}
 
     def load_raw(self, folder: str) -> dict[str, DataFrame]:
-        wallets = check(self.csv(f"{folder}/wallets_features_classes_combined.csv"), Rules(("address", "class"), not_null=("address", "class"), isin={"class": tuple(self.CLASSES)}, unique=(("address",),), casts={"class": "int", "address": "string"}), "wallets_features_classes_combined.csv")
+        wallets = written_scan(self.csv(f"{folder}/wallets_features_classes_combined.csv"), Rules(("address", "class"), not_null=("address", "class"), isin={"class": tuple(self.CLASSES)}, unique=(("address",),), casts={"class": "int", "address": "string"}), "wallets_features_classes_combined.csv")
         edges = self.spark.read.option("header", True).csv(f"{folder}/AddrAddr_edgelist.csv")
-        check(edges, Rules(("input_address", "output_address"), not_null=("input_address", "output_address"), strict=True), "AddrAddr_edgelist.csv")
-        return {"wallets": wallets, "edges": with_ordinal(edges)}
+        edges = numbered_scan(edges, Rules(("input_address", "output_address"), not_null=("input_address", "output_address"), strict=True), "AddrAddr_edgelist.csv")
+        return {"wallets": wallets, "edges": edges}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         others = [c for c in raw["wallets"].columns if c not in ("address", "class")]
@@ -124,8 +124,8 @@ class IbmAml(Adapter):
     def load_raw(self, folder: str) -> dict[str, DataFrame]:
         scan = self.spark.read.option("header", True).option("enforceSchema", True).schema(self.SCHEMA).csv(f"{folder}/HI-Small_Trans.csv")
         known = tuple(c.split()[0] for c in self.SCHEMA.split(", "))
-        check(scan, Rules(known, not_null=("ts", "from_bank", "from_account", "to_bank", "to_account", "payment_format", "laundering"), isin={"laundering": (0, 1)}, at_least={"paid": 0.0, "received": 0.0}, strict=True), "HI-Small_Trans.csv")
-        return {"transactions": with_ordinal(scan)}
+        rules = Rules(known, not_null=("ts", "from_bank", "from_account", "to_bank", "to_account", "payment_format", "laundering"), isin={"laundering": (0, 1)}, at_least={"paid": 0.0, "received": 0.0}, strict=True)
+        return {"transactions": numbered_scan(scan, rules, "HI-Small_Trans.csv")}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         key = lambda side: F.concat(f"{side}_bank", F.lit("_"), f"{side}_account")
@@ -145,8 +145,7 @@ class Paysim(Adapter):
         needed = {"step": "int", "type": "string", "amount": "double", "nameOrig": "string", "nameDest": "string", "isFraud": "int"}
         scan = self.csv(f"{folder}/{self.FILE}")
         rules = Rules(tuple(needed), not_null=tuple(needed), isin={"isFraud": (0, 1)}, at_least={"step": 0, "amount": 0.0}, casts=needed)
-        check(scan, rules, self.FILE)
-        return {"transactions": check(with_ordinal(scan), rules, self.FILE)}
+        return {"transactions": numbered_scan(scan, rules, self.FILE)}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         # balances and the flag are left out: they give the label away
@@ -166,8 +165,7 @@ class Baf(Adapter):
     def load_raw(self, folder: str) -> dict[str, DataFrame]:
         scan = self.csv(f"{folder}/Base.csv")
         rules = Rules(("fraud_bool", "month"), not_null=("fraud_bool", "month"), isin={"fraud_bool": (0, 1)}, at_least={"month": 0}, casts={"fraud_bool": "int", "month": "int"})
-        check(scan, rules, "Base.csv")
-        return {"applications": check(with_ordinal(scan), rules, "Base.csv")}
+        return {"applications": numbered_scan(scan, rules, "Base.csv")}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         a = raw["applications"].withColumn("account_id", F.concat(F.lit("baf_"), F.col("ordinal").cast("string")))
@@ -185,9 +183,8 @@ class IeeeCis(Adapter):
         needed = {"TransactionID": "long", "isFraud": "int", "TransactionDT": "int", "TransactionAmt": "double", "ProductCD": "string"}
         scan = self.csv(f"{folder}/train_transaction.csv")
         rules = Rules(tuple(needed), not_null=tuple(needed), isin={"isFraud": (0, 1)}, at_least={"TransactionDT": 0, "TransactionAmt": 0.0}, unique=(("TransactionID",),), casts=needed)
-        check(scan, rules, "train_transaction.csv")
-        identity = check(self.csv(f"{folder}/train_identity.csv"), Rules(("TransactionID",), not_null=("TransactionID",), unique=(("TransactionID",),), casts={"TransactionID": "long"}), "train_identity.csv")
-        return {"transactions": check(with_ordinal(scan), rules, "train_transaction.csv"), "identity": identity}
+        identity = written_scan(self.csv(f"{folder}/train_identity.csv"), Rules(("TransactionID",), not_null=("TransactionID",), unique=(("TransactionID",),), casts={"TransactionID": "long"}), "train_identity.csv")
+        return {"transactions": numbered_scan(scan, rules, "train_transaction.csv"), "identity": identity}
 
     def to_canonical(self, raw: dict[str, DataFrame]) -> CanonicalDataset:
         t = raw["transactions"].join(raw["identity"], "TransactionID", "left")

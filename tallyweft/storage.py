@@ -70,6 +70,37 @@ def cut_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, tup
     return out, tuple(seen.get[f"m{i}"] for i in range(len(metrics)))
 
 
+class Bucketed:
+    """Tables in the shared folder, bucketed and sorted by a key, so that joins and aggregations on it need no shuffle.
+
+    All tables of one object have as many buckets as the session has shuffle
+    partitions when it is made.  They are known to the catalogue under names
+    of their own until ``close``, which forgets them; use it as a context and
+    ``cut`` what must outlive it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(self, df: DataFrame, key: str, name: str = "bucketed") -> DataFrame:
+        table = f"tallyweft_{name}_{uuid.uuid4().hex}".replace("-", "_")
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", scratch_path(self.spark, name)).saveAsTable(table, format="parquet")
+        self.names.append(table)
+        return self.spark.table(table)
+
+    def close(self) -> None:
+        for table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.names.clear()
+
+    def __enter__(self) -> Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python import this package, wherever the driver found it: once for each Spark context."""
     context = spark.sparkContext

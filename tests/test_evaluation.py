@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import json
 import math
 import random
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyweft import config
 from tallyweft.functions import scalar
 from tallyweft.model import TABLES, CanonicalDataset
-from tallyweft.operators import audit, detectors, explain, federated, metrics, serving
+from tallyweft.operators import audit, commits, detectors, explain, federated, metrics, serving
 from tallyweft.plans import flows
 
 T0 = dt.datetime(2022, 9, 1)
@@ -190,9 +191,28 @@ def test_flows(spark, tmp_path):
     with pytest.raises(TypeError):
         detectors.NeighbourMean.load(str(tmp_path / "model"))
     report = flows.evaluation_report(data, s, t)
-    assert all(f"## {h}" in report for h in ("Drift", "Fairness", "Evasion", "Ablations"))
+    assert all(f"## {h}" in report for h in ("Drift", "Input drift", "Fairness", "Evasion", "Ablations")) and "| institution_id | 4 |" in report
+    flows.write_reports(t, str(tmp_path / "reports"))
+    assert json.loads((tmp_path / "reports" / "metrics.json").read_text())["auc"] == t.metrics["auc"] and spark.read.json(str(tmp_path / "reports" / "pr_curve")).count() > 0
+    store = commits.ServingStore(spark, str(tmp_path / "serving"))
+    store.append("m", {"models": spark.createDataFrame([("m", "r", "n")], "model_id string, run_id string, name string")})
+    done = flows.scoring_job(data, s, t, store, "m")
+    assert done == flows.scoring_job(data, s, t, store, "m") and store.read("narratives").count() == done["rows"]["alerts"] > 0
     conditions = {r["condition"]: r["n_samples"] for r in flows.three_conditions(data, s).collect()}
-    assert set(conditions) == {"isolated", "federated", "pooled"} and len(set(conditions.values())) == 1
+    assert set(conditions) == {"isolated", "federated", "federated_boundary", "pooled"} and len(set(conditions.values())) == 1
+
+
+def test_explain_account(spark):
+    data = synthetic(spark)
+    s = config.load(overrides={"split": {"strategy": "random"}, "model": {"name": "neighbour_mean", "num_layers": 2}, "features": {"use_temporal": False}})
+    t = flows.train(data, s)
+    account = t.scored.orderBy(F.desc("score"), "id").first()["id"]
+    out = flows.explain_account(data, s, t, account)
+    assert account in out["narrative"] and out["evidence"]["account_id"] == account
+    # the first transactions shown are those whose removal moves the score
+    assert out["evidence"]["transactions"] and out["counterfactual"]["feature"] in t.detector.columns
+    with pytest.raises(KeyError):
+        flows.explain_account(data, s, t, "nobody")
 
 
 def test_federated_budget_stops(spark):

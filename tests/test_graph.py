@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweft.operators import features, graph, iterate
 
@@ -103,3 +104,33 @@ def test_equal_gaps_have_burstiness_minus_one(spark):
     assert f["a"]["temporal_burstiness"] == -1.0 and f["a"]["temporal_mean_inter_arrival"] == 3600.0
     one = features.temporal_features(edges(spark, [("a", "b")])).first()
     assert (one["temporal_velocity"], one["temporal_tx_count"]) == (0.0, 1)
+
+
+@pytest.mark.parametrize("what, table", [("pagerank", "ranks"), ("core_numbers", "cores")])
+def test_a_round_has_one_exchange(spark, monkeypatch, what, table):
+    from tallyweft.storage import Bucketed
+
+    plans, cut = [], Bucketed.cut
+
+    def recorded(self, df, key, name="bucketed"):
+        if name == table:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(self, df, key, name)
+
+    monkeypatch.setattr(Bucketed, "cut", recorded)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d")])
+        getattr(iterate, what)(vertices(spark, *"abcdz"), e).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = plans[1:]
+    assert rounds and all(p.count("Exchange ") == 1 for p in rounds), rounds[0]
+
+
+def test_in_edges_of_a_hot_vertex_come_in_chunks(spark):
+    e = spark.range(1000).select(F.col("id").alias("tx_id"), F.lit("s").alias("src"), F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("dst"))
+    rows = graph.in_edge_index(e, 64).collect()
+    hot = sorted((r["chunk"], r["tx_ids"]) for r in rows if r["dst"] == "hot")
+    assert [c for c, _ in hot] == list(range(15)) and max(len(t) for _, t in hot) == 64 and sum((t for _, t in hot), []) == list(range(900))
+    assert {len(r["tx_ids"]) for r in rows if r["dst"] != "hot"} == {1} and {r["chunk"] for r in rows if r["dst"] != "hot"} == {0}
