@@ -101,8 +101,14 @@ class Bucketed:
         self.close()
 
 
+#: Rows of a batch that Python workers get, where the session does not say otherwise: texts are long, and Spark's 10,000 of them fill a small executor.
+BATCH_KEY, BATCH_ROWS, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000, 10_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver found it: once for each Spark context."""
+    """Let the executors' Python import this package, wherever the driver found it, in batches that fit: once for each Spark context."""
+    if int(spark.conf.get(BATCH_KEY)) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tallyweft_shipped", False):
         return
