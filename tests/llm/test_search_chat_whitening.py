@@ -102,10 +102,10 @@ def plain_search(docs, items, top=50):
     df = Counter(t for _, c, _ in held for t in c)
     out = []
     for item, text in items:
-        scores = []
+        scores, asked = [], set(lowered(text))
         for i, c, n in held:
             s = 0
-            for t in set(lowered(text)):
+            for t in asked:
                 if c[t]:
                     s += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * (50 + 50 * n * n_docs // n_terms)))
             if s > 0:
