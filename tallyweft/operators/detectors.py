@@ -301,11 +301,12 @@ def attention_layer(nodes: DataFrame, edges: DataFrame, heads: Sequence[dict], l
     alpha = attention(nodes, edges, heads)
     moved = F.array(*[matvec(h["weight"], F.col("vec")) for h in heads])
     sent = alpha.join(nodes.select(F.col("id").alias("src"), moved.alias("m")), "src")
-    each = sent.select(F.col("dst").alias("id"), "alpha", F.posexplode(F.element_at("m", F.col("head") + 1)).alias("pos", "x"))
-    summed = each.groupBy("id", "pos").agg((F.sum(F.col("alpha") * F.col("x")) / len(heads)).alias("x"))
-    value = F.col("x") if last else F.when(F.col("x") > 0, F.col("x")).otherwise(F.exp("x") - 1)
-    vec = summed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda s: s["v"]).alias("new"))
     width = len(heads[0]["weight"])
+    own = F.element_at("m", F.col("head") + 1)
+    # element-wise sums in one row from a task's partial sums on
+    total = F.array(*[F.sum(F.col("alpha") * F.get("x", i)) / len(heads) for i in range(width)])
+    summed = sent.select(F.col("dst").alias("id"), "alpha", own.alias("x")).groupBy("id").agg(total.alias("new"))
+    vec = summed.select("id", ("new" if last else F.transform("new", lambda x: F.when(x > 0, x).otherwise(F.exp(x) - 1)).alias("new")))
     return nodes.join(vec, "id", "left").select("id", F.coalesce("new", _lit([0.0] * width)).alias("vec"))
 
 

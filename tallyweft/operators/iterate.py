@@ -77,41 +77,60 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 # --- strongly connected components ------------------------------------------------------------
 
 
-def _simple(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, number) of the ends of edges other than loops, numbered in an order that has nothing to do with the graph, and the distinct edges between the numbers."""
+def _peeled(pairs: DataFrame, layers: int = 2) -> DataFrame:
+    """Without the edges of vertices that have no way in or no way out, some layers of them."""
+    for _ in range(layers):
+        sources, sinks = pairs.select(F.col("src").alias("x")).distinct(), pairs.select(F.col("dst").alias("x")).distinct()
+        pairs = pairs.join(sinks, pairs["src"] == sinks["x"], "left_semi").join(sources, pairs["dst"] == sources["x"], "left_semi")
+    return pairs
+
+
+def _counted(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows, written, and their number."""
+    rows, (n,) = cut_with(pairs, name, F.count(F.lit(1)))
+    return rows, n
+
+
+def _simple(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(id, number) of the ends of edges other than loops, numbered in an order that has nothing to do with the graph, and the distinct edges between the numbers with their count."""
     pairs = edges.where("src <> dst").select("src", "dst").distinct()
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_h", F.struct(F.xxhash64("id"), "id"))
     names = cut(numbered_in_order(ids, "_h", "number").select("id", "number"), "numbers")
     at = lambda c: names.select(F.col("id").alias(c), F.col("number").alias(f"{c}_n"))
-    return names, cut(pairs.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")), "simple")
+    return names, *_counted(pairs.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")), "simple")
 
 
-def _shortened(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs with chains drawn together, and (id, first, last): the vertices gone and the ends that took their place.
+def _chained(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, first, last) of the vertices on chains that can go, and their number.
 
     A vertex with one edge in and one out lies on a chain.  Those that are not
     the highest of their neighbours on it go, so no cycle goes altogether, and
-    runs of them are short.  A vertex that has gone is of its ends' component
-    if both ends are of one, and else on no cycle.
+    runs of them are short.
     """
     out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("last"))
     into = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("first"))
     inner = out.where("n_out = 1").join(into.where("n_in = 1"), F.col("src") == F.col("dst")).select(F.col("src").alias("id"), "first", "last")
-    gone = cut(inner.where(~((F.col("id") > F.col("first")) & (F.col("id") > F.col("last")))), "chain")
-    heads = gone
-    while True:  # runs double in length; a run ends at a vertex that stays
+    return _counted(inner.where(~((F.col("id") > F.col("first")) & (F.col("id") > F.col("last")))), "chain")
+
+
+def _shortened(pairs: DataFrame, heads: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """The pairs with chains drawn together and their number, and (id, first, last): the vertices gone and the ends that took their place.
+
+    A vertex that has gone is of its ends' component if both ends are of one,
+    and else on no cycle.
+    """
+    gone, left = heads, 1
+    while left:  # runs double in length; a run ends at a vertex that stays
         far = gone.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.lit(1).alias("_on"))
         back = gone.select(F.col("id").alias("first"), F.col("first").alias("_first"), F.lit(1).alias("_off"))
         step = gone.join(far, "last", "left").join(back, "first", "left")
-        gone, seen = cut_with(step.select("id", F.coalesce("_first", "first").alias("first"), F.coalesce("_last", "last").alias("last"), F.coalesce("_on", "_off").alias("_on")), "chain", F.count("_on"))
+        gone, (left,) = cut_with(step.select("id", F.coalesce("_first", "first").alias("first"), F.coalesce("_last", "last").alias("last"), F.coalesce("_on", "_off").alias("_on")), "chain", F.count("_on"))
         gone = gone.drop("_on")
-        if not seen[0]:
-            break
     x = gone.select(F.col("id").alias("x"))
     kept = pairs.join(x, pairs["src"] == x["x"], "left_anti").join(x, pairs["dst"] == x["x"], "left_anti")
     # each run is one edge: that of its first vertex
     whole = heads.select("id", F.col("first").alias("_direct")).join(gone, "id").where("_direct = first and first <> last").select(F.col("first").alias("src"), F.col("last").alias("dst"))
-    return cut(kept.unionByName(whole).distinct(), "shortened"), gone
+    return *_counted(kept.unionByName(whole).distinct(), "shortened"), gone
 
 
 def _highest(pairs: DataFrame, jumps: int = 2) -> DataFrame:
@@ -136,19 +155,11 @@ def _highest(pairs: DataFrame, jumps: int = 2) -> DataFrame:
     return tops.groupBy("id").agg(F.max(F.when(F.col("way") == 0, F.col("top"))).alias("top"), F.max(F.when(F.col("way") == 1, F.col("top"))).alias("low"))
 
 
-def _peeled(pairs: DataFrame, layers: int = 2) -> DataFrame:
-    """Without the edges of vertices that have no way in or no way out, some layers of them."""
-    for _ in range(layers):
-        sources, sinks = pairs.select(F.col("src").alias("x")).distinct(), pairs.select(F.col("dst").alias("x")).distinct()
-        pairs = pairs.join(sinks, pairs["src"] == sinks["x"], "left_semi").join(sources, pairs["dst"] == sources["x"], "left_semi")
-    return pairs
-
-
 def strong_labels(edges: DataFrame, chains: float = 0.02) -> DataFrame:
     """(id, label) of the vertices that share a strong component with another vertex.
 
     Chains are drawn together first, as long as that takes a share of
-    ``chains`` of the vertices at least.  Then rounds: with the highest vertex
+    ``chains`` of the edges at least.  Then rounds: with the highest vertex
     that reaches each vertex and the highest it reaches, a vertex for which
     both are the same is of that one's component; edges between vertices that
     differ in either lie in no component, and go.  Each round splits what is
@@ -156,25 +167,22 @@ def strong_labels(edges: DataFrame, chains: float = 0.02) -> DataFrame:
     (Coppersmith et al. 2003, Schudy 2008), so rounds grow with the logarithm.
     """
     spark = edges.sparkSession
-    names, pairs = _simple(edges)
+    names, pairs, n = _simple(edges)
     levels = []
-    while not pairs.isEmpty():
-        before = pairs.count()
-        shorter, gone = _shortened(pairs)
-        n = gone.count()
-        if n:
-            levels.append(gone)
-            pairs = shorter
-        if n < chains * before:
+    while n:
+        heads, held = _chained(pairs)
+        if held < max(1, chains * n):
             break
+        pairs, n, gone = _shortened(pairs, heads)
+        levels.append(gone)
     found = spark.createDataFrame([], "id long, label long")
-    pairs = cut(_peeled(pairs), "inner")
-    while not pairs.isEmpty():
+    pairs, n = _counted(_peeled(pairs), "inner")
+    while n:
         both = cut(_highest(pairs), "both")
         found = found.unionByName(both.where("top = low").select("id", F.col("top").alias("label")))
         rest = both.where("top <> low")
         at = lambda c, rest=rest: rest.select(F.col("id").alias(c), F.col("top").alias(f"{c}_top"), F.col("low").alias(f"{c}_low"))
-        pairs = cut(_peeled(pairs.join(at("src"), "src").join(at("dst"), "dst").where("src_top = dst_top and src_low = dst_low").select("src", "dst")), "inner")
+        pairs, n = _counted(_peeled(pairs.join(at("src"), "src").join(at("dst"), "dst").where("src_top = dst_top and src_low = dst_low").select("src", "dst")), "inner")
     for gone in reversed(levels):
         first, last = (found.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("first", "last"))
         ends = gone.join(first, "first", "left").join(last, "last", "left")

@@ -171,9 +171,14 @@ def validate(data: CanonicalDataset) -> CanonicalDataset:
     return data
 
 
+def shared_ids(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
+    """The ids that are on both sides."""
+    return train.select(key).intersect(held_out.select(key))
+
+
 def assert_disjoint(train: DataFrame, held_out: DataFrame, key: str) -> None:
     """Raise if an id is on both sides; the message lists the first five."""
-    both = [r[key] for r in train.select(key).intersect(held_out.select(key)).orderBy(key).limit(5).collect()]
+    both = [r[key] for r in shared_ids(train, held_out, key).orderBy(key).limit(5).collect()]
     if both:
         raise ValueError(f"training and held-out ids overlap: {both}")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweft.functions.scalar import md5_mod
 from tallyweft.model import CanonicalDataset, empty
-from tallyweft.operators import audit, boundary, commits, explain, features, federated, graph, iterate, metrics, serving, split, validate
+from tallyweft.operators import audit, boundary, commits, detectors, explain, features, federated, graph, iterate, metrics, serving, split, validate
 from tallyweft.sources import bindings as B
 from tallyweft.sources.adapters import adapter
 from tallyweft.storage import cut, scratch_path
@@ -491,11 +491,13 @@ def feature_matrix(spark, d):
     return features.feature_matrix(v.withColumnRenamed("id", "account_id"), stats, fan, time)
 
 
-@query(FOLDS + " SELECT entity_id FROM folds WHERE fold = 'train' AND entity_id IN (SELECT entity_id FROM folds WHERE fold = 'test')")
+@query("SELECT a.entity_id FROM (" + FOLDS + " SELECT entity_id FROM folds WHERE fold = 'train') a JOIN (" + FOLDS.replace("ORDER BY timestamp, entity_id", "ORDER BY md5('42:' || entity_id), entity_id") + " SELECT entity_id FROM folds WHERE fold = 'test') b USING (entity_id)")
 def leakage_check(spark, d):
-    f = split.temporal_split(_entities(spark, d))
-    validate.assert_disjoint(f.where("fold = 'train'"), f.where("fold = 'test'"), "entity_id")
-    return f.where("fold = 'train'").select("entity_id").intersect(f.where("fold = 'test'").select("entity_id"))
+    """What would leak if one split's training fold met another's test fold; a split's own folds raise nothing."""
+    e = cut(_entities(spark, d), "entities")
+    own, other = split.temporal_split(e), split.hash_split(e)
+    validate.assert_disjoint(own.where("fold = 'train'"), own.where("fold = 'test'"), "entity_id")
+    return validate.shared_ids(own.where("fold = 'train'"), other.where("fold = 'test'"), "entity_id")
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -1060,6 +1062,67 @@ def ingest_batches(spark, d):
     return store.read("transactions").select(F.col("tx_id").alias("id"), F.lit("transaction").alias("kind")).unionByName(store.read("accounts").select(F.col("account_id").alias("id"), F.col("bank_id").alias("kind")))
 
 
+# --- entities, exports, layers ----------------------------------------------------------------
+
+
+@query(T + f""" SELECT tx_id AS entity_id, 'tx' AS entity_type, label, strftime(ts, {ISO}) AS timestamp, institution_src AS institution_id FROM tx
+UNION ALL SELECT account_id, 'account', CASE WHEN acctbal < 0 THEN 'fraud' ELSE 'not_fraud' END, strftime(opened_at, {ISO}), institution_id FROM accounts WHERE acctbal IS NOT NULL UNION ALL SELECT 'unknown', 'tx', 'laundering', NULL, NULL""")
+def entity_frame(spark, d):
+    """Labelled transfers and accounts with their times and institutions; one label has no transfer."""
+    accounts = B.trade_accounts(spark, d)
+    balance = F.get_json_object("attributes", "$.acctbal").cast("double")
+    own = accounts.where(balance.isNotNull()).select(F.col("account_id").alias("entity_id"), F.lit("account").alias("entity_type"), F.when(balance < 0, "fraud").otherwise("not_fraud").alias("label"), F.lit("rule").alias("label_source"))
+    labels = canonical_labels(spark, d).unionByName(own).unionByName(spark.sql("SELECT 'unknown' AS entity_id, 'tx' AS entity_type, 'laundering' AS label, 'rule' AS label_source"))
+    return split.entity_frame(labels, B.trade_transactions(spark, d), accounts).withColumn("timestamp", iso("timestamp"))
+
+
+@query(E + """, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS node FROM v) SELECT a.node AS src, b.node AS dst, count(*) AS n, round(sum(coalesce(amount, 0)), 2) AS amount FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst GROUP BY ALL""")
+def graph_export(spark, d):
+    e = B.event_edges(spark, d)
+    _, flat = graph.dense_export(B.vertices_of(e), e)
+    return flat.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("edge_attr"), 2).alias("amount"))
+
+
+@query(R + """, ce AS (SELECT DISTINCT channel, dayofyear(ts) AS day, src, dst FROM h), r AS (SELECT * FROM ce UNION SELECT r.channel, r.day, r.src, c.dst FROM r JOIN ce c ON c.channel = r.channel AND c.day = r.day AND c.src = r.dst)
+SELECT channel, day, bool_or(src = dst) AS has_cycle FROM r GROUP BY ALL""")
+def cycle_existence(spark, d):
+    """Whether the transfers of a channel on a day hold a cycle, for all of them in one search: vertices are told apart by channel and day."""
+    h = cut(B.labelled_edges(spark, d).withColumn("day", F.dayofyear("ts").cast("long")), "days")
+    at = lambda c: F.concat_ws(":", "channel", F.col("day").cast("string"), F.col(c).cast("string")).alias(c)
+    on = iterate.strong_labels(h.select(at("src"), at("dst"))).select(F.split("id", ":").alias("p"))
+    found = on.select(F.col("p")[0].alias("channel"), F.col("p")[1].cast("long").alias("day")).unionByName(h.where("src = dst").select("channel", "day")).distinct()
+    every = h.select("channel", "day").distinct()
+    return every.join(found.withColumn("has_cycle", F.lit(True)), ["channel", "day"], "left").na.fill(False, ["has_cycle"])
+
+
+ATTENTION_HEADS = [
+    {"weight": [[0.5, -0.3, 0.2], [0.1, 0.4, -0.6]], "source": [0.7, -0.2], "target": [0.3, 0.5], "edge": [0.4, -0.1], "edge_weight": [[0.2, 0.3], [-0.5, 0.6]]},
+    {"weight": [[-0.2, 0.6, 0.1], [0.3, 0.3, 0.3]], "source": [-0.4, 0.8], "target": [0.1, 0.2], "edge": [0.9, 0.2], "edge_weight": [[0.1, -0.7], [0.4, 0.2]]},
+]
+TIME_WEIGHT, TIME_BIAS = [0.8, 3.0], [0.1, -0.2]
+
+
+def _attention_sql() -> str:
+    dot = lambda w, x: "(" + " + ".join(f"{a}::DOUBLE * {b}" for a, b in zip(w, x, strict=True)) + ")"
+    moved = lambda h, side: [dot(row, [f"{side}{i}" for i in range(3)]) for row in h["weight"]]
+    at = lambda h: f"{dot(h['source'], moved(h, 's'))} + {dot(h['target'], moved(h, 't'))} + {dot(h['edge'], [dot(r, ['t_a', 't_b']) for r in h['edge_weight']])}"
+    heads = " UNION ALL ".join(f"SELECT {k} AS head, tx_id, src, dst, {at(h)} AS raw, {moved(h, 's')[0]} AS m0, {moved(h, 's')[1]} AS m1 FROM ends" for k, h in enumerate(ATTENTION_HEADS))
+    return E + f""", nd AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2 FROM embeddings), lim AS (SELECT max(epoch_us(ts)) // 1000000 AS top, min(epoch_us(ts)) // 1000000 AS low FROM e),
+rc AS (SELECT tx_id, src, dst, (top - epoch_us(ts) // 1000000) / greatest(top - low, 1.0::DOUBLE) AS rec FROM e, lim),
+ends AS (SELECT tx_id, src, dst, rec * 0.8::DOUBLE + 0.1::DOUBLE AS t_a, sin(rec * 3.0::DOUBLE - 0.2::DOUBLE) AS t_b, a.x0 AS s0, a.x1 AS s1, a.x2 AS s2, b.x0 AS t0, b.x1 AS t1, b.x2 AS t2 FROM rc JOIN nd a ON a.id = src JOIN nd b ON b.id = dst),
+lg AS ({heads}), sm AS (SELECT *, exp(CASE WHEN raw > 0 THEN raw ELSE raw * 0.2 END) AS w FROM lg), al AS (SELECT *, w / sum(w) OVER (PARTITION BY dst, head) AS alpha FROM sm),
+su AS (SELECT dst AS id, sum(alpha * m0) / 2 AS a, sum(alpha * m1) / 2 AS b FROM al GROUP BY 1)
+SELECT nd.id, round(coalesce(CASE WHEN a > 0 THEN a ELSE exp(a) - 1 END, 0), 6) AS a, round(coalesce(CASE WHEN b > 0 THEN b ELSE exp(b) - 1 END, 0), 6) AS b FROM nd LEFT JOIN su USING (id)"""
+
+
+@query(_attention_sql())
+def attention_layer(spark, d):
+    n = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("vec"))
+    e = B.event_edges(spark, d).select("tx_id", "src", "dst", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("edge_time"))
+    out = detectors.attention_layer(n, detectors.time_encoded(e, TIME_WEIGHT, TIME_BIAS), ATTENTION_HEADS)
+    return rounded(out.select("id", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b")), "a", "b")
+
+
 # --- raw files --------------------------------------------------------------------------------
 
 
