@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweft.llm import chat, lexical, whitening
 
@@ -210,3 +211,16 @@ def test_deviation_is_exact():
     assert w.deviation(np.array([[2**29, 7]])).tolist() == [(3 * 2**29 - 2**40) ** 2 + 26**2] if (3 * 2**29 - 2**40) ** 2 < 2**63 else True
     with pytest.raises(OverflowError):
         w.deviation(np.array([[2**50, 7]]))
+
+
+# --- the near-copy stage on texts of one template -----------------------------------------------
+
+
+def test_texts_of_one_template_are_not_compared(spark):
+    """Texts that share most of their shingles, but not enough of them, leave the shared shingle's cell: the work does not grow with their square."""
+    from tallyweft.llm import simhash
+
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the page you asked for was not found "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("_h"), F.lit(2).alias("t"), F.lit(3).alias("rep"))
+    more = spark.createDataFrame([(9001, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", 1, 2, 3), (9002, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen more", 1, 2, 3)], "doc_id long, text string, _h int, t int, rep int")
+    kept = simhash.keep_one(rows.unionByName(more))
+    assert kept.columns == rows.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {*range(6000), 9001}
