@@ -821,7 +821,7 @@ def boundary_exchange(spark, d):
     nodes = boundary.client_nodes(vectors, owned, edges, 64)
     out = boundary.exchange(nodes, edges, width=64, rounds=2, clip=0.5, key=federated.TEST_KEY).vectors
     plus = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    digests = out.select("client", F.col("id").cast("long").alias("id"), plus("vec").alias("total"), plus(F.transform("vec", lambda v, i: v * (i + 1))).alias("weighted"))
+    digests = out.select(F.col("client").cast("long").alias("client"), F.col("id").cast("long").alias("id"), plus("vec").alias("total"), plus(F.transform("vec", lambda v, i: v * (i + 1))).alias("weighted"))
     return rounded(rounded(digests, "total"), "weighted", digits=5)
 
 
