@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tallyweft.llm.shared import cut
 
-#: Bounds of the labelled sample: rows of each kind, and windows of a row (of longer texts, windows at even distances).
-TOXIC_ROWS, ORDINARY_ROWS, WINDOWS = 2000, 4000, 2000
+#: Bounds of the labelled sample: rows of each kind.
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 #: Words of a window; bytes of the shared ordinary dictionary and of each dictionary's own part; lines that train each, and times as many tried for the ordinary part.
 SPAN, SHARED, OWN, LINES, HARD = 2, 16_384, 1_024, 40_000, 5
 #: A distinctive word: in so many toxic documents (of few, a thirtieth, 3 at least), and so much rarer in ordinary ones; each document is covered so often.
@@ -43,6 +43,8 @@ STEMS = (4, 5, 6)
 #: Gains are counted from 1 to HIGH, losses up to LOW.
 LOW, HIGH = 6, 10
 FOLDS = 5
+#: The part of the training sample that is all of it.
+WHOLE = -1
 
 
 def fold(doc_id: Column) -> Column:
@@ -210,43 +212,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
     return mean, scale, w
 
 
-def thinned(text: str | None) -> str:
-    """The text's words; of a text of more windows than WINDOWS, so many windows at even distances over its whole length."""
-    w = words(text)
-    n = -(-len(w) // SPAN)
-    if n <= WINDOWS:
-        return " ".join(w)
-    starts = [i * n // WINDOWS * SPAN for i in range(WINDOWS)]
-    return " ".join(x for at in starts for x in w[at : at + SPAN])
-
-
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
     The sample is chosen by a hash of the id, TOXIC_ROWS and ORDINARY_ROWS at
-    most: its ids are few, so they are broadcast and no text is shuffled.
-    Null labels are no labels.  Its two halves calibrate each other's
-    dictionaries, on the executors; with labels of one kind only, the score is
+    most, of whole texts: its ids are few, so they are broadcast and only its
+    texts are shuffled.  Null labels are no labels.  Three tasks train one pair
+    of dictionaries each, on all rows and on either half; the halves calibrate
+    each other's, on the executors.  With labels of one kind only, the score is
     that label.
     """
     known = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     order = F.xxhash64("_id")
     chosen = known.where("_y = 1").orderBy(order).limit(TOXIC_ROWS).unionByName(known.where("_y = 0").orderBy(order).limit(ORDINARY_ROWS))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    thin = F.pandas_udf(lambda s: s.map(thinned), "string")
     half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int")
-    sample = cut(texts.join(F.broadcast(chosen), "_id").select("_id", thin("_text").alias("_text"), F.col("_y").cast("int").alias("_y"), half.alias("_half")), "labelled")
-    rows = sorted((r["_id"], r["_text"], r["_y"], r["_half"]) for r in sample.collect())
+    sample = cut(texts.join(F.broadcast(chosen), "_id").select("_id", F.coalesce("_text", F.lit("")).alias("_text"), F.col("_y").cast("int").alias("_y"), half.alias("_half")), "labelled")
+    kinds = sorted(r["_y"] for r in sample.select("_y").distinct().collect())
     none = np.zeros(0)
-    if len({y for _, _, y, _ in rows}) < 2:
-        return Model(None, none, none, none, float(rows[0][2]) if rows else 0.0)
-
-    def of(halves: tuple[int, ...]) -> Pair | None:
-        kinds = [list(dict.fromkeys(t for _, t, y, h in rows if y == kind and h in halves)) for kind in (1, 0)]
-        return dictionaries(*kinds) if all(kinds) else None
-
-    whole = of((0, 1))
-    other = [of((1,)) or whole, of((0,)) or whole]
+    if len(kinds) < 2:
+        return Model(None, none, none, none, float(kinds[0]) if kinds else 0.0)
+
+    # part WHOLE has all rows, parts 0 and 1 those of either half; a task for each
+    def trained(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_id", "_text"])
+        toxic, ordinary = (list(dict.fromkeys(frame["_text"][frame["_y"] == kind])) for kind in (1, 0))
+        if not (toxic and ordinary):
+            return pd.DataFrame({"part": [], "ordinary": [], "toxic": [], "pad": []})
+        pair = dictionaries(toxic, ordinary)
+        return pd.DataFrame({"part": [frame["_part"].iloc[0]], "ordinary": [pair.ordinary], "toxic": [pair.toxic], "pad": [pair.pad]})
+
+    parts = sample.select("*", F.explode(F.array(F.lit(WHOLE), "_half")).alias("_part")).repartition(64, "_part")
+    made = parts.groupBy("_part").applyInPandas(trained, "part int, ordinary binary, toxic binary, pad binary").collect()
+    pairs = {r["part"]: Pair(bytes(r["ordinary"]), bytes(r["toxic"]), bytes(r["pad"])) for r in made}
+    whole = pairs[WHOLE]
+    other = [pairs.get(1, whole), pairs.get(0, whole)]
 
     def calibrated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

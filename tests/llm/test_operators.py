@@ -329,12 +329,16 @@ def test_toxicity_against_plain_lengths(spark, toxic):
         assert r["s"] == pytest.approx(1 / (1 + math.exp(-t)), abs=1e-9)
 
 
-def test_toxicity_samples_whole_texts():
-    """A long text is thinned over its whole length, not cut."""
-    long = " ".join(f"w{'abcdefghij'[i % 10]}{'k' * (i // 5000)}" for i in range(50_000))
-    thin = toxicity.thinned(long).split()
-    assert len(thin) == toxicity.WINDOWS * toxicity.SPAN and thin[-1].endswith("k" * 9)
-    assert toxicity.thinned("One, two!") == "one two" and toxicity.thinned(None) == ""
+def test_toxicity_trains_on_whole_texts(spark):
+    """Words that stand only at the end of long texts are what the toxic dictionary saves bytes on."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["an", "er", "to", "in", "sa", "lo", "me"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    bad = ["grobnik", "vilesty", "scornax"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(6000 if i % 4 == 0 else 60)) + (f" {bad[i % 3]} {rng.choice(words)}" if i % 4 == 0 else "")) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    assert all(model.pair.gain(f" {w} an ".encode()) >= 2 for w in bad)
+    assert len(model.pair.gains(texts[0][1])) == -(-6002 // toxicity.SPAN)
 
 
 def test_toxicity_odd(spark, odd, toxic):
