@@ -2,9 +2,10 @@
 
 A batch's texts fall into chunks, white-space marks followed by other
 characters up to the line's end, which no piece of the model crosses.  The new distinct chunks of a
-batch are concatenated and indexed by a suffix array, as deep as the longest
-piece.  A binary search of every piece in it gives the range of its
-occurrences; these are the edges of the batch's lattice.  The edges are sorted
+batch are concatenated and indexed by a suffix array over the first eight
+characters of each suffix (four, if the batch has over 255 different ones).  A
+binary search of every piece in it gives the range of its occurrences, within
+which the rest of longer pieces is compared; these are the edges of the batch's lattice.  The edges are sorted
 by position and relaxed: a merge is open while its ends still are boundaries
 and exactly one boundary lies between them, and each round every chunk takes
 its open merge of the best score, the leftmost of equals.  That is the order
@@ -12,8 +13,9 @@ in which the library's queue merges, so the pieces are the library's.
 Characters outside the vocabulary become bytes.
 
 A chunk's ids are kept in a bounded table of two generations, since chunks
-recur; chunks longer
-than LONG characters take a queue instead of rounds.
+recur.  Chunks of more than LONG characters (text without spaces) are matched
+by a suffix array of their own; as rounds take one merge of a chunk each, their
+edges are relaxed by a queue, in the same order.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks whose ids a worker keeps, characters of text encoded at once, of new chunks in a suffix array, and of a chunk that takes rounds.
+#: Chunks whose ids a worker keeps, characters of text encoded at once, of new chunks in a suffix array, and of a chunk whose edges are relaxed in rounds.
 KEPT, BLOCK, MATCHED, LONG = 320_000, 1_500_000, 200_000, 256
 #: Characters of the longest piece.
 LONGEST = 16
@@ -49,6 +51,44 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size), of
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7)
+        size = varint() if size is None else size
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+def check_model(proto: bytes) -> None:
+    """Raises unless the model is a BPE of the kind that chunks can be encoded apart: no normalizer, a space in front, spaces kept and escaped, byte pieces.
+
+    Fixed values: fields of the public model format, its trainer settings (2:
+    type 3, spaces behind words 24, bytes 35) and normalizer settings (3: table of characters 2, space
+    in front 3, spaces removed 4, spaces escaped 5), and type 2 for BPE.
+    """
+    parts = {k: dict(_fields(v)) for k, v in _fields(proto) if k in (2, 3)}
+    trainer, normal = parts.get(2, {}), parts.get(3, {})
+    kept = normal.get(3, 1) == 1 and normal.get(4, 1) == 0 and normal.get(5, 1) == 1
+    if trainer.get(3, 1) != 2 or trainer.get(24, 0) or trainer.get(35, 0) != 1 or normal.get(2, b"") or not kept:
+        raise ValueError("the model is no BPE with byte pieces that leaves characters and spaces as they are")
+
+
 class Pieces:
     """A model's vocabulary, its suffix-array matcher and the table of chunks."""
 
@@ -56,6 +96,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_model(model.serialized_model_proto())
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
         self.byte = np.zeros(256, np.int32)
@@ -95,7 +136,6 @@ class Pieces:
         self.whole_lines = any("\n" in name for name in self.ids)
         self.known: dict[str, tuple[int, ...]] = {}
         self.former: dict[str, tuple[int, ...]] = {}
-        self.place_of = dict(zip((name for name, _ in many), self.place.tolist(), strict=True))
 
     # --- suffix array -------------------------------------------------------------------------
 
@@ -195,31 +235,35 @@ class Pieces:
         return tuple(out)
 
     def queued(self, chunk: str) -> tuple[int, ...]:
-        """A long chunk's ids by a queue of merges, in n log n steps."""
-        part = list(chunk)
-        after, prior = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        queue: list[tuple[int, int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(part) and (place := self.place_of.get(part[i] + part[j])) is not None:
-                heapq.heappush(queue, (place, i, j, part[i] + part[j]))
-
-        for i in range(len(part) - 1):
-            offer(i, i + 1)
+        """A long chunk's ids: its edges as matched by the suffix array, relaxed by a queue in n log n steps."""
+        code = np.minimum(np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32), len(self.symbol) - 1)
+        start, piece = self.occurrences(self.symbol[code])
+        edges = dict(zip(zip(start.tolist(), (start + self.length[piece]).tolist(), strict=True), zip(self.place[piece].tolist(), self.many[piece].tolist(), strict=True), strict=True))
+        n = len(chunk)
+        # of the token that starts at a place: its end and id; of the one that ends there: its start
+        stop, ids, begin = list(range(1, n + 1)), self.single[code].tolist(), list(range(-1, n))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int, middle: int, b: int) -> None:
+            if (edge := edges.get((a, b))) is not None:
+                heapq.heappush(queue, (edge[0], a, middle, b))
+
+        for a in range(n - 1):
+            offer(a, a + 1, a + 2)
         while queue:
-            _, i, j, name = heapq.heappop(queue)
-            if not part[i] or not part[j] or part[i] + part[j] != name or after[i] != j:
+            _, a, middle, b = heapq.heappop(queue)
+            if stop[a] != middle or stop[middle] != b:
                 continue
-            part[i], part[j], after[i] = name, "", after[j]
-            if after[j] < len(part):
-                prior[after[j]] = i
-            offer(prior[i], i)
-            offer(i, after[i])
+            stop[a], begin[b], ids[a], stop[middle] = b, a, edges[a, b][1], -1
+            if a:
+                offer(begin[a], a, b)
+            if b < n:
+                offer(a, b, stop[b])
         out: list[int] = []
-        for p in part:
-            if p:
-                i = self.ids.get(p)
-                out += [i] if i is not None else self.byte[list(p.encode("utf-8", "replace"))].tolist()
+        a = 0
+        while a < n:
+            out += [ids[a]] if ids[a] >= 0 else self.byte[list(chunk[a].encode("utf-8", "replace"))].tolist()
+            a = stop[a]
         return tuple(out)
 
     # --- texts --------------------------------------------------------------------------------
@@ -327,7 +371,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     One narrow pass.  Null and empty texts have no ids, repeated rows repeat,
     other columns are not read, an empty table gives an empty result.  A mark
-    character in a text encodes as the library has it, like a space.
+    character in a text encodes as the library has it, like a space.  A text
+    of any length is encoded whole; a worker holds one block of texts at a time,
+    and the matches of one long chunk.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(_encoder(path or default_model(), check), "doc_id long, n_tokens long, token_ids array<int>" + ", restored boolean" * check)

@@ -273,6 +273,32 @@ def test_sentencepiece_frames(spark, odd, library):
     assert sentencepiece_sa.encode(odd.limit(0)).count() == 0
 
 
+def test_sentencepiece_long_chunks(pieces, library):
+    """Text without spaces: edges from the suffix array, relaxed by the queue."""
+    rng = random.Random(4)
+    words = ["the", "compression", "token", "r\u00e9eux", "\u6f22\u5b57", "\U0001f600", "aaaa", "n\n", "42."]
+    texts = ["".join(rng.choice(words) for _ in range(n)) for n in (60, 100, 700, 5000)] + ["a" * 1001, "\u6f22" * 900, "x\n" * 300]
+    assert any(len(c) > sentencepiece_sa.LONG for t in texts for c in pieces.chunks(t))
+    assert pieces.encode(texts) == [library.encode(t) for t in texts]
+
+
+def test_sentencepiece_refuses_other_models(library):
+    def message(fields):
+        return b"".join(bytes([number << 3 & 127 | 128, number >> 4, value]) for number, value in fields)
+
+    def model(trainer, normal):
+        return b"".join(bytes([number << 3 | 2, len(part)]) + part for number, part in ((2, trainer), (3, normal)))
+
+    sentencepiece_sa.check_model(library.serialized_model_proto())
+    bpe, plain = [(3, 2), (35, 1)], [(4, 0)]
+    sentencepiece_sa.check_model(model(message(bpe), message(plain)))
+    for trainer, normal in (([(3, 1), (35, 1)], plain), ([(3, 2)], plain), ([*bpe, (24, 1)], plain), (bpe, [(4, 1)]), (bpe, [(3, 0), (4, 0)]), (bpe, [(4, 0), (5, 0)])):
+        with pytest.raises(ValueError):
+            sentencepiece_sa.check_model(model(message(trainer), message(normal)))
+    with pytest.raises(ValueError):
+        sentencepiece_sa.check_model(model(message(bpe), message(plain) + bytes([2 << 3 | 2, 1, 65])))
+
+
 # --- 4 toxicity -------------------------------------------------------------------------------
 
 
