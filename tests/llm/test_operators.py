@@ -86,6 +86,22 @@ def test_ann_recall_and_ties(spark):
     assert [got[0][k][0] for k in range(1, 21)] == [w[0] for w in want[0]]  # equal vectors: by id
 
 
+def test_ann_queries_elsewhere(spark):
+    """Rows lie in tight clusters, the queries do not: what rows need is not what queries need."""
+    rng, n = np.random.default_rng(3), 6000
+    x = rng.normal(size=(n, 64))
+    asked = np.arange(n) % 20 == 0
+    x = (rng.normal(size=(40, 64))[rng.integers(40, size=n)] + 0.1 * x).astype(np.float32)
+    x[asked] = rng.normal(size=(asked.sum(), 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(x.astype(float), np.arange(n))
+    hits = sum(len(got[q] & {w[0] for w in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+
+
 def test_ann_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (None, [1.0, 1.0]), (40, [1.0]), (60, None)]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
