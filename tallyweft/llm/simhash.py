@@ -306,6 +306,31 @@ def _grams(words: int):
     return run
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the shingles in as many bits as there are shingles, rounded up to a power of two, 64 at least.
+
+    A shingle of one text only flips one bit, so two sketches never differ in
+    more bits than the texts have shingles apart.  Halves of a sketch, taken
+    together by exclusive or, are the sketch of half the bits.
+    """
+    m = max(64, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketcher(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = [], []
+            for text in batch.column(1):
+                grams = shingles(text.as_py(), words)
+                n.append(len(grams))
+                bits.append(sketch(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["t", "n", "bits"])
+
+    return run
+
+
 def _prefixes(words: int, similarity: float, names: np.ndarray, often: np.ndarray, hot: int):
     """Rows (kind, h, t, n, at) of each text's prefix: of its n shingles, by the sample's count and
     hash, the first that two texts of the similarity cannot both lack; kind is 1 if the count is above ``hot``."""
@@ -330,12 +355,14 @@ def _prefixes(words: int, similarity: float, names: np.ndarray, often: np.ndarra
     return run
 
 
-def _pairer(similarity: float, most: int):
-    """Streams rows sorted by (kind, h): pairs of cells of at most ``most`` texts as (0, u, v, 0, 0), rows of other cells as (1, h, t, n, rest).
+def _meetings(similarity: float, most: int):
+    """Streams rows (kind, h, t, n, at) sorted by (kind, h): the texts that meet in cells of at most ``most`` as (0, cell, t, 0, 0), rows of other cells as (1, h, t, n, rest).
 
-    A pair is left out where the rest of either text is too short for the
-    similarity if this is the first shingle the two share; it then has an
-    earlier one, or is not of that similarity.
+    A text meets no other where its rest, or every other's, is too short for
+    the similarity if this is the first shingle the two share; they then have
+    an earlier one, or are not of that similarity.  A cell is named by its
+    texts and not by the shingle, so that the many shingles which near copies
+    share give one cell.  There is a row for each text, not for each pair.
     """
 
     def out(kind, a, b, n=None, rest=None):
@@ -351,16 +378,22 @@ def _pairer(similarity: float, most: int):
             yield out(1, rows[over, 1], rows[over, 2], rows[over, 3], rows[over, 3] - rows[over, 4])
             rows, cell = rows[~over], cell[~over]
         t, n, rest = rows[:, 2], rows[:, 3], rows[:, 3] - rows[:, 4]
+        meets = np.zeros(len(rows), bool)
         at, step = np.arange(len(rows) - 1), 1
         while len(at):
             at = at[cell[at] == cell[at + step]]
-            other = at + step
-            good = np.minimum(rest[at], rest[other]) * (1 + similarity) >= similarity * (n[at] + n[other]) - 1e-6
-            a, b = t[at[good]], t[other[good]]
-            if len(a):
-                yield out(0, np.minimum(a, b), np.maximum(a, b))
+            good = at[np.minimum(rest[at], rest[at + step]) * (1 + similarity) >= similarity * (n[at] + n[at + step]) - 1e-6]
+            meets[good] = meets[good + step] = True
             step += 1
             at = at[at + step < len(rows)]
+        if meets.any():
+            t, cell = t[meets], cell[meets]
+            mixed = t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            names = np.add.reduceat(mixed, starts).view(np.int64)
+            yield out(0, np.repeat(names, np.diff(np.append(starts, len(t)))), t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -398,6 +431,59 @@ def _alike(similarity: float):
     return run
 
 
+def _face(rows: list[tuple[int, int, int, int]], similarity: float) -> dict[int, tuple[float, int]]:
+    """Of rows (n, t, label, sketch) those whose sketch allows a partner of another label: t, and how far off (of both lengths) and which the nearest is."""
+    rows, share, found = sorted(rows), (1 - similarity) / (1 + similarity), {}
+    sizes = [max(64, 1 << (row[0] - 1).bit_length()) for row in rows]
+    for i, (n, t, label, bits) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            long, other, apart, y = rows[j]
+            if long * similarity > n + 1e-6:
+                break
+            if label == apart:
+                continue
+            m = sizes[j]
+            while m > sizes[i]:
+                m //= 2
+                y = (y ^ (y >> m)) & ((1 << m) - 1)
+            differ = (bits ^ y).bit_count()
+            if differ <= share * (n + long) + 1e-6:
+                off = differ / (n + long)
+                found[t] = min(found.get(t, (2.0, 0)), (off, other))
+                found[other] = min(found.get(other, (2.0, 0)), (off, t))
+    return found
+
+
+def _facing(similarity: float):
+    """Streams rows (block, t, label, n, bits) sorted by block: (block, t, label, u) of each text that, by the sketches, can have a partner of another label there, and the nearest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        made: list[tuple] = []
+
+        def done() -> None:
+            if len({r[2] for r in rows}) > 1:
+                label = {r[1]: r[2] for r in rows}
+                found = _face([(r[3], r[1], r[2], int.from_bytes(r[4], "little")) for r in rows], similarity)
+                made.extend((rows[0][0], t, label[t], u) for t, (_, u) in found.items())
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 4)], names=["block", "t", "label", "u"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    done()
+                    rows = []
+                rows.append(row)
+            yield out()
+            made = []
+        done()
+        yield out()
+
+    return run
+
+
 def _spread(t: np.ndarray, label: np.ndarray, grams: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Links that join the labels of a block as all its pairs of the similarity would: each text
     reached is compared with all texts not reached yet."""
@@ -481,15 +567,16 @@ def close_prints(texts: DataFrame, *, words: int = 4, bits: int = 4) -> DataFram
 def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample: int = 1 << 14, most: int = 64, block: int = 1024) -> DataFrame:
     """(u, v) links that join the rows (t, text), t distinct, as all pairs of texts of the similarity would.
 
-    SimHash proposes pairs first: those within the bits of the range join,
-    each verified.  Fingerprints of similar texts can lie further apart, so an
-    exact search for the rest follows.  Two sets of that Jaccard similarity share a shingle among the first of
+    Two sets of that Jaccard similarity share a shingle among the first of
     each in any common order (prefix filter), so cells of one shingle hold
     every pair.  Order is by the count in a sample, so that frequent shingles
-    come last; it bears on the cost only.  Small cells give pairs; a cell of
-    over ``most`` texts is dealt out as pairs of blocks.  With the proposed
-    pairs each text is compared with the one it shares most cells with, then
-    all other pairs that verified links do not join yet.
+    come last; it bears on the cost only.  Pairs are not listed: a cell is a
+    row for each of its texts, and of these stay the texts whose sketch allows
+    a partner there.  Each is compared with its nearest by the sketches, and
+    with what SimHash proposes; texts of cells of over ``most``, with the
+    smallest of the cell.  Where a cell then holds texts that verified links
+    do not join, it is searched exactly, as pairs of blocks if it is large.
+    Whole sets of shingles go only to texts that have passed their sketches.
     """
     every = max(1, -(-texts.count() // sample))
     counted = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select("text").mapInArrow(_each_shingle(words), "h long").groupBy("h").count()
@@ -498,42 +585,45 @@ def alike(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, sample:
     order = np.argsort(names)
     first = texts.select("t", "text").mapInArrow(_prefixes(words, similarity, names[order], often[order], most // every), "kind long, h long, t long, n long, at long")
     dealt = first.repartition("h", F.when(F.col("kind") == 1, F.col("t"))).sortWithinPartitions("kind", "h")
-    found = cut(dealt.mapInArrow(_pairer(similarity, most), "kind long, a long, b long, n long, rest long"), "cells")
+    found = cut(dealt.mapInArrow(_meetings(similarity, most), "kind long, a long, b long, n long, rest long"), "cells")
     large = cut(_open_rows(found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("t"), "n", "rest"), similarity), "large")
-    stars = large.join(large.groupBy("h").agg(F.min("t").alias("u")), "h").where("u < t").select("u", F.col("t").alias("v"))
-    small = cut(found.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).count(), "pairs")
-    tried = small.unionByName(stars.groupBy("u", "v").count())
-    tried = tried.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
-    proposed = close_prints(texts).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    tried = cut(tried.unionByName(proposed).distinct(), "tried")
-
-    # the texts that any comparison can need meet their shingles once
-    ends = cut(tried.unionByName(small.select("u", "v")).select(F.explode(F.array("u", "v")).alias("t")).unionByName(large.select("t")).distinct(), "ends")
-    grams = cut(texts.select("t", "text").join(ends, "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # shingles of other texts need not be dealt out
-        u, v = (grams.join(pairs.select(F.col(c).alias("t")), "t", "left_semi").select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
-        return cut(pairs.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long"), "verified")
-
-    good = verified(tried)
+    small = found.where("kind = 0").select(F.col("a").alias("h"), F.col("b").alias("t")).distinct()
+    bits = cut(texts.select("t", "text").mapInArrow(_sketcher(words), "t long, n long, bits binary"), "bits")
+
+    def facing(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.join(bits, "t").select("block", "t", "label", "n", "bits").repartition("block").sortWithinPartitions("block", "t")
+        return cut(dealt.mapInArrow(_facing(similarity), "block long, t long, label long, u long"), name)
+
+    def grams(ends: DataFrame) -> DataFrame:
+        return cut(texts.select("t", "text").join(ends.distinct(), "t", "left_semi").mapInArrow(_grams(words), "t long, grams binary"), "grams")
+
+    # a pair is a cell of two
+    stars = large.join(large.groupBy("h").agg(F.min("t").alias("u")), "h").where("u < t").groupBy("u", "t").count()
+    stars = stars.groupBy(F.col("t").alias("v")).agg(F.max_by("u", F.struct("count", "u")).alias("u")).select("u", "v")
+    pairs = stars.unionByName(close_prints(texts).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    pairs = pairs.select(F.xxhash64("u", "v").alias("h"), F.explode(F.array("u", "v")).alias("t"))
+    near = facing(small.unionByName(pairs).select(F.col("h").alias("block"), "t", F.col("t").alias("label")), "near")
+    tried = cut(near.select(F.least("t", "u").alias("u"), F.greatest("t", "u").alias("v")).distinct(), "tried")
+    sets = grams(tried.select(F.explode(F.array("u", "v")).alias("t")))
+    u, v = (sets.select(F.col("t").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "uv")
+    good = cut(tried.join(u, "u").join(v, "v").select("u", "v", "u_grams", "v_grams").mapInArrow(_alike(similarity), "u long, v long"), "verified")
+
     labels = cut(components(good).select(F.col("node").alias("t"), "label"), "labels")
-    u, v = (labels.select(F.col("t").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv")
-    open_ = small.select("u", "v").join(tried, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left")
-    open_ = cut(open_.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v"), "open")
-    if not open_.isEmpty():
-        good = good.unionByName(verified(open_))
-    large = cut(large.join(labels, "t", "left").select("h", "t", F.coalesce("label", "t").alias("label")), "labelled")
-    mixed = large.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    if mixed.isEmpty():
+    cells = near.select(F.col("block").alias("h"), "t").unionByName(large)
+    cells = cut(cells.join(labels, "t", "left").select("h", "t", F.coalesce("label", "t").alias("label")), "labelled")
+    mixed = cells.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    own = cut(cells.join(mixed.select("h"), "h").join(bits.select("t", "n"), "t"), "mixed")
+    if own.isEmpty():
+        return good
+    size = own.groupBy("h").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / (1 << 24))).alias("k"))
+    own = own.join(size, "h").withColumn("i", F.pmod(F.xxhash64("t"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    open_ = facing(own.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "t", "label"), "open")
+    # blocks of the same texts are one
+    same = open_.groupBy("block").agg(F.bit_xor(F.xxhash64("t")).alias("same"))
+    open_ = cut(open_.join(same, "block").select(F.col("same").alias("block"), "t", "label").distinct(), "blocks")
+    if open_.isEmpty():
         return good
-    own = cut(large.join(mixed.select("h", "rows"), "h"), "mixed")
-    grams = grams.join(own.select("t"), "t", "left_semi")
-    size = own.select("h", "t").join(grams.select("t", F.length("grams").alias("bytes")), "t").groupBy("h").agg(F.sum("bytes").alias("bytes"))
-    own = own.join(size, "h").withColumn("k", F.ceil(F.greatest(F.col("rows") / block, F.col("bytes") / (1 << 24))))
-    own = own.withColumn("i", F.pmod(F.xxhash64("t"), F.col("k"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    own = own.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "t", "label")
-    parts = own.join(grams, "t").select("block", "t", "label", "grams").repartition("block").sortWithinPartitions("block", "t")
+    parts = open_.join(grams(open_.select("t")), "t").select("block", "t", "label", "grams").repartition("block").sortWithinPartitions("block", "t")
     return good.unionByName(cut(parts.mapInArrow(_spreader(similarity), "u long, v long"), "spread"))
 
 

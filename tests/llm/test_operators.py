@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -246,6 +247,47 @@ def test_keep_one_with_different_texts_of_one_id(spark):
     assert sorted(r["text"] for r in clean.collect()) == [a, b, c]
 
 
+def test_keep_one_lists_texts_not_pairs(spark, monkeypatch):
+    rng = random.Random(24)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"w{rng.randrange(900)}" for _ in range(100)]) for _ in range(60)]
+    texts.append(texts[0] + " more")
+    rows, cut = {}, simhash.cut
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    # too small a sample to know the passage: its shingles come early, and all texts meet at each
+    assert {(r["u"], r["v"]) for r in simhash.alike(df, sample=1).collect()} == {(0, 60)}
+    prefixes = sum(n - math.ceil(0.8 * n) + 1 for n in (len(simhash.shingles(t, 5)) for t in texts))
+    assert 61 <= rows["cells"] <= prefixes
+    # whole sets of shingles go to texts whose sketches allow a partner
+    assert rows["grams"] == 2
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(25)
+    for size in (1, 5, 64, 65, 500, 3000):
+        pool = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        for cut in (size, size + size // 8, size + size // 4):
+            a, b = np.unique(pool[:size]), np.unique(pool[size // 20 : cut])
+            x, y = (int.from_bytes(simhash.sketch(g), "little") for g in (a, b))
+            m = max(64, 1 << (len(a) - 1).bit_length())
+            n = max(64, 1 << (len(b) - 1).bit_length())
+            while m != n:
+                x, m = ((x ^ x >> m // 2) & (1 << m // 2) - 1, m // 2) if m > n else (x, m)
+                y, n = ((y ^ y >> n // 2) & (1 << n // 2) - 1, n // 2) if n > m else (y, n)
+            apart = len(np.setxor1d(a, b))
+            assert (x ^ y).bit_count() <= apart
+            near = 9 * apart <= len(a) + len(b)  # a similarity of 0.8 or more
+            found = simhash._face([(len(a), 1, 1, int.from_bytes(simhash.sketch(a), "little")), (len(b), 2, 2, int.from_bytes(simhash.sketch(b), "little"))], 0.8)
+            assert not near or set(found) == {1, 2}
+
+
 def test_simhash_odd(spark, odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
