@@ -100,7 +100,22 @@ def edge_width(amount: Column) -> Column:
 
 
 def edge_label(amount: Column) -> Column:
-    return F.format_string("$%.1fk", amount / 1000)
+    """Thousands with one decimal, as C prints them: the very binary value is rounded, true halves to even; null for null.
+
+    Java's %.1f rounds the shortest decimal that stands for the value, halves up.
+    """
+    value = amount.cast("double") / 1000
+    size = F.abs(value)
+    whole = F.floor(size).cast("double")
+    rest = size - whole
+    tenth = F.floor(rest * 10).cast("double")
+    # rest against the half (2 * tenth + 1) / 20 in differences that are exact: its sixteenfold, subtracted, and its fourfold
+    side = rest * 4 - ((tenth * 2 + 1) - rest * 16)
+    up = (side > 0) | ((side == 0) & (tenth % 2 == 1))
+    near = F.signum(value) * (whole + (tenth + up.cast("double")) / 10)
+    inf = float("inf")
+    shown = F.when(F.isnan(value), "nan").when(value == inf, "inf").when(value == -inf, "-inf").otherwise(F.format_string("%.1f", F.when(size < 2.0**52, near).otherwise(value)))
+    return F.when(amount.isNotNull(), F.concat(F.lit("$"), shown, F.lit("k")))
 
 
 def linked(text: Column, ids: list[str]) -> Column:

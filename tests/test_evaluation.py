@@ -165,6 +165,14 @@ def test_serving(spark):
     assert spark.range(1).select(serving.linked(F.lit("see A12 and A1"), ["A1", "A12"])).first()[0] == "see [[A12]] and [[A1]]"
 
 
+def test_edge_labels_round_the_binary_value_as_c_does(spark):
+    rng = random.Random(5)
+    amounts = [50.0 * i for i in range(-40, 200)] + [rng.randrange(10**9) / 100 for _ in range(500)] + [2.0**k + 0.25 for k in range(60)] + [0.0, -0.0, -40.0, 1e12 + 50, 1e20, math.inf, -math.inf, math.nan]
+    rows = spark.createDataFrame([(x,) for x in amounts], "x double").unionByName(spark.sql("SELECT CAST(NULL AS DOUBLE) AS x"))
+    got = rows.select("x", serving.edge_label(F.col("x")).alias("l")).collect()
+    assert [r["l"] for r in got] == [None if r["x"] is None else f"${r['x'] / 1000:.1f}k" for r in got]
+
+
 def test_layers(spark):
     n = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [1.0, 1.0])], "id string, vec array<double>")
     e = spark.createDataFrame([(1, "a", "c", 0.0), (2, "b", "c", 10.0)], "tx_id long, src string, dst string, edge_time double")
