@@ -15,7 +15,7 @@ from tallyweft import config
 from tallyweft.functions import scalar
 from tallyweft.model import TABLES, CanonicalDataset
 from tallyweft.operators import audit, commits, detectors, explain, federated, metrics, serving
-from tallyweft.plans import flows
+from tallyweft.plans import catalogue, flows
 
 T0 = dt.datetime(2022, 9, 1)
 
@@ -119,6 +119,23 @@ def test_boundary_accounts(spark):
     assert {r["id"] for r in boundary_accounts(e).collect()} == {"a1", "a5"}
 
 
+def test_segments_are_compared_by_counts_of_equal_rows(spark, small):
+    rng = random.Random(3)
+    rows = [(m, i, rng.randrange(2), rng.randrange(6) / 5, rng.choice(["x", "y", None])) for i in range(300) for m in "ab"]
+    s = spark.createDataFrame(rows, "model string, id long, label int, score double, segment string")
+    got = {(r["model"], r["segment"]): r for r in metrics.segment_comparison(s).collect()}
+    assert set(got) == {(m, g) for m in "ab" for g in ("overall", "x", "y", "isolated")}
+    for (m, g), r in got.items():
+        own = [(y, p) for model, _, y, p, k in rows if model == m and g in ("overall", k or "isolated")]
+        pos, neg = [p for y, p in own if y], [p for y, p in own if not y]
+        assert (r["n_samples"], r["n_positive"], r["total_alerts"]) == (len(own), len(pos), sum(p >= 0.5 for _, p in own))
+        assert r["auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+    parted = metrics.segment_comparison(s.select("model", "id", "label", "score"), s.where("model = 'a' and segment is not null").select("id", "segment"))
+    assert parted.count() == 8
+    # the tables are read once, while the counts are written
+    assert not [f for f in catalogue.QUERIES["segment_comparison"](spark, small).inputFiles() if "lineitem" in f]
+
+
 def test_evidence(spark):
     e = spark.createDataFrame([(1, "a", "t", 5.0, T0), (2, "b", "t", 0.0, T0), (3, "x", "y", 9.0, T0)], "tx_id long, src string, dst string, amount double, ts timestamp_ntz")
     score = lambda rows: rows.groupBy("variant", F.col("dst").alias("id")).agg((F.sum("amount") / 10).alias("score"))
