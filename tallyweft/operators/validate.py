@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweft.model import ENTITY_TYPES, TABLES, CanonicalDataset
-from tallyweft.storage import cut_with
+from tallyweft.storage import cut_with, released
 
 
 class SchemaError(ValueError):
@@ -143,7 +143,7 @@ def label_orphans(data: CanonicalDataset) -> DataFrame:
     keys = data.transactions.select(F.lit("tx").alias("entity_type"), F.col("tx_id").alias("entity_id"))
     keys = keys.unionByName(data.accounts.select(F.lit("account").alias("entity_type"), F.col("account_id").alias("entity_id")))
     keys = keys.unionByName(data.rings.select(F.lit("ring").alias("entity_type"), F.col("ring_id").alias("entity_id")))
-    return data.labels.join(keys.distinct(), ["entity_type", "entity_id"], "left_anti")
+    return data.labels.join(keys, ["entity_type", "entity_id"], "left_anti")
 
 
 def ring_orphans(data: CanonicalDataset) -> DataFrame:
@@ -155,13 +155,18 @@ def ring_orphans(data: CanonicalDataset) -> DataFrame:
 
 def validate(data: CanonicalDataset) -> CanonicalDataset:
     """Schemas first, then references; the first kind of failure raises."""
+    with released(data.transactions.sparkSession):
+        return _validated(data)
+
+
+def _validated(data: CanonicalDataset) -> CanonicalDataset:
     for t, df in data.tables().items():
         check_types(df, t)
         check(df, CANONICAL[t], t)
     for side in ("src_account", "dst_account"):
-        bad = orphans(data.transactions, side, data.accounts, "account_id")
-        if first := bad.limit(5).collect():
-            raise IntegrityError(f"{side} without account: {[r[side] for r in first]}", bad)
+        # accounts are looked up, not rows: whole rows are dealt out only to show what is wrong with them
+        if first := orphans(data.transactions.select(side).distinct(), side, data.accounts, "account_id").limit(5).collect():
+            raise IntegrityError(f"{side} without account: {[r[side] for r in first]}", orphans(data.transactions, side, data.accounts, "account_id"))
     bad = label_orphans(data)
     if first := bad.limit(5).collect():
         raise IntegrityError(f"labels without entity: {[(r['entity_type'], r['entity_id']) for r in first]}", bad)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tallyweft.functions.scalar import sorted_json
 from tallyweft.model import TABLES, CanonicalDataset, empty
 from tallyweft.operators.validate import Rules, validate, written_scan
+from tallyweft.storage import cut
 
 
 def _after_epoch(unit: str, n: Column) -> Column:
@@ -26,16 +27,16 @@ def _after_epoch(unit: str, n: Column) -> Column:
 def numbered_scan(scan: DataFrame, rules: Rules, table: str, name: str = "ordinal") -> DataFrame:
     """A file scan's checked rows, numbered from 0 in order of the files' lines.
 
-    The raw file is read once.  Rows are numbered within their block of a
-    file; each block's offset comes from the counts of the blocks before it,
-    so no task sees all rows.
+    The raw file is read once, and its rows are not dealt out.  A block of a
+    file is read by one task from its first row to its last, so Spark's
+    increasing ids run on within it; what to add to them comes from the counts
+    of the blocks before it.
     """
     block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     rows = written_scan(scan, rules, table, block.alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    own = rows.withColumn("_own", F.row_number().over(W.partitionBy("_block").orderBy("_at")) - 1)
-    sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_first"))
-    return own.join(first, "_block").withColumn(name, F.col("_first") + F.col("_own")).drop("_block", "_at", "_own", "_first")
+    sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    shift = cut(sizes.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n") - F.col("_from")).alias("_shift")), "blocks")
+    return rows.join(F.broadcast(shift), "_block").withColumn(name, F.col("_at") + F.col("_shift")).drop("_block", "_at", "_shift")
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
@@ -132,7 +133,7 @@ class IbmAml(Adapter):
         t = raw["transactions"].withColumns({"src": key("from"), "dst": key("to"), "at": F.try_to_timestamp("ts", F.lit("yyyy/MM/dd HH:mm")).cast("timestamp_ntz"), "tx_id": F.concat(F.lit("ibm_aml_"), F.col("ordinal").cast("string"))})
         ends = t.select(F.explode(F.array(F.struct(F.col("src").alias("account_id"), F.col("from_bank").alias("bank"), "at"), F.struct(F.col("dst").alias("account_id"), F.col("to_bank").alias("bank"), "at"))).alias("x")).select("x.*")
         # the bank is a prefix of the id, so any row's bank is the account's
-        accounts = ends.groupBy("account_id").agg(F.first("bank").alias("institution_id"), F.min("at").alias("opened_at")).withColumn("attributes", F.lit("{}"))
+        accounts = cut(ends.groupBy("account_id").agg(F.first("bank").alias("institution_id"), F.min("at").alias("opened_at")), "accounts").withColumn("attributes", F.lit("{}"))
         transactions = t.select("tx_id", F.col("src").alias("src_account"), F.col("dst").alias("dst_account"), F.col("paid").alias("amount"), F.col("payment_currency").alias("currency"), F.col("at").alias("timestamp"), F.col("payment_format").alias("channel"), F.col("from_bank").alias("institution_src"), F.col("to_bank").alias("institution_dst"))
         return self.dataset(accounts, transactions, _labels(t, F.col("tx_id"), "tx", F.when(F.col("laundering") == 1, "laundering").otherwise("not_laundering"), "is_laundering"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 
@@ -9,7 +10,7 @@ from tallyweft import cli, config, manifest
 from tallyweft.model import TABLES, CanonicalDataset
 from tallyweft.operators import features, split, validate
 from tallyweft.sources import registry
-from tallyweft.sources.adapters import ADAPTERS, adapter
+from tallyweft.sources.adapters import ADAPTERS, adapter, numbered_scan
 
 T0 = dt.datetime(2022, 9, 1)
 
@@ -55,6 +56,36 @@ def test_extra_column_raises(spark):
         validate.validate(data.with_tables(accounts=data.accounts.withColumn("more", F.lit(1))))
 
 
+def test_lines_are_numbered_in_order_without_dealing_out_rows(spark, tmp_path):
+    folder, key = str(tmp_path / "lines.csv"), "spark.sql.files.maxPartitionBytes"
+    spark.range(20_000).repartitionByRange(3, "id").sortWithinPartitions("id").write.csv(folder)
+    spark.conf.set(key, "10000")
+    try:
+        rows = numbered_scan(spark.read.schema("line long").csv(folder), validate.Rules(("line",), not_null=("line",), strict=True), "lines")
+    finally:
+        spark.conf.unset(key)
+    assert rows.where("line <> ordinal").count() == 0 and rows.agg({"ordinal": "max"}).first()[0] == 19_999
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(held.apply(i).getName().startswith("shuffle_") for i in range(held.size()))
+
+
+def test_tables_and_checks_leave_no_shuffle_files(spark, small):
+    from tallyweft.plans import catalogue
+
+    before = _shuffle_files(spark)
+    catalogue.adapter_ibm_aml(spark, small)
+    for _ in range(50):
+        # removal runs beside the driver
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before
+
+
 def _files(folder):
     f = folder / "elliptic"
     f.mkdir()
